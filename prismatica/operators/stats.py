@@ -82,15 +82,16 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
     smallest of a tie), its count and its share of the non-missing."""
     asked = columns if columns is not None else [c for c in df.columns if c in text_columns(df) + boolean_columns(df)]
     if not asked:
-        return empty_rows(df, "col_no int, column string, unique long, top string, top_count long, top_percentage double")
+        return empty_rows(df, "col_no int, column string, count long, unique long, top string, "
+                              "top_count long, top_percentage double")
     text = df.select(*[value(df, c).cast("string").alias(c) for c in asked])
     filled = value_counts(text).filter("s is not null")
     best = filled.groupBy("col_no").agg(
         F.count(F.lit(1)).alias("unique"), F.min(F.struct((-F.col("n")).alias("k"), F.col("s"))).alias("top"),
         F.sum("n").alias("total"))
     return best.join(F.broadcast(column_names(df, asked)), "col_no").select(
-        "col_no", "column", "unique", F.col("top.s").alias("top"), (-F.col("top.k")).alias("top_count"),
-        percent(-F.col("top.k"), F.col("total")).alias("top_percentage"))
+        "col_no", "column", F.col("total").alias("count"), "unique", F.col("top.s").alias("top"),
+        (-F.col("top.k")).alias("top_count"), percent(-F.col("top.k"), F.col("total")).alias("top_percentage"))
 
 
 def describe_all(df: DataFrame) -> DataFrame:
@@ -103,8 +104,7 @@ def describe_all(df: DataFrame) -> DataFrame:
     if texts:
         none = F.lit(None).cast("double")
         words = categorical_summary(df, texts).select(
-            "column", F.round(F.col("top_count") / F.col("top_percentage") * 100).cast("long").alias("count"),
-            "unique", "top", F.col("top_count").alias("freq"),
+            "column", "count", "unique", "top", F.col("top_count").alias("freq"),
             *[none.alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
         figures = figures.unionByName(words)
     return figures.join(F.broadcast(names), "column").orderBy("position")
