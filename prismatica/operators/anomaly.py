@@ -144,8 +144,9 @@ def fit_isolation(df: DataFrame, column: str, trees: int = 300, seed: int = 42,
              .select(F.pmod(F.col("start") + F.col("i"), F.lit(trees)).cast("int").alias("tree"), "v"))
     limit = math.ceil(math.log2(max(sample, 2)))
     steps = (slots.groupBy("tree").applyInPandas(_grow(limit, seed), "edge double, delta double")
-             .groupBy("edge").agg(F.sum("delta").alias("delta")).orderBy("edge").toPandas())
-    grown = slots.select("tree").distinct().count()
+             .groupBy("edge").agg(F.sum("delta").alias("delta"), F.count(F.lit(1)).alias("trees"))
+             .orderBy("edge").toPandas())
+    grown = int(steps["trees"].iloc[0])  # every tree starts at -inf once
     total = np.cumsum(steps["delta"].to_numpy())
     return IsolationModel(column, steps["edge"].to_numpy()[1:], total, grown, sample)
 

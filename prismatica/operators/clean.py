@@ -10,6 +10,7 @@ from prismatica.functions.columns import (
     canonical, dtype_of, kind_of, moment, non_numeric_columns, number, numeric_columns, value)
 from prismatica.functions.quantiles import quantiles
 from prismatica.functions.tidy import column_rows, value_counts
+from prismatica.plans.settle import settled
 from prismatica.sources.readers import normalize_columns
 
 
@@ -94,8 +95,9 @@ def impute_mode(df: DataFrame, default: str = "Unknown") -> DataFrame:
 
 def clean(df: DataFrame) -> DataFrame:
     """Trim names, drop duplicate rows, promote dates, fill medians and modes;
-    the statistics are those of the de-duplicated rows."""
-    return impute_mode(impute_median(promote_dates(drop_duplicates(normalize_columns(df)))))
+    the statistics are those of the de-duplicated rows, which later passes
+    read several times and which are therefore settled once."""
+    return impute_mode(impute_median(promote_dates(settled(drop_duplicates(normalize_columns(df))))))
 
 
 def drop_missing(df: DataFrame, subset: list[str] | None = None, how: str = "any",
