@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prismatica.functions.tidy import column_rows
 
@@ -23,112 +23,77 @@ ACCURACY = 20_000
 # Up to this many values a bracket is simply [min, max].
 SMALL = 50_000
 CELLS = 1024
-GRID = 100
 
 
 @dataclass(frozen=True)
 class Rank:
-    """A wanted 0-based rank as a function of the number of values.
-
-    ``near`` is the share at which that rank lies if it is known beforehand;
-    None means it is only known when the data are read.
-    """
-
-    of: Callable[[Column], Column]
-    near: float | None = None
+    """A wanted 0-based rank, an SQL expression over the number of values
+    ``n``, and the share of the values at which it lies."""
 
-
-def _percentile_ranks(p: float) -> tuple[Rank, Rank]:
-    return (Rank(lambda n: F.floor((n - 1) * F.lit(p)), p),
-            Rank(lambda n: F.ceil((n - 1) * F.lit(p)), p))
+    sql: str
+    near: float
 
 
 def order_statistics(df: DataFrame, values: list[tuple[str, Column]], ranks: list[Rank],
                      extras: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
     """One row per entry of ``values``: col_no, column, n, low, high, the
-    ``extras`` aggregates, and per rank i the value ``v{i}`` at that rank and
-    the count ``below{i}`` of smaller values. NULLs are left out."""
+    ``extras`` aggregates, and per rank i the value ``v{i}`` at that rank, the
+    count ``below{i}`` of smaller and ``same{i}`` of equal values. NULLs are
+    left out."""
     numbers = [str(i) for i in range(len(values))]
     plain = df.select(*[v.alias(f"v{i}") for i, (_, v) in enumerate(values)])
-    cell_rows = (plain.select(*[F.col(f"v{i}").alias(i) for i in numbers])
-                 .unpivot([], numbers, "col_no", "v").filter("v is not null")
-                 .withColumn("col_no", F.col("col_no").cast("int")))
+    cells = (plain.toDF(*numbers).unpivot([], numbers, "col_no", "v").filter("v is not null")
+             .selectExpr("cast(col_no as int) AS col_no", "v"))
 
     # Scan 1: sketches.
     pad = 4.0 / ACCURACY
-    spots = sorted({r.near for r in ranks if r.near is not None})
-    dynamic = [i for i, r in enumerate(ranks) if r.near is None]
-    points = {min(max(p + s * pad, 0.0), 1.0) for p in spots for s in (-1, 1)}
-    points = sorted(points | ({i / GRID for i in range(GRID + 1)} if dynamic else set()))
+    spots = sorted({r.near for r in ranks})
+    edges = [(min(max(p - pad, 0.0), 1.0), min(max(p + pad, 0.0), 1.0)) for p in spots]
+    points = sorted({p for pair in edges for p in pair})
 
-    def sketch(v: Column) -> dict[str, Column]:
-        return {"n": F.count(v), "low": F.min(v), "high": F.max(v),
+    def sketch(i: int) -> dict[str, Column]:
+        v = f"v{i}"
+        return {"n": F.expr(f"count({v})"), "low": F.expr(f"min({v})"), "high": F.expr(f"max({v})"),
                 "sketch": F.percentile_approx(v, F.lit(points), F.lit(ACCURACY)),
-                **(extras(v) if extras else {})}
-
-    stats = column_rows(plain, [(name, sketch(F.col(f"v{i}"))) for i, (name, _) in enumerate(values)])
-    kept = [c for c in stats.columns if c not in ("col_no", "sketch")]
-
-    def at(p: float) -> Column:
-        return F.element_at("sketch", points.index(min(max(p, 0.0), 1.0)) + 1)
+                **(extras(F.col(v)) if extras else {})}
 
-    brackets = [(at(p - pad), at(p + pad)) for p in spots]
-    for i in dynamic:
-        j = F.floor(ranks[i].of(F.col("n")) * GRID / F.greatest(F.col("n") - 1, F.lit(1))).cast("int")
-        grid = F.array(*[at(k / GRID) for k in range(GRID + 1)])
-        brackets.append((F.element_at(grid, F.least(F.greatest(j - 1, F.lit(0)), F.lit(GRID)) + 1),
-                         F.element_at(grid, F.least(F.greatest(j + 2, F.lit(0)), F.lit(GRID)) + 1)))
-    small = F.col("n") <= SMALL
-    bounds = stats.select("col_no", *kept, *[
-        F.when(small, F.col(edge)).otherwise(b).alias(f"{k}{t}")
-        for t, pair in enumerate(brackets) for k, edge, b in zip(("lo", "hi"), ("low", "high"), pair)])
+    stats = column_rows(plain, [(name, sketch(i)) for i, (name, _) in enumerate(values)])
+    bounds = stats.selectExpr("col_no", *[
+        f"CASE WHEN n <= {SMALL} THEN {flat} ELSE element_at(sketch, {points.index(p) + 1}) END AS {edge}{t}"
+        for t, pair in enumerate(edges) for edge, flat, p in zip(("lo", "hi"), ("low", "high"), pair)])
 
     # Scan 2: count cells. Slot 2t+1 is bracket t, even slots are the gaps; a
     # gap is a cell too, so a rank a sketch missed is still found, only slower.
-    def place(v: Column) -> tuple[Column, Column]:
-        slot = sub = F
-        for t in range(len(brackets)):
-            lo, hi = F.col(f"lo{t}"), F.col(f"hi{t}")
-            share = F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.lit(0.0))
-            slot = slot.when(v < lo, F.lit(2 * t)).when(v <= hi, F.lit(2 * t + 1))
-            sub = sub.when(v < lo, F.lit(0)).when(v <= hi, F.floor(share * (CELLS - 1)).cast("int"))
-        return slot.otherwise(F.lit(2 * len(brackets))), sub.otherwise(F.lit(0))
-
-    slot, sub = place(F.col("v"))
-    tally = (cell_rows.join(F.broadcast(bounds.drop(*kept)), "col_no")
-             .groupBy("col_no", slot.alias("slot"), sub.alias("sub"))
-             .agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("first"), F.max("v").alias("last")))
-    order = Window.partitionBy("col_no").orderBy("slot", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.array(*[F.struct(F.lit(i).alias("rank_no"), r.of(F.col("n")).cast("long").alias("rank"))
-                       for i, r in enumerate(ranks)])
-    hit = (tally.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    slot = sub = "CASE"
+    for t in range(len(edges)):
+        share = f"CASE WHEN hi{t} > lo{t} THEN (v - lo{t}) / (hi{t} - lo{t}) ELSE 0.0D END"
+        slot += f" WHEN v < lo{t} THEN {2 * t} WHEN v <= hi{t} THEN {2 * t + 1}"
+        sub += f" WHEN v < lo{t} THEN 0 WHEN v <= hi{t} THEN cast(floor({share} * {CELLS - 1}) AS int)"
+    tally = (cells.join(F.broadcast(bounds), "col_no")
+             .selectExpr("col_no", f"{slot} ELSE {2 * len(edges)} END AS slot", f"{sub} ELSE 0 END AS sub", "v")
+             .groupBy("col_no", "slot", "sub")
+             .agg(F.expr("count(1) AS size"), F.expr("min(v) AS first"), F.expr("max(v) AS last")))
+    wanted = ", ".join(f"struct({i} AS rank_no, cast({r.sql} AS bigint) AS rank)" for i, r in enumerate(ranks))
+    hit = (tally.selectExpr("*", "coalesce(sum(size) OVER (PARTITION BY col_no ORDER BY slot, sub "
+                                 "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
            .join(F.broadcast(stats.select("col_no", "n")), "col_no")
-           .select("*", F.inline(wanted))
-           .filter("rank >= before and rank < before + size")
-           .groupBy("col_no").agg(*[
-               F.max(F.when(F.col("rank_no") == i, F.col(k))).alias(f"{k}{i}")
-               for i in range(len(ranks)) for k in ("first", "last", "before", "rank")]))
+           .selectExpr("*", f"inline(array({wanted}))")
+           .filter("rank >= before AND rank < before + size")
+           .groupBy("col_no").agg(*[F.expr(f"max(CASE WHEN rank_no = {i} THEN {k} END) AS {k}{i}")
+                                    for i in range(len(ranks)) for k in ("first", "last", "before", "rank")]))
 
     # Scan 3: the values of the located cells, in order.
-    v = F.col("v")
-    located = [v.between(F.col(f"first{i}"), F.col(f"last{i}")) for i in range(len(ranks))]
-    any_located = located[0]
-    for c in located[1:]:
-        any_located = any_located | c
-    inside = Window.partitionBy("col_no", "rank_no").orderBy("v")
-    found = (cell_rows.join(F.broadcast(hit), "col_no").filter(any_located)
-             .groupBy(*hit.columns, v.alias("v")).agg(F.count(F.lit(1)).alias("m"))
-             .select("col_no", "v", "m", F.inline(F.array(*[
-                 F.struct(F.lit(i).alias("rank_no"), located[i].alias("here"), F.col(f"before{i}").alias("before"),
-                          F.col(f"rank{i}").alias("rank")) for i in range(len(ranks))])))
-             .filter("here")
-             .withColumn("upto", F.col("before") + F.sum("m").over(inside))
-             .withColumn("below", F.col("upto") - F.col("m"))
-             .filter("rank >= below and rank < upto"))
+    located = [f"(v BETWEEN first{i} AND last{i})" for i in range(len(ranks))]
+    told = ", ".join(f"struct({i} AS rank_no, {here} AS here, before{i} AS before, rank{i} AS rank)"
+                     for i, here in enumerate(located))
+    found = (cells.join(F.broadcast(hit), "col_no").filter(" OR ".join(located))
+             .groupBy(*hit.columns, "v").agg(F.expr("count(1) AS m"))
+             .selectExpr("col_no", "v", "m", f"inline(array({told}))").filter("here")
+             .selectExpr("*", "before + sum(m) OVER (PARTITION BY col_no, rank_no ORDER BY v) AS upto")
+             .filter("rank >= upto - m AND rank < upto"))
     wide = found.groupBy("col_no").agg(*[
-        c for i in range(len(ranks)) for c in (
-            F.max(F.when(F.col("rank_no") == i, F.col("v"))).alias(f"v{i}"),
-            F.max(F.when(F.col("rank_no") == i, F.col("below"))).alias(f"below{i}"))])
+        F.expr(f"max(CASE WHEN rank_no = {i} THEN {k} END) AS {name}{i}")
+        for i in range(len(ranks)) for k, name in (("v", "v"), ("upto - m", "below"), ("m", "same"))])
     return stats.drop("sketch").join(F.broadcast(wide), "col_no", "left")
 
 
@@ -145,12 +110,9 @@ def quantiles(df: DataFrame, values: list[tuple[str, Column]], probs: list[float
             return {"n": F.count(v), "low": F.min(v), "high": F.max(v), **(extras(v) if extras else {}),
                     **{f"q{i}": F.percentile_approx(v, F.lit(p), F.lit(ACCURACY)) for i, p in enumerate(probs)}}
         return column_rows(df, [(name, one(v)) for name, v in values])
-    ranks = [r for p in probs for r in _percentile_ranks(p)]
+    ranks = [Rank(f"{way}((n - 1) * {p!r}D)", p) for p in probs for way in ("floor", "ceil")]
     found = order_statistics(df, values, ranks, extras)
-    out = []
-    for i, p in enumerate(probs):
-        at = (F.col("n") - 1) * F.lit(p)
-        lower, upper = F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
-        out.append((lower + (upper - lower) * (at - F.floor(at))).alias(f"q{i}"))
-    drop = [f"{k}{i}" for i in range(len(ranks)) for k in ("v", "below")]
-    return found.select(*[c for c in found.columns if c not in drop], *out)
+    names = [c for c in found.columns if c.rstrip("0123456789") not in ("v", "below", "same")]
+    return found.select(*names, *[
+        F.expr(f"v{2 * i} + (v{2 * i + 1} - v{2 * i}) * ((n - 1) * {p!r}D - floor((n - 1) * {p!r}D)) AS q{i}")
+        for i, p in enumerate(probs)])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prismatica.functions.coerce import text_key
 from prismatica.functions.columns import moment, number, value
-from prismatica.operators.models import evaluate_regression
+from prismatica.operators.models import TREE_MEMORY_MB, evaluate_regression
 
 ROLLING = 7
 ONE_SERIES = "all"
@@ -115,7 +115,7 @@ def forecast_backtest(df: DataFrame, date: str, target: str, periods: int = 14,
         return Forecast(None, None, "Need more historical observations for forecasting.")
     model = RandomForestRegressor(
         featuresCol="features", labelCol="y", numTrees=trees, minInstancesPerNode=2, maxDepth=max_depth,
-        featureSubsetStrategy="all", seed=seed).fit(rows.filter("is_train"))
+        featureSubsetStrategy="all", seed=seed, maxMemoryInMB=TREE_MEMORY_MB).fit(rows.filter("is_train"))
     tested = model.transform(rows.filter("not is_train")).select("series", "y", "prediction")
     metrics = evaluate_regression(tested, "y", "prediction", by=["series"])
     return Forecast(metrics, recursive_forecast(points, model, periods, lags), "Forecast with chronological backtest.")

@@ -55,16 +55,22 @@ def numeric_totals(df: DataFrame) -> DataFrame:
 
 # --- KPIs --------------------------------------------------------------------------
 
-def kpi_table_a(df: DataFrame) -> DataFrame:
+def kpi_table_a(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """Per numeric column: total, average, median, minimum, maximum."""
     names = numeric_columns(df)
     if not names:
         return empty_rows(df, "col_no int, column string, total double, average double, median double, "
                               "minimum double, maximum double")
-    found = quantiles(df, [(c, number(df, c)) for c in names], [0.5],
-                      extras=lambda v: {"total": _sum(v), "average": F.avg(v)})
-    return found.select("col_no", "column", "total", "average", F.col("q0").alias("median"),
-                        F.col("low").alias("minimum"), F.col("high").alias("maximum"))
+    return _numeric_kpis(df, names, profiled).select(
+        "col_no", "column", F.coalesce("sum", F.lit(0.0)).alias("total"), "average", "median",
+        F.col("low").alias("minimum"), F.col("high").alias("maximum"))
+
+
+def _numeric_kpis(df: DataFrame, names: list[str], profiled: DataFrame | None) -> DataFrame:
+    if profiled is not None:
+        return profiled.withColumnsRenamed({"mean": "average", "q1": "median"})
+    return quantiles(df, [(c, number(df, c)) for c in names], [0.5], extras=lambda v: {
+        "sum": F.sum(v), "average": F.avg(v)}).withColumnRenamed("q0", "median")
 
 
 def business_kpis(df: DataFrame) -> DataFrame:
@@ -104,21 +110,20 @@ def _growth() -> Column:
     return F.when((F.col("count") < 2) | (F.col("first") == 0), 0.0).otherwise((ratio - 1) * 100)
 
 
-def kpi_table_b(df: DataFrame, order_by: list[str]) -> DataFrame:
+def kpi_table_b(df: DataFrame, order_by: list[str], profiled: DataFrame | None = None) -> DataFrame:
     """Per numeric column with values: sum, average, median, min, max and the
     growth from the first to the last row in order."""
     names = numeric_columns(df)
     if not names:
         return empty_rows(df, "col_no int, column string, sum double, average double, median double, min double, "
                               "max double, growth_proxy_pct double")
-    found = quantiles(df, [(c, number(df, c)) for c in names], [0.5],
-                      extras=lambda v: {"sum": F.sum(v), "average": F.avg(v)})
     ends = column_rows(df, [(c, {"first": _ends(df, number(df, c), order_by)[0],
                                  "last": _ends(df, number(df, c), order_by)[1],
                                  "count": F.count(number(df, c))}) for c in names])
-    return found.join(F.broadcast(ends.select("col_no", _growth().alias("growth_proxy_pct"))), "col_no").filter(
-        "n > 0").select("col_no", "column", "sum", "average", F.col("q0").alias("median"), F.col("low").alias("min"),
-                        F.col("high").alias("max"), "growth_proxy_pct")
+    growth = ends.select("col_no", _growth().alias("growth_proxy_pct"))
+    return _numeric_kpis(df, names, profiled).join(F.broadcast(growth), "col_no").filter("n > 0").select(
+        "col_no", "column", "sum", "average", "median", F.col("low").alias("min"), F.col("high").alias("max"),
+        "growth_proxy_pct")
 
 
 def business_metrics(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -15,10 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from prismatica.functions.coerce import col, date_parts
 from prismatica.functions.columns import dtype_of, kind_of, moment, number, value
 from prismatica.operators.clean import modes
-from prismatica.operators.profile import column_facts, infer_roles, problem_type
+from prismatica.operators.profile import column_facts, problem_type, with_roles
 from prismatica.functions.quantiles import quantiles
 
 HIGH_CARDINALITY = 0.95
+# Text with more levels than this is hashed, because an encoder keeps its
+# levels on the driver; with fewer it gets a column per level.
+MAX_LEVELS, HASHED = 10_000, 2 ** 18
+# Lets a pass over the data grow many trees of a forest at once.
+TREE_MEMORY_MB = 1024
 
 
 # --- evaluation ------------------------------------------------------------------------
@@ -63,10 +68,11 @@ class Preparation:
     categorical: list[str]
     fills: dict = field(default_factory=dict)
     scale: bool = False
+    hashed: list[str] = field(default_factory=list)
 
     def fill(self, df: DataFrame) -> DataFrame:
         new = {c: F.coalesce(number(df, c), F.lit(self.fills.get(c, 0.0))) for c in self.numeric}
-        new |= {c: F.coalesce(value(df, c).cast("string"), F.lit(self.fills.get(c, ""))) for c in self.categorical}
+        new |= {c: F.coalesce(value(df, c).cast("string"), F.lit(self.fills.get(c, ""))) for c in self.categorical + self.hashed}
         return df.select("*", *[c.alias(f"f_{name}") for name, c in new.items()])
 
     def stages(self) -> list:
@@ -82,6 +88,9 @@ class Preparation:
                                   stringOrderType="alphabetAsc"),
                     OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)]
             inputs = inputs + hot
+        if self.hashed:
+            out.append(FeatureHasher(inputCols=[f"f_{c}" for c in self.hashed], outputCol="f__hashed", numFeatures=HASHED))
+            inputs = inputs + ["f__hashed"]
         return [*out, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
@@ -91,11 +100,12 @@ def prepare_features(df: DataFrame, target: str, scale: bool = False, keep_const
     Constant columns and text with more than 95 % distinct values go (with
     ``keep_constant`` only all-missing columns go). Numbers are filled with
     the exact median, text with its mode. Facts per column reach the driver.
+    Text with more than 10,000 levels is hashed instead of indexed.
     """
     if target not in df.columns:
         raise ValueError(f"target column '{target}' not found")
     rows = df.filter(value(df, target).isNotNull())
-    numeric, categorical = [], []
+    numeric, categorical, hashed = [], [], []
     for f in column_facts(rows.drop(target)).orderBy("col_no").collect():
         filled, gap = f["distinct"], f["missing"] > 0
         if filled == 0 or (not keep_constant and filled + gap <= 1):
@@ -103,15 +113,16 @@ def prepare_features(df: DataFrame, target: str, scale: bool = False, keep_const
         if f["kind"] in ("numeric", "boolean"):
             numeric.append(f["column"])
         elif f["kind"] == "categorical" and (keep_constant or filled / max(f["rows"], 1) <= HIGH_CARDINALITY):
-            categorical.append(f["column"])
-    if not numeric and not categorical:
+            (categorical if filled <= MAX_LEVELS else hashed).append(f["column"])
+    if not numeric and not categorical and not hashed:
         raise ValueError("no usable feature columns were detected")
     fills = {}
     if numeric:
         fills |= {r["column"]: r["q0"] for r in quantiles(rows, [(c, number(rows, c)) for c in numeric], [0.5]).collect()}
-    if categorical:
-        fills |= {categorical[r["col_no"]]: r["s"] for r in modes(rows, categorical).collect()}
-    return rows, Preparation(numeric, categorical, fills, scale)
+    texts = categorical + hashed
+    if texts:
+        fills |= {texts[r["col_no"]]: r["s"] for r in modes(rows, texts).collect()}
+    return rows, Preparation(numeric, categorical, fills, scale, hashed)
 
 
 def hash_split(df: DataFrame, key: list[str] | None = None, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -143,12 +154,12 @@ def _candidates(problem: str, classes: int, trees: int, depth: int, variant: str
     common = dict(featuresCol="features", labelCol="label")
     if problem == "regression":
         return {"Linear Regression": LinearRegression(**common),
-                "Random Forest": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed,
+                "Random Forest": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
                                                        featureSubsetStrategy="all", **common),
                 "Gradient Boosting": GBTRegressor(seed=seed, **boost, **common)}
     gbt = GBTClassifier(seed=seed, **boost, **common)
     return {"Logistic Regression": LogisticRegression(maxIter=2000, **common),
-            "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed,
+            "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
                                                     featureSubsetStrategy="sqrt", **common),
             "Gradient Boosting": gbt if classes == 2 else OneVsRest(classifier=gbt, **common)}
 
@@ -249,7 +260,11 @@ def feature_importance(trained: Trained, n: int | None = 30) -> DataFrame:
         weights = [abs(model.coefficients.toArray())]
     mean = sum(weights) / len(weights)
     total = float(mean.sum())
-    rows = [(name, float(w), float(w) / total * 100 if total else 0.0) for name, w in zip(_feature_labels(trained), mean)]
+    labels = _feature_labels(trained)
+    named = [(name, w) for name, w in zip(labels, mean)]
+    # Of the hashed slots only those the model uses are listed.
+    named += [(f"hashed:{k - len(labels)}", mean[k]) for k in mean.nonzero()[0] if k >= len(labels)]
+    rows = [(name, float(w), float(w) / total * 100 if total else 0.0) for name, w in named]
     out = spark.createDataFrame(rows, "feature string, importance double, importance_pct double").orderBy(
         F.desc("importance"), "feature")
     return out.limit(n) if n else out
@@ -293,18 +308,20 @@ def permutation_importance(df: DataFrame, target: str, key: list[str], top_n: in
     if n < 30:
         return empty
     plain = rows.drop(target)
-    roles = {r["column"]: r["role"] for r in infer_roles(plain).collect()}
     features: dict[str, Column] = {}
     texts = []
-    for c, role in roles.items():
+    for fact in with_roles(column_facts(plain)).orderBy("col_no").collect():
+        c, role = fact["column"], fact["role"]
         if role == "empty":
             continue
         if role == "date":
             features |= {k: v.cast("double") for k, v in date_parts(moment(rows, c), c).items()}
         elif kind_of(dtype_of(rows, c)) == "numeric":
             features[c] = number(rows, c)
-        else:
+        elif fact["distinct"] <= MAX_LEVELS:
             texts.append(c)
+        else:  # a code per level is only a label: a hash of the text serves, without a table of levels
+            features[c] = F.xxhash64(value(rows, c).cast("string")).cast("double")
     zero = F.lit(0.0)
     base = rows.select(
         F.xxhash64(*[col(k) for k in key], F.lit(seed)).alias("h"),
@@ -322,6 +339,8 @@ def permutation_importance(df: DataFrame, target: str, key: list[str], top_n: in
     if regression:
         coded = coded.withColumn("label", F.col("y"))
     names = [*features, *texts]
+    # Codes are read as plain numbers, as an ordinal encoding is.
+    coded = coded.select("h", "label", *[(F.col(f"x_{i}") + F.lit(0.0)).alias(f"x_{i}") for i in range(len(names))])
     spans = coded.agg(*[(F.max(f"x_{i}") > F.min(f"x_{i}")).alias(f"x_{i}") for i in range(len(names))]).first()
     live = [i for i in range(len(names)) if spans[f"x_{i}"]]
     if not live:
@@ -330,7 +349,8 @@ def permutation_importance(df: DataFrame, target: str, key: list[str], top_n: in
     data = coded.select("h", "label", *inputs, (F.pmod("h", F.lit(10_000)) >= 2_000).alias("is_train")).persist()
     assembler = VectorAssembler(inputCols=inputs, outputCol="features")
     forest = (RandomForestRegressor if regression else RandomForestClassifier)(
-        featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
+        featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed,
+        maxMemoryInMB=TREE_MEMORY_MB)
     model = forest.fit(assembler.transform(data.filter("is_train")))
 
     blocks = max(1, int(n * 0.2) // BLOCK)

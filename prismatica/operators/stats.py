@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prismatica.functions.coerce import band, col, percent, ratio_eps, shown
 from prismatica.functions.columns import (
@@ -12,9 +12,6 @@ from prismatica.functions.columns import (
 from prismatica.functions.quantiles import quantiles
 from prismatica.functions.tidy import EXPRESSIONS_PER_AGG, column_names, column_rows, empty_rows, value_counts
 
-BOUNDS = ("col_no int, column string, n long, q1 double, q3 double, lower double, upper double, "
-          "count long, percentage double")
-
 
 def _numbers(df: DataFrame, columns: list[str] | None = None) -> list[tuple[str, Column]]:
     return [(c, number(df, c)) for c in (columns if columns is not None else numeric_columns(df))]
@@ -43,17 +40,25 @@ def _corrected_moments(v: Column) -> dict[str, Column]:
     return {"skewness": skew, "kurtosis": kurt}
 
 
-def distributions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per numeric column with values: location, spread, quartiles, shape and
-    the counts of zeros, negatives and positives."""
+def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Every per-column figure the numeric operators are read from, in the
+    scans the quartiles need anyway: n, low, high, mean, std, sum, skewness,
+    kurtosis, sign counts and q0..q2. Analyses persist it (a row per column)
+    and pass it on as ``profiled``."""
     values = _numbers(df, columns)
     if not values:
-        return empty_rows(df, "col_no int, column string, count long, mean double, median double, std double, "
-                              "min double, max double, q25 double, q75 double, iqr double, skewness double, "
-                              "kurtosis double, zeros long, negative_values long, positive_values long")
-    found = quantiles(df, values, [0.25, 0.5, 0.75], extras=lambda v: {
-        "mean": F.avg(v), "std": F.stddev_samp(v), **_corrected_moments(v), "zeros": F.count_if(v == 0),
-        "negative_values": F.count_if(v < 0), "positive_values": F.count_if(v > 0)})
+        return empty_rows(df, "col_no int, column string, n long, low double, high double, mean double, std double, "
+                              "sum double, skewness double, kurtosis double, zeros long, negative_values long, "
+                              "positive_values long, q0 double, q1 double, q2 double")
+    return quantiles(df, values, [0.25, 0.5, 0.75], extras=lambda v: {
+        "mean": F.avg(v), "std": F.stddev_samp(v), "sum": F.sum(v), **_corrected_moments(v),
+        "zeros": F.count_if(v == 0), "negative_values": F.count_if(v < 0), "positive_values": F.count_if(v > 0)})
+
+
+def distributions(df: DataFrame, columns: list[str] | None = None, profiled: DataFrame | None = None) -> DataFrame:
+    """Per numeric column with values: location, spread, quartiles, shape and
+    the counts of zeros, negatives and positives."""
+    found = profiled if profiled is not None else numeric_profile(df, columns)
     return found.filter("n > 0").select(
         "col_no", "column", F.col("n").alias("count"), "mean", F.col("q1").alias("median"), "std",
         F.col("low").alias("min"), F.col("high").alias("max"), F.col("q0").alias("q25"), F.col("q2").alias("q75"),
@@ -61,14 +66,14 @@ def distributions(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         "zeros", "negative_values", "positive_values")
 
 
-def distribution_shape(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def distribution_shape(df: DataFrame, columns: list[str] | None = None, profiled: DataFrame | None = None) -> DataFrame:
     """Distribution figures with a skewness label."""
     s = F.col("skewness")
     label = (F.when(s > 1, "Highly Right-Skewed").when(s > 0.5, "Right-Skewed")
              .when(s < -1, "Highly Left-Skewed").when(s < -0.5, "Left-Skewed")
              .otherwise("Approximately Symmetric"))
-    return distributions(df, columns).select("col_no", "column", "mean", "median", "std", "min", "max", "skewness",
-                                             label.alias("distribution"))
+    return distributions(df, columns, profiled).select(
+        "col_no", "column", "mean", "median", "std", "min", "max", "skewness", label.alias("distribution"))
 
 
 def coefficient_of_variation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -124,7 +129,7 @@ def target_stats(df: DataFrame, target: str) -> DataFrame:
         "missing", percent(F.col("missing"), F.col("rows")).alias("missing_percentage"))
 
 
-def target_analysis(df: DataFrame, target: str | None, top: int = 10) -> DataFrame:
+def target_analysis(df: DataFrame, target: str | None, top: int = 10, profiled: DataFrame | None = None) -> DataFrame:
     """Figures of the target as (statistic, label, value) rows: missing and
     distinct counts, then mean/median/min/max/std of a numeric target or the
     ``top`` most frequent values of any other."""
@@ -138,7 +143,8 @@ def target_analysis(df: DataFrame, target: str | None, top: int = 10) -> DataFra
         F.struct(F.lit(k).alias("statistic"), F.lit(None).cast("string").alias("label"),
                  F.col(k).cast("double").alias("value")) for k in ("missing", "unique")])))
     if isinstance(dtype_of(df, target), T.NumericType):
-        s = target_stats(df, target)
+        s = target_stats(df, target) if profiled is None else profiled.filter(F.col("column") == F.lit(target)).select(
+            "mean", F.col("q1").alias("median"), F.col("low").alias("min"), F.col("high").alias("max"), "std")
         more = s.select(F.inline(F.array(*[
             F.struct(F.lit(k).alias("statistic"), F.lit(None).cast("string").alias("label"), F.col(k).alias("value"))
             for k in ("mean", "median", "min", "max", "std")])))
@@ -151,18 +157,21 @@ def target_analysis(df: DataFrame, target: str | None, top: int = 10) -> DataFra
 
 # --- outliers ---------------------------------------------------------------------
 
-def tukey_bounds(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def tukey_bounds(df: DataFrame, columns: list[str] | None = None, profiled: DataFrame | None = None) -> DataFrame:
     """Per numeric column: n, quartiles and the 1.5 IQR fences."""
-    found = quantiles(df, _numbers(df, columns), [0.25, 0.75])
-    iqr = F.col("q1") - F.col("q0")
-    return found.select("col_no", "column", "n", F.col("q0").alias("q1"), F.col("q1").alias("q3"),
-                        (F.col("q0") - iqr * 1.5).alias("lower"), (F.col("q1") + iqr * 1.5).alias("upper"))
+    if profiled is not None:
+        found = profiled.select("col_no", "column", "n", F.col("q0").alias("q1"), F.col("q2").alias("q3"))
+    else:
+        found = quantiles(df, _numbers(df, columns), [0.25, 0.75]).select(
+            "col_no", "column", "n", F.col("q0").alias("q1"), F.col("q1").alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    return found.select("*", (F.col("q1") - iqr * 1.5).alias("lower"), (F.col("q3") + iqr * 1.5).alias("upper"))
 
 
-def _outside(df: DataFrame, columns: list[str] | None) -> DataFrame:
+def _outside(df: DataFrame, columns: list[str] | None, profiled: DataFrame | None = None) -> DataFrame:
     values = _numbers(df, columns)
     numbers = [str(i) for i in range(len(values))]
-    fences = tukey_bounds(df, columns)
+    fences = tukey_bounds(df, columns, profiled)
     cells = (df.select(*[v.alias(i) for i, (_, v) in zip(numbers, values)])
              .unpivot([], numbers, "col_no", "v").filter("v is not null")
              .withColumn("col_no", F.col("col_no").cast("int")))
@@ -184,7 +193,7 @@ def iqr_outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.col("lower").alias("lower_bound"), F.col("upper").alias("upper_bound"))
 
 
-def outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def outliers(df: DataFrame, columns: list[str] | None = None, profiled: DataFrame | None = None) -> DataFrame:
     """As :func:`iqr_outliers` for every numeric column: fewer than 4 values
     give no bounds, and coinciding quartiles count nothing."""
     if not _numbers(df, columns):
@@ -193,7 +202,7 @@ def outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     flat = F.col("q1") == F.col("q3")
     few = F.coalesce(F.col("n"), F.lit(0)) < 4
     count = F.when(few | flat, F.lit(0)).otherwise(F.col("count")).cast("long")
-    return _outside(df, columns).select(
+    return _outside(df, columns, profiled).select(
         "col_no", "column", count.alias("count"), percent(count, F.col("n")).alias("percentage"),
         F.when(~few, F.col("lower")).alias("lower_bound"), F.when(~few, F.col("upper")).alias("upper_bound"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from prismatica.functions import vocabulary as V
 from prismatica.functions.columns import find_column, moment, number, numeric_columns
 from prismatica.functions.quantiles import Rank, order_statistics
+from prismatica.functions.tidy import empty_rows
 
 
 def trend_date_column(df: DataFrame) -> str | None:
@@ -28,46 +29,31 @@ def half_over_half_trend(df: DataFrame, date: str, metric: str) -> DataFrame:
     to the later half, in percent; no row with fewer than 3 rows or an earlier
     mean of 0.
 
-    The halves are cut by an order statistic instead of a sort: the date of
+    The halves are cut by two order statistics instead of a sort: the date of
     the last row of the earlier half, and among the rows of that date (which
     may be a third of the table) the metric value at the cut. Rows that tie on
-    both are equal, so any of them may stand on either side.
+    both are equal, so any of them may stand on either side. The two figures
+    reach the driver; the sums are one pass.
     """
-    half = lambda n: F.floor(n / 2).cast("long")
     rows = df.select(F.unix_micros(moment(df, date)).cast("double").alias("t"), number(df, metric).alias("y")).dropna()
-    cut = order_statistics(rows, [(date, F.col("t"))], [Rank(lambda n: half(n) - 1, 0.5)]).filter("n >= 3").select(
-        F.lit(1).alias("one"), "n", F.col("v0").alias("cut"), F.col("below0").alias("before"))
-    placed = rows.withColumn("one", F.lit(1)).join(F.broadcast(cut), "one")
-
-    # Rows of the cut date: the metric value below which rows still belong to
-    # the earlier half. The rank is only known at run time, hence ``need``.
-    ties = placed.filter("t = cut").withColumn("need", half(F.col("n")) - F.col("before"))
-    need = ties.agg(F.max("need").alias("need"), F.count(F.lit(1)).alias("n"))
-    edge = _value_at(ties, need)
-
-    y, t = F.col("y"), F.col("t")
-    early = F.when(t < F.col("cut"), y)
-    tied = t == F.col("cut")
-    sums = placed.join(F.broadcast(edge), "one").agg(
-        F.max("n").alias("n"), F.sum(early).alias("sum_early"), F.sum(y).alias("sum_all"),
-        F.sum(F.when(tied & (y < F.col("edge")), y)).alias("sum_tied"),
-        F.count_if(tied & (y < F.col("edge"))).alias("count_tied"), F.max("edge").alias("edge"),
-        F.max(half(F.col("n")) - F.col("before")).alias("need"))
-    zero = F.lit(0.0)
-    first = (F.coalesce("sum_early", zero) + F.coalesce("sum_tied", zero)
-             + (F.col("need") - F.col("count_tied")) * F.col("edge"))
-    first_mean = first / half(F.col("n"))
-    second_mean = (F.col("sum_all") - first) / (F.col("n") - half(F.col("n")))
+    cut = order_statistics(rows, [(date, F.col("t"))], [Rank("n div 2 - 1", 0.5)]).first()
+    schema = ("date_column string, metric_column string, rows long, first_mean double, second_mean double, "
+              "change_pct double, severity string")
+    if cut["n"] < 3:
+        return empty_rows(df, schema)
+    half = cut["n"] // 2
+    need, ties = half - cut["below0"], cut["same0"]
+    tied = rows.filter(F.col("t") == F.lit(cut["v0"]))
+    edge = order_statistics(
+        tied, [(metric, F.col("y"))], [Rank(str(need - 1), (need - 1) / max(ties - 1, 1))]).first()
+
+    y, at = F.col("y"), F.col("t") == F.lit(cut["v0"])
+    early = F.when((F.col("t") < F.lit(cut["v0"])) | (at & (y < F.lit(edge["v0"]))), y)
+    first = F.coalesce(F.sum(early), F.lit(0.0)) + F.lit((need - edge["below0"]) * edge["v0"])
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), (first / half).alias("first_mean"),
+                    ((F.sum(y) - first) / (cut["n"] - half)).alias("second_mean"))
     change = (F.col("second_mean") - F.col("first_mean")) / F.abs("first_mean") * 100
-    return (sums.filter("n is not null").select("n", first_mean.alias("first_mean"), second_mean.alias("second_mean"))
-            .filter("first_mean <> 0")
-            .select(F.lit(date).alias("date_column"), F.lit(metric).alias("metric_column"), F.col("n").alias("rows"),
-                    "first_mean", "second_mean", change.alias("change_pct"),
-                    F.when(change > 10, "positive").when(change < -10, "critical").otherwise("info").alias("severity")))
-
-
-def _value_at(ties: DataFrame, need: DataFrame) -> DataFrame:
-    """(one, edge): the ``need``-th smallest ``y`` of ``ties``."""
-    rank = need.select((F.col("need") - 1).alias("r")).scalar()
-    found = order_statistics(ties, [("y", F.col("y"))], [Rank(lambda n: rank)])
-    return found.select(F.lit(1).alias("one"), F.col("v0").alias("edge"))
+    return sums.filter("first_mean <> 0").select(
+        F.lit(date).alias("date_column"), F.lit(metric).alias("metric_column"), "rows", "first_mean", "second_mean",
+        change.alias("change_pct"),
+        F.when(change > 10, "positive").when(change < -10, "critical").otherwise("info").alias("severity"))

@@ -42,16 +42,17 @@ def _guarded(df: DataFrame, build) -> DataFrame:
 def analyze(df: DataFrame, target: str | None = None, order_by: list[str] | None = None, top_n: int = 10) -> Analysis:
     """Every section of the analysis of ``df``.
 
-    The per-column facts, duplicate count, outlier fences and correlations
-    feed several sections; they have a row per column or pair and are
-    persisted, so each costs its scans once. ``order_by`` is the row order the
+    The per-column facts and figures, duplicate count, outlier fences and
+    correlations feed several sections; they have a row per column or pair and
+    are persisted, so each costs its scans once. ``order_by`` is the row order the
     growth figures refer to (all columns, in schema order, if not given).
     """
     data = assert_loadable(normalize_columns(df))
     quality.check_names(data)
     goal = resolve_target(data, target)
     base = BaseProfile.of(data, persist=True)
-    fences = stats.outliers(data).persist()
+    figures = stats.numeric_profile(data).persist()
+    fences = stats.outliers(data, profiled=figures).persist()
     pairs = stats.top_correlations(data).persist()
     health = quality.health_score_b(data, base)
     ready = quality.ml_readiness(data, goal, base)
@@ -65,9 +66,9 @@ def analyze(df: DataFrame, target: str | None = None, order_by: list[str] | None
         "schema": profile.schema_report(data, base),
         "correlations": pairs,
         "outliers": fences,
-        "distributions": stats.distribution_shape(data),
+        "distributions": stats.distribution_shape(data, profiled=figures),
         "risks": risks,
-        "kpis": groups.kpi_table_b(data, order),
+        "kpis": groups.kpi_table_b(data, order, figures),
         "ml_readiness": ready,
         "executive_summary": findings.executive_summary(facts),
         "recommendations": findings.recommendations(facts),
@@ -76,8 +77,8 @@ def analyze(df: DataFrame, target: str | None = None, order_by: list[str] | None
     }
     if goal is not None:
         sections["drivers"] = _guarded(data, lambda: groups.segment_drivers(data, goal, top_n=top_n))
-        sections["target_analysis"] = _guarded(data, lambda: stats.target_analysis(data, goal))
-    return Analysis(sections, goal, [base.facts, base.dups, fences, pairs, risks])
+        sections["target_analysis"] = _guarded(data, lambda: stats.target_analysis(data, goal, profiled=figures))
+    return Analysis(sections, goal, [base.facts, base.dups, figures, fences, pairs, risks])
 
 
 def analyze_simple(df: DataFrame) -> Analysis:
