@@ -52,45 +52,41 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min(F.struct((-F.col("n")).alias("k"), "l", "d", "s")).alias("top")).select("col_no", "top.l", "top.s")
 
 
-def _wide(long: DataFrame, fields: dict[str, str], count: int) -> DataFrame:
-    """One row with every column's fill value, to be broadcast."""
-    return long.agg(*[
-        F.max(F.when(F.col("col_no") == i, F.col(field))).alias(f"{alias}{i}")
-        for i in range(count) for alias, field in fields.items()]).withColumn("__one", F.lit(1))
-
-
 def impute_median(df: DataFrame) -> DataFrame:
-    """Missing numbers become their column's median; integers turn double."""
+    """Missing numbers become their column's median; integers turn double.
+
+    Like a fitted imputer: one number per column reaches the driver and is
+    filled in as a literal, so the pass over the rows stays a projection."""
     names = numeric_columns(df)
     if not names:
         return df
-    fills = _wide(medians(df), {"__m": "fill"}, len(names))
-    new = {c: F.coalesce(number(df, c), F.col(f"__m{i}")) for i, c in enumerate(names)}
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(fills), "__one")
-    return joined.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
+    fills = {r["column"]: r["fill"] for r in medians(df).collect()}
+    return df.withColumns({c: number(df, c) if fills[c] is None else F.coalesce(number(df, c), F.lit(fills[c]))
+                           for c in names})
 
 
 def impute_mode(df: DataFrame, default: str = "Unknown") -> DataFrame:
     """Missing non-numbers become their column's mode; text without any value
-    becomes ``default``."""
+    becomes ``default``. One value per column reaches the driver."""
     names = [c for c in non_numeric_columns(df) if kind_of(dtype_of(df, c)) != "complex"]
     if not names:
         return df
-    fills = _wide(modes(df, names), {"__l": "l", "__s": "s"}, len(names))
+    found = {names[r["col_no"]]: r for r in modes(df, names).collect()}
     new = {}
-    for i, c in enumerate(names):
-        dtype = dtype_of(df, c)
-        if isinstance(dtype, T.BooleanType):
-            fill = F.col(f"__l{i}").cast("boolean")
+    for c in names:
+        dtype, top = dtype_of(df, c), found.get(c)
+        if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
+            fill = F.lit(top["s"] if top else default)
+        elif top is None:
+            continue
+        elif isinstance(dtype, T.BooleanType):
+            fill = F.lit(bool(top["l"]))
         elif isinstance(dtype, T.DateType):
-            fill = F.date_from_unix_date(F.col(f"__l{i}").cast("int"))
-        elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-            fill = F.timestamp_micros(F.col(f"__l{i}")).cast(dtype)
+            fill = F.date_from_unix_date(F.lit(top["l"]).cast("int"))
         else:
-            fill = F.coalesce(F.col(f"__s{i}"), F.lit(default))
+            fill = F.timestamp_micros(F.lit(top["l"])).cast(dtype)
         new[c] = F.coalesce(value(df, c), fill)
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(fills), "__one")
-    return joined.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
+    return df.withColumns(new) if new else df
 
 
 def clean(df: DataFrame) -> DataFrame:

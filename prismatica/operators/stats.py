@@ -213,12 +213,13 @@ def outlier_total(found: DataFrame) -> DataFrame:
 
 
 def outlier_rows(df: DataFrame, column: str) -> DataFrame:
-    """The rows whose value of ``column`` lies outside its fences."""
-    fence = tukey_bounds(df, [column]).filter("n >= 4 and q1 < q3").select(
-        F.lit(1).alias("__one"), F.col("lower").alias("__lower"), F.col("upper").alias("__upper"))
+    """The rows whose value of ``column`` lies outside its fences. The two
+    fences reach the driver, so the filter holds literals the scan can use."""
+    fence = tukey_bounds(df, [column]).first()
+    if fence["n"] < 4 or fence["q1"] == fence["q3"]:
+        return df.limit(0)
     v = number(df, column)
-    return (df.withColumn("__one", F.lit(1)).join(F.broadcast(fence), "__one")
-            .filter((v < F.col("__lower")) | (v > F.col("__upper"))).select(*[col(c) for c in df.columns]))
+    return df.filter((v < F.lit(fence["lower"])) | (v > F.lit(fence["upper"])))
 
 
 # --- correlation -----------------------------------------------------------------
@@ -276,19 +277,18 @@ def top_correlations(df: DataFrame, n: int = 30, columns: list[str] | None = Non
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """Equal-width frequencies, empty bins included; the top edge belongs to
-    the last bin."""
+    the last bin. The range of the column reaches the driver first."""
     v = number(df, column)
-    edges = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).withColumn("one", F.lit(1))
-    place = F.when(F.col("hi") > F.col("lo"), F.least(
-        F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    counts = (df.select(v.alias("v"), F.lit(1).alias("one")).filter("v is not null")
-              .join(F.broadcast(edges), "one").groupBy(place.cast("int").alias("bin"))
-              .agg(F.count(F.lit(1)).alias("frequency")))
-    width = (F.col("hi") - F.col("lo")) / bins
-    frame = edges.filter("lo is not null").select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    lo, hi = df.agg(F.min(v), F.max(v)).first()
+    if lo is None:
+        return empty_rows(df, "bin int, lower double, upper double, frequency long")
+    width = (hi - lo) / bins
+    place = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * bins), F.lit(bins - 1)) if hi > lo else F.lit(0)
+    counts = df.filter(v.isNotNull()).groupBy(place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("frequency"))
+    frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return frame.join(F.broadcast(counts), "bin", "left").select(
-        "bin", (F.col("lo") + width * F.col("bin")).alias("lower"), (F.col("lo") + width * (F.col("bin") + 1)).alias("upper"),
-        F.coalesce("frequency", F.lit(0)).alias("frequency"))
+        "bin", (F.lit(lo) + F.lit(width) * F.col("bin")).alias("lower"),
+        (F.lit(lo) + F.lit(width) * (F.col("bin") + 1)).alias("upper"), F.coalesce("frequency", F.lit(0)).alias("frequency"))
 
 
 def high_variability_features(df: DataFrame, n: int = 5) -> DataFrame:

@@ -34,8 +34,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def _undecodable(spark: SparkSession, path: str) -> bool:
-    """Whether any line holds the replacement character of a failed decode."""
-    return not spark.read.text(path).filter("contains(value, '�')").isEmpty()
+    """Whether any line is not UTF-8. This reads the text up to the first such
+    line, all of it if there is none; a given ``encoding`` saves the scan."""
+    return not spark.read.text(path).filter("not is_valid_utf8(value)").isEmpty()
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
