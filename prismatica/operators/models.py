@@ -91,7 +91,7 @@ class Preparation:
         if self.hashed:
             out.append(FeatureHasher(inputCols=[f"f_{c}" for c in self.hashed], outputCol="f__hashed", numFeatures=HASHED))
             inputs = inputs + ["f__hashed"]
-        return [*out, VectorAssembler(inputCols=inputs, outputCol="features")]
+        return [*out, VectorAssembler(inputCols=inputs, outputCol="m__features")]
 
 
 def prepare_features(df: DataFrame, target: str, scale: bool = False, keep_constant: bool = False) -> tuple[DataFrame, Preparation]:
@@ -125,11 +125,12 @@ def prepare_features(df: DataFrame, target: str, scale: bool = False, keep_const
     return rows, Preparation(numeric, categorical, fills, scale, hashed)
 
 
-def hash_split(df: DataFrame, key: list[str] | None = None, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+def hash_split(df: DataFrame, key: list[str] | None = None, test_size: float = 0.2, seed: int = 42,
+               name: str = "is_train") -> DataFrame:
     """Mark rows as train or test by a hash of their key, so the split does
     not move with partitioning and needs no shuffle."""
     keys = [value(df, c) for c in (key or df.columns)]
-    return df.withColumn("is_train", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000)) >= int(test_size * 10_000))
+    return df.withColumn(name, F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000)) >= int(test_size * 10_000))
 
 
 # --- training --------------------------------------------------------------------------
@@ -151,17 +152,20 @@ class Trained:
 
 def _candidates(problem: str, classes: int, trees: int, depth: int, variant: str, seed: int) -> dict:
     boost = dict(maxIter=200, stepSize=0.05, maxDepth=3) if variant == "b" else dict(maxIter=100, stepSize=0.1, maxDepth=3)
-    common = dict(featuresCol="features", labelCol="label")
+    common = dict(featuresCol="m__features", labelCol="m__label", predictionCol="m__prediction")
     if problem == "regression":
         return {"Linear Regression": LinearRegression(**common),
                 "Random Forest": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
                                                        featureSubsetStrategy="all", **common),
                 "Gradient Boosting": GBTRegressor(seed=seed, **boost, **common)}
+    chance = dict(probabilityCol="m__probability", rawPredictionCol="m__raw")
     gbt = GBTClassifier(seed=seed, **boost, **common)
-    return {"Logistic Regression": LogisticRegression(maxIter=2000, **common),
+    gbt = gbt.setProbabilityCol("m__probability").setRawPredictionCol("m__raw")
+    return {"Logistic Regression": LogisticRegression(maxIter=2000, **common, **chance),
             "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=TREE_MEMORY_MB,
-                                                    featureSubsetStrategy="sqrt", **common),
-            "Gradient Boosting": gbt if classes == 2 else OneVsRest(classifier=gbt, **common)}
+                                                    featureSubsetStrategy="sqrt", **common, **chance),
+            "Gradient Boosting": gbt if classes == 2 else OneVsRest(
+                classifier=gbt, rawPredictionCol="m__raw", **common)}
 
 
 def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42, key: list[str] | None = None,
@@ -188,11 +192,11 @@ def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int
         label = (F.array_position(F.array(*map(F.lit, labels)), value(rows, target).cast("string")) - 1).cast("double")
     else:
         label = number(rows, target)
-    marked = hash_split(rows, key, test_size, seed)
-    ready = prep.fill(marked).withColumn("label", label)
-    encoder = Pipeline(stages=prep.stages()).fit(ready.filter("is_train"))
+    marked = hash_split(rows, key, test_size, seed, "m__train")
+    ready = prep.fill(marked).withColumn("m__label", label)
+    encoder = Pipeline(stages=prep.stages()).fit(ready.filter("m__train"))
     data = encoder.transform(ready).persist()
-    train, test = data.filter("is_train"), data.filter("not is_train")
+    train, test = data.filter("m__train"), data.filter("not m__train")
     score = "r2" if kind == "regression" else ("f1" if variant == "b" else "accuracy")
     figures = ["mae", "rmse", "r2"] if kind == "regression" else ["accuracy", "precision", "recall", "f1"]
     rows_out, fitted = [], {}
@@ -200,8 +204,8 @@ def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int
         try:
             model = estimator.fit(train)
             pred = model.transform(test)
-            got = (evaluate_regression(pred, "label", "prediction") if kind == "regression"
-                   else evaluate_classification(pred, "label", "prediction")).first()
+            got = (evaluate_regression(pred, "m__label", "m__prediction") if kind == "regression"
+                   else evaluate_classification(pred, "m__label", "m__prediction")).first()
             fitted[name] = model
             rows_out.append((name, *[got[f] for f in figures], "Success", None))
         except Exception as failure:  # the comparison reports it
@@ -215,8 +219,8 @@ def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int
     best = min(valid, key=lambda r: (-r[at], r[0]))[0]
     pipeline = PipelineModel(stages=[*encoder.stages, fitted[best]])
     table = _decoded(fitted[best].transform(test), labels).select(
-        *[col(c) for c in df.columns if c != target], value(rows, target).alias("actual"), "prediction",
-        *(["prediction_probability"] if labels and len(labels) == 2 else []))
+        *[col(c) for c in df.columns if c != target], value(rows, target).alias("actual"), F.col("m__prediction").alias("prediction"),
+        *([F.col("m__chance").alias("prediction_probability")] if labels and len(labels) == 2 else []))
     return Trained(kind, target, best, pipeline, labels, prep, comparison, table, score)
 
 
@@ -226,17 +230,15 @@ def _decoded(pred: DataFrame, labels: list[str] | None) -> DataFrame:
     if labels is None:
         return pred
     names = F.array(*map(F.lit, labels))
-    if len(labels) == 2 and "probability" in pred.columns:
-        pred = pred.withColumn("prediction_probability", vector_to_array("probability")[1])
-    elif len(labels) == 2:
-        pred = pred.withColumn("prediction_probability", F.lit(None).cast("double"))
-    return pred.withColumn("prediction", F.get(names, F.col("prediction").cast("int")))
+    if len(labels) == 2:
+        pred = pred.withColumn("m__chance", vector_to_array("m__probability")[1])
+    return pred.withColumn("m__prediction", F.get(names, F.col("m__prediction").cast("int")))
 
 
 def predict(trained: Trained, df: DataFrame, name: str = "prediction") -> DataFrame:
     """Every row of ``df`` with the best model's prediction."""
     pred = _decoded(trained.pipeline.transform(trained.preparation.fill(df)), trained.labels)
-    return pred.select(*[col(c) for c in df.columns], F.col("prediction").alias(name))
+    return pred.select(*[col(c) for c in df.columns], F.col("m__prediction").alias(name))
 
 
 def _feature_labels(trained: Trained) -> list[str]:

@@ -10,7 +10,7 @@ from prismatica.functions.coerce import band, col, percent, ratio_eps, shown
 from prismatica.functions.columns import (
     boolean_columns, dtype_of, number, numeric_columns, text_columns, value)
 from prismatica.functions.quantiles import quantiles
-from prismatica.functions.tidy import EXPRESSIONS_PER_AGG, column_names, column_rows, empty_rows, value_counts
+from prismatica.functions.tidy import column_names, column_rows, empty_rows, value_counts
 
 
 def _numbers(df: DataFrame, columns: list[str] | None = None) -> list[tuple[str, Column]]:
@@ -224,33 +224,27 @@ def outlier_rows(df: DataFrame, column: str) -> DataFrame:
 
 # --- correlation -----------------------------------------------------------------
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Pairwise-complete correlation; NULL where either side is constant."""
-    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
-    return F.try_divide(F.covar_pop(a, b), spread)
-
-
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Every pair of numeric columns once, with its correlation.
+    """Every pair of numeric columns once, with its pairwise-complete Pearson
+    correlation; NULL where either side is constant.
 
-    Pairs are packed into as few scans as the expression limit allows."""
+    One scan: each row is expanded into its pairs and three short aggregates
+    run per pair. (All pairs side by side in one aggregate would outgrow what
+    the JVM compiles and run interpreted.)
+    """
     values = _numbers(df, columns)
     if len(values) < 2:
         return empty_rows(df, "pair_no int, feature_a string, feature_b string, correlation double")
     plain = df.select(*[v.alias(f"x{i}") for i, (_, v) in enumerate(values)])
     pairs = list(combinations(range(len(values)), 2))
-    step, parts = max(1, EXPRESSIONS_PER_AGG // 3), []
-    for start in range(0, len(pairs), step):
-        chunk = list(enumerate(pairs))[start:start + step]
-        wide = plain.agg(*[_pearson(F.col(f"x{a}"), F.col(f"x{b}")).alias(f"r{k}") for k, (a, b) in chunk])
-        parts.append(wide.select(F.inline(F.array(*[
-            F.struct(F.lit(k).alias("pair_no"), F.lit(values[a][0]).alias("feature_a"),
-                     F.lit(values[b][0]).alias("feature_b"), F.col(f"r{k}").alias("correlation"))
-            for k, (a, b) in chunk]))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    numbers = [str(k) for k in range(len(pairs))]
+    long = (plain.selectExpr(*[f"struct(x{a} AS a, x{b} AS b) AS `{k}`" for k, (a, b) in zip(numbers, pairs)])
+            .unpivot([], numbers, "pair", "p").selectExpr("cast(pair as int) AS pair_no", "p.a AS a", "p.b AS b")
+            .filter("a is not null and b is not null"))
+    r = long.groupBy("pair_no").agg(F.expr("try_divide(covar_pop(a, b), stddev_pop(a) * stddev_pop(b)) AS correlation"))
+    names = df.sparkSession.createDataFrame(
+        [(k, values[a][0], values[b][0]) for k, (a, b) in enumerate(pairs)], "pair_no int, feature_a string, feature_b string")
+    return names.join(F.broadcast(r), "pair_no", "left")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -114,3 +114,11 @@ def test_metrics(spark):
     row = M.evaluate_classification(df, "y", "p").first()
     assert row["accuracy"] == 0.5 and row["recall"] == 0.5
     assert row["precision"] == pytest.approx((2 * 1 + 1 * (1 / 3)) / 4)
+
+
+def test_three_classes_and_a_target_named_like_an_internal_column(spark):
+    df = spark.range(240).selectExpr("id", "cast(id % 12 as double) AS features", "concat('c', (id % 12) div 4) AS prediction")
+    got = M.train_compare(df, "prediction", key=["id"], trees=8, max_depth=4)
+    assert got.labels == ["c0", "c1", "c2"]
+    assert got.comparison.filter("status = 'Success'").count() == 3
+    assert set(got.predictions.columns) == {"id", "features", "actual", "prediction"}
