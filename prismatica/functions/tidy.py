@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from prismatica.functions.columns import dtype_of, value
 
-# Expressions per aggregate; keeps one generated stage below the JVM's
-# method-size limit on wide tables.
-EXPRESSIONS_PER_AGG = 200
+# Expressions per aggregate; beyond this the generated method grows past what
+# the JVM compiles and the aggregate runs interpreted, ten times slower.
+EXPRESSIONS_PER_AGG = 30
 
 _LONG_SLOT = (T.IntegralType, T.BooleanType)
 _TIME_SLOT = (T.TimestampType, T.TimestampNTZType)
@@ -51,6 +51,11 @@ def empty_rows(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
+def digested(s: Column) -> Column:
+    """Text of up to 64 characters as it is, longer text as its SHA-256."""
+    return F.when(F.length(s) > _DIGEST_FROM, F.sha2(s, 256)).otherwise(s)
+
+
 def cells(df: DataFrame, columns: list[str] | None = None, digest: bool = False) -> DataFrame:
     """One row per cell: col_no and the value in a long, double or string slot.
 
@@ -73,8 +78,7 @@ def cells(df: DataFrame, columns: list[str] | None = None, digest: bool = False)
         elif isinstance(dtype, (T.FloatType, T.DoubleType)):
             slots["d"] = v.cast("double")
         else:
-            s = v.cast("string")
-            slots["s"] = F.when(F.length(s) > _DIGEST_FROM, F.sha2(s, 256)).otherwise(s) if digest else s
+            slots["s"] = digested(v.cast("string")) if digest else v.cast("string")
         packed.append(F.struct(*[c.alias(k) for k, c in slots.items()]).alias(str(i)))
     long = df.select(*packed).unpivot([], [str(i) for i in range(len(columns))], "col_no", "v")
     return long.select(F.col("col_no").cast("int"), "v.l", "v.d", "v.s")

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prismatica.functions.columns import number
+from prismatica.functions.columns import number, value
 from prismatica.functions.coerce import col
 from prismatica.functions.quantiles import quantiles
 
@@ -202,7 +202,10 @@ def anomaly_ensemble(df: DataFrame, column: str, contamination: float = 0.03, tr
               .when(by_forest, "Isolation Forest").otherwise("Normal"))
     out = scored.withColumns({"anomaly_score": F.round(score, 4), "anomaly": by_z | by_forest,
                               "anomaly_reason": reason}).drop("__iso", "__rob")
-    return out.orderBy(F.desc_nulls_last("anomaly_score")) if ordered else out
+    # Scores repeat (most rows may share one), so a hash of the row splits the
+    # ties between the sort's partitions.
+    tie = F.xxhash64(*[value(df, c) for c in (key or df.columns)])
+    return out.orderBy(F.desc_nulls_last("anomaly_score"), tie) if ordered else out
 
 
 def anomaly_rows(scored: DataFrame) -> DataFrame:

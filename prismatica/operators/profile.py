@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from prismatica.functions import vocabulary as V
 from prismatica.functions.coerce import col, percent, to_time
 from prismatica.functions.columns import dtype_of, kind_of, moment, value
-from prismatica.functions.tidy import column_rows, empty_rows, value_counts
+from prismatica.functions.tidy import column_rows, digested, empty_rows, value_counts
 
 FACTS = ("col_no int, column string, dtype string, kind string, rows long, "
          "missing long, distinct long, dated long")
@@ -46,11 +46,13 @@ def duplicates(df: DataFrame) -> DataFrame:
     """One row: rows and duplicate rows (all rows but the first of each).
 
     Copies collapse in the partial aggregate, so a row copied a billion times
-    costs one record per task.
+    costs one record per task. Long texts are compared by their SHA-256, so
+    whole documents stay out of the shuffle.
     """
     if not df.columns:
         return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("duplicate_rows"))
-    keys = [value(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
+    text = [kind_of(f.dataType) in ("categorical", "complex") for f in df.schema.fields]
+    keys = [(digested(value(df, c)) if t else value(df, c)).alias(f"k{i}") for i, (c, t) in enumerate(zip(df.columns, text))]
     groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
                       F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))

@@ -120,7 +120,7 @@ def target_stats(df: DataFrame, target: str) -> DataFrame:
     y = number(df, target)
     found = quantiles(df, [(target, y)], [0.5], extras=lambda v: {
         "mean": F.avg(v), "std": F.stddev_samp(v), "sum": F.sum(v), "variance": F.var_samp(v),
-        "missing": F.count_if(v.isNull()), "rows": F.count(F.lit(1))})
+        "missing": F.count_if(v.isNull()), "rows": F.count(F.lit(1))}).fillna(0, ["missing", "rows"])
     return found.select(
         F.col("column").alias("target"), (F.col("n") > 0).alias("available"), F.col("n").alias("count"), "mean",
         F.col("q0").alias("median"), F.col("low").alias("min"), F.col("high").alias("max"), "std", "sum",
