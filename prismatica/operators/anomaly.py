@@ -9,16 +9,22 @@ in one pass over the whole table.
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prismatica.functions.columns import number, value
 from prismatica.functions.coerce import col
 from prismatica.functions.quantiles import quantiles
 
+# The tree helpers travel to the executors with the job, so the package need
+# not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAD_SCALE, EPSILON, ROBUST_CUT = 1.4826, 1e-9, 3.5
 SAMPLE = 256
 AUTO_CUT = 0.5
