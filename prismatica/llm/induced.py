@@ -20,9 +20,6 @@ from prismatica.llm.common import ship
 
 ship(sys.modules[__name__])
 
-ITEM = np.dtype([("at", np.int64), ("lcp", np.uint16)])
-
-
 class ByteQueue:
     """Monotone priority queue of suffix tuples, keyed by (first byte, arrival)."""
 
@@ -31,10 +28,8 @@ class ByteQueue:
         self.runs: dict[int, list] = {}
 
     def push(self, byte: int, at: np.ndarray, lcp: np.ndarray) -> None:
-        items = np.empty(len(at), ITEM)
-        items["at"], items["lcp"] = at, lcp
-        self.runs.setdefault(byte, []).append(items)
-        self.held += len(items)
+        self.runs.setdefault(byte, []).append((at, lcp))
+        self.held += len(at)
         if self.held > self.bound:
             self._spill()
 
@@ -42,26 +37,25 @@ class ByteQueue:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
         for runs in self.runs.values():
-            for i, run in enumerate(runs):
-                if isinstance(run, np.ndarray):
-                    runs[i] = (self.file.seek(0, 2), len(run))
-                    self.file.write(run.tobytes())
+            for i, (at, lcp) in enumerate(runs):
+                if lcp is not None:
+                    runs[i] = (self.file.seek(0, 2), len(at)), None
+                    self.file.write(at.tobytes())
+                    self.file.write(lcp.tobytes())
         self.held = 0
 
-    def pop(self, byte: int) -> np.ndarray | None:
+    def pop(self, byte: int) -> tuple[np.ndarray, np.ndarray] | None:
         """All tuples of this byte that have arrived so far, in order."""
         runs = self.runs.pop(byte, None)
         if not runs:
             return None
-        parts = []
-        for run in runs:
-            if isinstance(run, np.ndarray):
-                self.held -= len(run)
+        for i, (at, lcp) in enumerate(runs):
+            if lcp is None:
+                self.file.seek(at[0])
+                runs[i] = np.frombuffer(self.file.read(at[1] * 8), np.int64), np.frombuffer(self.file.read(at[1] * 2), np.uint16)
             else:
-                self.file.seek(run[0])
-                run = np.frombuffer(self.file.read(run[1] * ITEM.itemsize), ITEM)
-            parts.append(run)
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+                self.held -= len(at)
+        return np.concatenate([at for at, _ in runs]), np.concatenate([lcp for _, lcp in runs])
 
     def close(self) -> None:
         if self.file is not None:
@@ -70,8 +64,7 @@ class ByteQueue:
 
 def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes from each position as one big-endian number; ``text`` is padded."""
-    view = np.lib.stride_tricks.sliding_window_view(text, 8)
-    return np.ascontiguousarray(view[at]).view(">u8").ravel().astype(np.uint64)
+    return np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))[at].byteswap()
 
 
 def _ranked(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -214,7 +207,7 @@ def sorted_suffixes(raw: bytes, depth: int, held: int = 4_000_000) -> tuple[np.n
     for c in range(256):
         last = None
         while (items := queue.pop(c)) is not None:
-            at, lcp = items["at"], items["lcp"].copy()
+            at, lcp = items
             if last is None:
                 lcp[0] = 0
             larger.setdefault(c, []).append((at, lcp))
@@ -233,7 +226,7 @@ def sorted_suffixes(raw: bytes, depth: int, held: int = 4_000_000) -> tuple[np.n
         done: list = []
         last = None
         while (items := queue.pop(c)) is not None:
-            at, lcp = items["at"], items["lcp"].copy()
+            at, lcp = items
             if last is None:
                 lcp[0] = 0
             done.append((at, lcp))

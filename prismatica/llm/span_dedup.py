@@ -22,38 +22,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismatica.llm.common import mixed, shares, ship, whole_text
+from prismatica.llm.common import MIX1, mixed, shares, ship, whole_text
 from prismatica.llm.induced import sorted_suffixes
 
 ship(sys.modules[__name__])
 
 GRAM = 48
+CHUNK = 1 << 16
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all ``length``-byte strings that lie within one
-    of the texts [starts[i], ends[i]) of ``data``."""
-    n, width = len(data), length - GRAM + 1
-    if n < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    words = np.ndarray((n - 7,), "<u8", data, strides=(1,))
-    h16 = mixed(words[:-8] * STEP + words[8:])
-    h32 = mixed(h16[:-16] * STEP + h16[16:])
-    h = mixed(h32[:len(h16) - 32] * STEP + h16[32:])
-    ranked = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    padded = np.full(-(-len(h) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:len(h)] = ranked
-    rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    behind = np.minimum.accumulate(rows, axis=1).ravel()
-    least = np.minimum(ahead[:n - length + 1], behind[width - 1:width + n - length])
-    inside = np.zeros(n + 1, np.int64)  # strings that start here end inside the same text
-    wide = ends - starts >= length
-    inside[starts[wide]] += 1
-    inside[ends[wide] - length + 1] -= 1
-    at = np.unique(least[np.cumsum(inside)[:n - length + 1] > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return at, h[at]
+def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The anchors of all ``length``-byte strings that lie within one of the texts
+    [starts[i], ends[i]) of ``data``: positions, hashes, and the first and last start of the
+    strings that an anchor serves. Each string is served by one anchor."""
+    width = length - GRAM + 1
+    found = []
+    for low in range(0, max(0, len(data) - length + 1), CHUNK):
+        n = min(CHUNK, len(data) - length + 1 - low)
+        words = np.ndarray((n + length - 8,), "<u8", data, offset=low, strides=(1,))
+        h = words[:-8] * STEP + words[8:]
+        h ^= h >> np.uint64(29)
+        h = h[:-16] * STEP + h[16:]
+        h ^= h >> np.uint64(29)
+        h = mixed(h[:n + length - GRAM] * STEP + words[32:32 + n + length - GRAM] * MIX1 + words[40:40 + n + length - GRAM])
+        ranked = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        padded = np.full(-(-len(h) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
+        padded[:len(h)] = ranked
+        rows = padded.reshape(-1, width)
+        ahead = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        behind = np.minimum.accumulate(rows, axis=1).ravel()
+        least = np.minimum(ahead[:n], behind[width - 1:width - 1 + n])
+        first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+        at = (least[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        found.append((at + low, h[at], first + low, np.append(first[1:] - 1, n - 1) + low))
+    if not found:
+        return tuple(np.empty(0, kind) for kind in (np.int64, np.uint64, np.int64, np.int64))
+    at, key, first, last = (np.concatenate(x) for x in zip(*found))
+    same = np.append(False, at[1:] == at[:-1])  # one anchor on both sides of a chunk's end
+    group = np.flatnonzero(~same)
+    last = last[np.append(group[1:] - 1, len(at) - 1)]
+    at, key, first = at[group], key[group], first[group]
+    text = np.searchsorted(starts, at, side="right") - 1
+    first, last = np.maximum(first, starts[text]), np.minimum(last, ends[text] - length)
+    served = first <= last
+    return at[served], key[served], first[served], last[served]
 
 
 class _Block:
@@ -69,11 +82,12 @@ class _Block:
             return
         self.data = b"".join(self.texts)
         self.starts = np.concatenate(([0], np.cumsum([len(t) for t in self.texts]))).astype(np.int64)
-        self.at, key = anchors(self.data, self.starts[:-1], self.starts[1:], length)
+        self.at, key, self.first, self.last = anchors(self.data, self.starts[:-1], self.starts[1:], length)
         self.unit = np.searchsorted(self.starts, self.at, side="right") - 1
         self.bucket = (key >> np.uint64(20)).astype(np.int64) % buckets
         order = np.lexsort((self.unit, key, self.bucket))
-        self.at, self.unit, self.bucket, self.key = self.at[order], self.unit[order], self.bucket[order], key[order]
+        self.key = key[order]
+        self.unit, self.bucket, self.first, self.last = (x[order] for x in (self.unit, self.bucket, self.first, self.last))
 
     def parts(self):
         """(bucket, slice of the anchors in it)."""
@@ -117,7 +131,7 @@ def _surroundings(length: int, buckets: int):
         if not docs.num_rows:
             return schema.empty_table()
         block = _Block(docs.column("text"), length, buckets)
-        flag = np.zeros(len(block.at), bool)
+        flag = np.zeros(len(block.unit), bool)
         where = dict(block.parts())
         rests = np.zeros(len(block.units), bool)
         for row in told.to_pylist():
@@ -128,12 +142,10 @@ def _surroundings(length: int, buckets: int):
                 rests[block.place[row["unit"]]] = True
         if len(rests):
             flag &= ~rests[block.unit]
-        at, unit = block.at[flag], block.unit[flag]
-        low = block.starts[unit]
-        a = np.maximum(at - (length - GRAM), low)
-        z = np.minimum(at + length, block.starts[unit + 1])
+        unit = block.unit[flag]
+        low, a, z = block.starts[unit], block.first[flag], block.last[flag] + length
         number = docs.column("block")[0].as_py()
-        return pa.table([pa.array(block.bucket[flag].astype(np.int32)), pa.array(np.full(len(at), number, np.int32)),
+        return pa.table([pa.array(block.bucket[flag].astype(np.int32)), pa.array(np.full(len(unit), number, np.int32)),
                          pa.array([block.units[u] for u in unit], pa.binary()), pa.array(a - low),
                          pa.array([block.data[i:j] for i, j in zip(a, z)], pa.binary())], schema=schema)
     return run
@@ -215,7 +227,7 @@ def _removed(length: int, columns: list[str]):
     return run
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, share_mb: int = 8,
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, share_mb: int = 4,
                    held: int = 4_000_000) -> DataFrame:
     """Each row of ``docs`` with n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in
     bytes) and kept, the rest as text without characters that were cut in two.
