@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from prismatica.llm.backoff_lm import backoff_scores
 from prismatica.llm.common import table
 from prismatica.llm.near_dedup import near_duplicates
 from prismatica.llm.span_dedup import repeated_spans
@@ -31,3 +32,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles agree to 85 in 100."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+@query
+def op1_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all texts, learnt from those outside the held-out seventh."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = backoff_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
