@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from prismatica.llm.backoff_lm import backoff_scores
 from prismatica.llm.common import table
 from prismatica.llm.near_dedup import near_duplicates
+from prismatica.llm.pieces import encoded, load_pieces
+from prismatica.llm.quality_rank import ranked_quality, train_ranking
 from prismatica.llm.span_dedup import repeated_spans
+from prismatica.llm.toxicity import chain_scores, train_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +43,33 @@ def op1_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     scored = backoff_scores(table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: Categories of the chain, in order, as the labels table has them.
+TOXICITY = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+
+
+@query
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each category for all documents, and whether a document is rejected."""
+    docs = table(spark, sf_dir, "documents")
+    models = train_chain(docs, table(spark, sf_dir, "labels"), TOXICITY)
+    p = F.col("probabilities")
+    return chain_scores(docs, models, carry=["doc_id"]).select(
+        "doc_id", *[p[i].alias(name) for i, name in enumerate(TOXICITY)], (p[len(TOXICITY) - 1] >= 0.5).alias("rejected"))
+
+
+@query
+def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from pairs outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = train_ranking(docs, table(spark, sf_dir, "labels"), only=~held_out)
+    return ranked_quality(docs, model, carry=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents; same tells that decoding gives the text back."""
+    return encoded(table(spark, sf_dir, "documents"), load_pieces(), carry=["doc_id"])
