@@ -56,6 +56,9 @@ class Encoder:
         self.plain, self.first_byte, self.byte_score = vocabulary["plain"], vocabulary["first_byte"], vocabulary["byte_score"]
         self.bytes = vocabulary["bytes"]
         self.longest = max(map(len, self.plain))
+        self.sizes = [1] * (len(self.bytes) + 1)  # in characters; the last one is a character in bytes
+        for p, (_, i) in self.plain.items():
+            self.sizes[i] = len(p)
         #: Every beginning of a piece, with score and id where it is one.
         self.starts: dict[str, tuple[float, int] | None] = {p[:n]: None for p in self.plain for n in range(1, len(p))} | self.plain
         inner = any(MARK in p.lstrip(MARK) for p in self.plain)
@@ -65,65 +68,65 @@ class Encoder:
 
     def stream(self, chars: str) -> Iterator[list[int]]:
         """Ids of a string in final order, as they become final."""
-        n, starts, longest, none = len(chars), self.starts, self.longest, -math.inf
-        best, size, piece = [0.0] + [none] * longest, [0] * (longest + 1), [0] * (longest + 1)  # from ``base`` on
+        n, starts, longest, none = len(chars), self.starts.get, self.longest, -math.inf
+        window = min(n, 5 * longest)
+        best, piece = [0.0] + [none] * window, [0] * (window + 1)  # of the boundaries from ``base`` on
         base = ahead = 0  # ahead: the furthest end of a piece that starts before the current place
         for i in range(n):
             at = i - base
             here = best[at]
-            best.append(none), size.append(0), piece.append(0)
             end, single = i, False
             while end < n:
                 end += 1
-                found = starts.get(chars[i:end], 0)
-                if found is None:
-                    continue
-                if found == 0:
+                found = starts(chars[i:end], 0)
+                if found:
+                    score, j = here + found[0], end - base
+                    if score > best[j]:
+                        best[j], piece[j] = score, found[1]
+                    if end > ahead:
+                        ahead = end
+                    if end == i + 1:
+                        single = True
+                elif found == 0:
                     break
-                step = end - i
-                score = here + found[0]
-                if score > best[at + step]:
-                    best[at + step], size[at + step], piece[at + step] = score, step, found[1]
-                if end > ahead:
-                    ahead = end
-                if step == 1:
-                    single = True
             if not single:
                 cost = here + self.byte_score * len(self._raw(chars[i]))
                 if cost > best[at + 1]:
-                    best[at + 1], size[at + 1], piece[at + 1] = cost, 1, -1
+                    best[at + 1], piece[at + 1] = cost, -1
                 if ahead <= i:
                     ahead = i + 1
-            if at >= 4 * longest:
-                meeting = self._meeting(at + 1, ahead - base, best, size)
+            if at >= 3 * longest and n - base > window:
+                meeting = self._meeting(at + 1, ahead - base, best, piece)
                 if meeting:
-                    yield self._ids(chars, base, meeting, size, piece)
-                    best, size, piece, base = best[meeting:], size[meeting:], piece[meeting:], base + meeting
+                    yield self._ids(chars, base, meeting, piece)
+                    best, piece, base = best[meeting:] + [none] * meeting, piece[meeting:] + [0] * meeting, base + meeting
+                elif ahead - base + longest >= len(best):
+                    best, piece = best + [none] * window, piece + [0] * window
         if n > base:
-            yield self._ids(chars, base, n - base, size, piece)
+            yield self._ids(chars, base, n - base, piece)
 
     @staticmethod
     def _raw(char: str) -> bytes:
         return char.encode("utf-8", "surrogatepass")
 
-    @staticmethod
-    def _meeting(low: int, high: int, best: list, size: list) -> int:
+    def _meeting(self, low: int, high: int, best: list, piece: list) -> int:
         """The last boundary on the backpointer paths of all live boundaries, low to high."""
         live = {j for j in range(low, high + 1) if best[j] > -math.inf}
         while len(live) > 1:
             last = max(live)
             live.remove(last)
-            live.add(last - size[last])
+            live.add(last - self.sizes[piece[last]])
         return live.pop()
 
-    def _ids(self, chars: str, base: int, end: int, size: list, piece: list) -> list[int]:
-        out = []
+    def _ids(self, chars: str, base: int, end: int, piece: list) -> list[int]:
+        out, sizes = [], self.sizes
         while end > 0:
-            if piece[end] >= 0:
-                out.append(piece[end])
+            p = piece[end]
+            if p >= 0:
+                out.append(p)
             else:
                 out.extend(self.first_byte + b for b in reversed(self._raw(chars[base + end - 1])))
-            end -= size[end]
+            end -= sizes[p]
         out.reverse()
         return out
 
