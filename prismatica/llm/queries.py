@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismatica.llm.backoff_lm import backoff_scores
 from prismatica.llm.common import table
+from prismatica.llm.decontaminate import contaminated
+from prismatica.llm.licenses import license_scan
 from prismatica.llm.near_dedup import near_duplicates
 from prismatica.llm.pieces import encoded, load_pieces
 from prismatica.llm.quality_rank import ranked_quality, train_ranking
@@ -73,3 +75,15 @@ def op5_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents; same tells that decoding gives the text back."""
     return encoded(table(spark, sf_dir, "documents"), load_pieces(), carry=["doc_id"])
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of all documents."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, also with other values."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
