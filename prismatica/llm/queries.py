@@ -10,6 +10,7 @@ from prismatica.llm.backoff_lm import backoff_scores
 from prismatica.llm.common import table
 from prismatica.llm.decontaminate import contaminated
 from prismatica.llm.licenses import license_scan
+from prismatica.llm.lz_fingerprint import edited_likeness
 from prismatica.llm.near_dedup import near_duplicates
 from prismatica.llm.pieces import encoded, load_pieces
 from prismatica.llm.quality_rank import ranked_quality, train_ranking
@@ -87,3 +88,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, also with other values."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their likeness to an edited text and the next document."""
+    return edited_likeness(table(spark, sf_dir, "documents"))
