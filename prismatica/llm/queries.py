@@ -11,6 +11,7 @@ from prismatica.llm.common import table
 from prismatica.llm.decontaminate import contaminated
 from prismatica.llm.licenses import license_scan
 from prismatica.llm.lz_fingerprint import edited_likeness
+from prismatica.llm.main_text import main_text
 from prismatica.llm.near_dedup import near_duplicates
 from prismatica.llm.pieces import encoded, load_pieces
 from prismatica.llm.quality_rank import ranked_quality, train_ranking
@@ -94,3 +95,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their likeness to an edited text and the next document."""
     return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_text(table(spark, sf_dir, "pages"))
