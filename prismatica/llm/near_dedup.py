@@ -58,7 +58,7 @@ def _signatures(bands: int, rows: int, width: int):
                 m = minima(s, bands, rows)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append([xxhash.xxh3_64_intdigest(m[i * rows:(i + 1) * rows].tobytes(), i) - 2**63 for i in range(bands)])
-                signatures.append(m.tobytes())
+                signatures.append(m.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
@@ -79,12 +79,53 @@ def _estimated(least: float):
     """Pairs whose signatures agree in at least this share of places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [bool((np.frombuffer(x.as_buffer(), np.uint32) == np.frombuffer(y.as_buffer(), np.uint32)).mean() >= least)
+            keep = [bool((np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)).mean() >= least)
                     for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
+def _across(least: float):
+    """Pairs of members of one bucket, of different components, whose signatures agree in at
+    least this share of places. Rows come sorted by bucket; pairs below it are never rows."""
+    def pairs(ids: list, component: list, signature: list) -> tuple[list, list]:
+        names, number = np.unique(np.array(component), return_inverse=True)
+        if len(names) < 2:
+            return [], []
+        sign = np.frombuffer(b"".join(signature), np.uint8).reshape(len(ids), -1)
+        wanted, a, b = least * sign.shape[1], [], []
+        for low in range(0, len(ids), 32):
+            block = sign[low:low + 32]
+            agree = (block[:, None, :] == sign[None, low:, :]).sum(2) >= wanted
+            agree &= number[low:low + 32, None] != number[None, low:]
+            i, j = np.nonzero(np.triu(agree))
+            a += [min(ids[low + x], ids[low + y]) for x, y in zip(i, j)]
+            b += [max(ids[low + x], ids[low + y]) for x, y in zip(i, j)]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, kind = None, ([], [], []), None
+
+        def out(a: list, b: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            some_a, some_b = [], []
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "component", "signature"))):
+                if bucket != now:
+                    a, b = pairs(*members) if members[0] else ([], [])
+                    some_a += a
+                    some_b += b
+                    now, members = bucket, ([], [], [])
+                for held, value in zip(members, row):
+                    held.append(value)
+            yield out(some_a, some_b)
+        if members[0]:
+            yield out(*pairs(*members))
+    return run
+
+
 def _linked(percent: int):
     """Pairs of sets with ``100 * |x & y| >= percent * |x | y|``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +167,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     shared = entries.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("bucket", "a")
     buckets = stored(entries.join(shared, "bucket"))
 
+    least = percent / 100 - 0.18  # five standard deviations of an estimate by 125 minima
+
     def confirmed(candidates: DataFrame) -> DataFrame:
-        least = percent / 100 - 0.2
         hopeful = stored(_with_both(candidates.distinct(), reps, "signature").mapInArrow(_estimated(least), candidates.schema))
         wanted = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         shingles = source.join(wanted, "id").mapInArrow(_sets(width), f"id {dict(docs.dtypes)[key]}, shingles binary")
@@ -138,11 +180,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     named = buckets.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    open_entries = stored(named.join(mixed.select("bucket"), "bucket"))
-    tried = buckets.select("bucket", F.col("a").alias("low_id")).distinct()
-    across = (open_entries.alias("l").join(open_entries.alias("r"), "bucket")
-              .filter("l.component != r.component and l.id < r.id").select("bucket", F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-              .join(tried, "bucket").filter("a != low_id").select("a", "b"))
+    # Signatures are compared inside the tasks: only pairs that agree become rows.
+    open_entries = (named.join(mixed.select("bucket"), "bucket").join(reps.select("id", "signature"), "id")
+                    .repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id", "component", "signature"))
+    across = open_entries.mapInArrow(_across(least), links.schema)
     more = stored(confirmed(across))
     if not more.isEmpty():
         links = links.unionByName(more)
