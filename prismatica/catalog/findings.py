@@ -94,7 +94,7 @@ ov AS (SELECT s.*, 100 - least(m * 0.7, 50) - least(d * 0.3, 20) AS health, outl
 def _overview(t):
     c = t("copies")
     fences_ = S.outliers(c)
-    return N.overview(c, "o_totalprice", Q.health_score_b(c), Q.risk_register(c, bounds=fences_), fences_,
+    return N.overview(c, "o_totalprice", Q.health_score_b(c), Q.risk_register(c, limit=None, bounds=fences_), fences_,
                       S.top_correlations(c), Q.ml_readiness(c, "o_totalprice"))
 
 

@@ -74,7 +74,7 @@ def m4_metrics(t):
 @query("m4_forecast")
 def m4(t):
     """Fourteen days ahead of the daily order value."""
-    return C.forecast_backtest(t("orders"), "o_orderdate", "o_totalprice", trees=60).forecast
+    return C.forecast_backtest(t("orders"), "o_orderdate", "o_totalprice").forecast
 
 
 @query("m5_prepare_features")

@@ -171,7 +171,7 @@ round(avg(dp), 4) AS average_profit_change_pct, round(avg(risk), 4) AS average_r
   FROM sales, (SELECT quantile_cont(profit, 0.25) AS q1, quantile_cont(profit, 0.75) AS q3 FROM sales)) WHERE h * 100.0 / n >= 5), 25.0) AS confidence_score FROM b""")
 def d13(t):
     s = t("sales")
-    p = S.decision_package(s, Q.health_score_b(s), Q.risk_register(s))
+    p = S.decision_package(s, Q.health_score_b(s), Q.risk_register(s, limit=None))
     return rounded(p.select("status", "total_revenue", "total_profit", "scenario_count", "best_scenario", "average_profit_change_pct",
                             "average_risk_score", "data_health_score", "confidence_score"), 4, total_revenue=2, total_profit=2)
 

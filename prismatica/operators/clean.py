@@ -15,8 +15,10 @@ from prismatica.sources.readers import normalize_columns
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """One copy of every row; NaN and missing count as the same value."""
-    return canonical(df).dropDuplicates()
+    """One copy of every row as it is; NaN and missing count as the same value."""
+    names = [f"k__{i}" for i in range(len(df.columns))]
+    keyed = df.select(*[col(c) for c in df.columns], *[value(df, c).alias(k) for c, k in zip(df.columns, names)])
+    return keyed.dropDuplicates(names).select(*[col(c) for c in df.columns])
 
 
 def date_parse_rates(df: DataFrame) -> DataFrame:
@@ -100,10 +102,20 @@ def drop_missing(df: DataFrame, subset: list[str] | None = None, how: str = "any
                  empty_columns: bool = False) -> DataFrame:
     """Drop rows with missing values (``any`` or ``all`` of ``subset``), and
     with ``empty_columns`` the columns that hold no value at all."""
-    out = canonical(df)
+    if how not in ("any", "all", "columns"):
+        raise ValueError(f"how must be any, all or columns, not {how}")
+    out = df
     if empty_columns:
-        some = column_rows(out, [(c, {"n": F.count(col(c))}) for c in out.columns])
+        some = column_rows(df, [(c, {"n": F.count(value(df, c))}) for c in df.columns])
         gone = {r["column"] for r in some.filter("n = 0").collect()}
-        out = out.select(*[col(c) for c in out.columns if c not in gone])
-        return out if subset is None and how == "columns" else out.na.drop(how=how, subset=subset)
-    return out.na.drop(how=how, subset=subset)
+        out = df.select(*[col(c) for c in df.columns if c not in gone])
+        if subset is None and how == "columns":
+            return out
+    asked = [c for c in (out.columns if subset is None else subset)]
+    if not asked:
+        return out
+    there = [value(out, c).isNotNull() for c in asked]
+    keep = there[0]
+    for one in there[1:]:
+        keep = keep & one if how == "any" else keep | one
+    return out.filter(keep)

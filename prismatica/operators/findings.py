@@ -70,7 +70,7 @@ def business_findings(df: DataFrame) -> DataFrame:
     spread = F.coalesce(F.try_divide(F.col("r_high") - F.col("r_low"), F.abs("r_low")) * 100, F.lit(0.0))
     margin = F.try_divide(F.coalesce(p, F.lit(0.0)), r) * 100 if names["r"] and names["p"] else F.lit(None).cast("double")
     grade = (F.when(margin >= 20, "positive").when(margin >= 10, "info").when(margin >= 0, "warning").otherwise("critical"))
-    money = lambda label, c: F.format_string(f"Total {label} is %,.2f.", c)
+    money = lambda label, c: F.format_string("Total %s is %,.2f.", F.lit(label), c)
     perf, prof = "Business Performance", "Profitability"
     return _rows(df.agg(*aggs), [
         F.when(F.col("r_n") > 0, _finding(
@@ -98,8 +98,8 @@ def business_findings(df: DataFrame) -> DataFrame:
             15, "Operations", "Volume baseline established", money(names["q"] or "", q), "info", names["q"], F.round(q, 2)))])
 
 
-def segment_findings(df: DataFrame, max_dims: int = 5) -> DataFrame:
-    """Leading or dominating segment of the first category columns."""
+def segment_findings(df: DataFrame, max_dims: int | None = None) -> DataFrame:
+    """Leading or dominating segment of the category columns, all or the first ``max_dims``."""
     metric = find_column(df, V.FINDING_SEGMENT_WORDS) or next(iter(numeric_columns(df)), None)
     if metric is None or not non_numeric_columns(df):
         return empty_rows(df, FINDING)
@@ -108,7 +108,7 @@ def segment_findings(df: DataFrame, max_dims: int = 5) -> DataFrame:
     return s.select(
         (F.col("dim_no") + 21).cast("int").alias("seq"), F.lit("Segmentation").alias("category"),
         F.concat("dimension", F.when(heavy, " concentration detected").otherwise(" leader identified")).alias("title"),
-        F.format_string(f"'%s' contributes about %.1f%% of total {metric}.", "top_segment", "share_pct").alias("message"),
+        F.format_string("'%s' contributes about %.1f%% of total %s.", "top_segment", "share_pct", F.lit(metric)).alias("message"),
         F.when(heavy, "warning").otherwise("info").alias("severity"), F.lit(metric).alias("metric"),
         F.round("share_pct", 2).alias("value"),
         F.when(heavy, F.format_string("Review the dependency on '%s' (%s) and ways to diversify.", "top_segment", "dimension"))
@@ -126,17 +126,17 @@ def trend_findings(df: DataFrame) -> DataFrame:
     return t.select(
         F.lit(31).alias("seq"), F.lit("Trend Analysis").alias("category"),
         pick("Positive trend detected", "Negative trend detected", "Trend is relatively stable").alias("title"),
-        F.format_string(f"{metric} changed by %+.2f%% from the earlier to the later half.", "change_pct").alias("message"),
+        F.format_string("%s changed by %+.2f%% from the earlier to the later half.", F.lit(metric), "change_pct").alias("message"),
         s.alias("severity"), F.lit(metric).alias("metric"), F.round("change_pct", 2).alias("value"),
         pick("Find the drivers of the growth and whether it lasts.",
              "Find the products, regions or channels behind the decline.",
              "Keep watching the metric.").alias("recommendation"))
 
 
-def all_findings(df: DataFrame, shared: BaseProfile | None = None) -> DataFrame:
+def all_findings(df: DataFrame, shared: BaseProfile | None = None, max_dims: int | None = None) -> DataFrame:
     """Quality, business, segment and trend findings in report order."""
     return (quality_findings(df, shared).unionByName(business_findings(df))
-            .unionByName(segment_findings(df)).unionByName(trend_findings(df)))
+            .unionByName(segment_findings(df, max_dims)).unionByName(trend_findings(df)))
 
 
 def findings_rollup(findings: DataFrame) -> DataFrame:

@@ -84,7 +84,8 @@ def _recent_features(history: Column, lags: int) -> dict[str, Column]:
             "rolling_mean_7": mean, "rolling_std_7": F.sqrt(variance)}
 
 
-def recursive_forecast(points: DataFrame, model: RandomForestRegressionModel, periods: int, lags: int) -> DataFrame:
+def recursive_forecast(points: DataFrame, model: RandomForestRegressionModel, periods: int, lags: int,
+                       grain: str | None = None) -> DataFrame:
     """(series, date, forecast): each step is predicted for all series at once
     from the values before it, own predictions included, never below 0.
 
@@ -101,14 +102,14 @@ def recursive_forecast(points: DataFrame, model: RandomForestRegressionModel, pe
             "series", "last", F.concat("history", F.array(F.greatest(F.col("prediction"), F.lit(0.0)))).alias("history"))
     future = F.slice(F.col("history"), -periods, periods)
     return state.select("series", "last", F.posexplode(future).alias("k", "forecast")).select(
-        "series", (F.col("last") + F.make_dt_interval(F.col("k") + 1)).alias("date"), "forecast")
+        "series", F.timestamp_add((grain or "day").upper(), F.col("k") + 1, F.col("last")).cast(points.schema["date"].dataType).alias("date"), "forecast")
 
 
 def forecast_backtest(df: DataFrame, date: str, target: str, periods: int = 14, lags: int = 7,
                       series: str | None = None, grain: str | None = None, trees: int = 300, max_depth: int = 12,
                       seed: int = 42) -> Forecast:
     """Fit a random forest on the earlier part of every series, measure it on
-    the later part, then forecast ``periods`` days."""
+    the later part, then forecast ``periods`` steps of the grain, days by default."""
     points = daily_series(df, date, target, series, grain, min_points=max(30, lags + 10)).persist()
     rows = _assembled(chronological_split(lag_features(points, lags)), lags).persist()
     if rows.isEmpty():
@@ -118,4 +119,4 @@ def forecast_backtest(df: DataFrame, date: str, target: str, periods: int = 14,
         featureSubsetStrategy="all", seed=seed, maxMemoryInMB=TREE_MEMORY_MB).fit(rows.filter("is_train"))
     tested = model.transform(rows.filter("not is_train")).select("series", "y", "prediction")
     metrics = evaluate_regression(tested, "y", "prediction", by=["series"])
-    return Forecast(metrics, recursive_forecast(points, model, periods, lags), "Forecast with chronological backtest.")
+    return Forecast(metrics, recursive_forecast(points, model, periods, lags, grain), "Forecast with chronological backtest.")

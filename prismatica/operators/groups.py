@@ -192,7 +192,7 @@ def driver_answer(df: DataFrame, target: str, dims: list[str] | None = None) ->
     return segment_drivers(df, target, dims, top_n=5)
 
 
-def segment_concentration(df: DataFrame, metric: str, dims: list[str] | None = None, max_dims: int = 5) -> DataFrame:
+def segment_concentration(df: DataFrame, metric: str, dims: list[str] | None = None, max_dims: int | None = None) -> DataFrame:
     """Per dimension with at least two segments: the leading segment and its
     share of the metric; 50 % or more is a concentration."""
     dims = dims if dims is not None else non_numeric_columns(df)[:max_dims]

@@ -27,7 +27,7 @@ def column_facts(df: DataFrame) -> DataFrame:
         return empty_rows(df, FACTS)
     freq = value_counts(df, digest=True)
     filled = F.coalesce(F.col("l").isNotNull(), F.lit(False)) | F.col("d").isNotNull() | F.col("s").isNotNull()
-    dated = filled & to_time(F.when(F.length("s") <= 40, F.col("s"))).isNotNull()
+    dated = filled & to_time(F.when(F.length(F.trim("s")) <= 40, F.trim("s"))).isNotNull()
     counted = freq.groupBy("col_no").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(~filled, F.col("n")).otherwise(0)).alias("missing"),

@@ -129,12 +129,12 @@ def ml_readiness(df: DataFrame, target: str | None = None, shared: BaseProfile |
         F.lit(target).cast("string").alias("target"), m.alias("missing_pct"), "duplicate_pct")
 
 
-def risk_register(df: DataFrame, limit: int = 50, shared: BaseProfile | None = None,
+def risk_register(df: DataFrame, limit: int | None = 50, shared: BaseProfile | None = None,
                   bounds: DataFrame | None = None) -> DataFrame:
     """Missing, duplicate, outlier and cardinality risks, worst first.
 
-    ``limit`` is the length of the report; the findings behind it are at most
-    a few per column.
+    ``limit`` is the length of the report, None for the whole register, which is what
+    counts of risks must be taken from; the findings are at most a few per column.
     """
     b = base(df, shared)
     miss = percent(F.col("missing"), F.col("rows"))
@@ -157,7 +157,8 @@ def risk_register(df: DataFrame, limit: int = 50, shared: BaseProfile | None = N
         F.lit(4).alias("rule_no"), "col_no", F.lit("Cardinality").alias("type"), F.lit("Low").alias("severity"),
         "column", F.lit("Very high cardinality categorical field.").alias("message")))
     order = F.when(F.col("severity") == "High", 1).when(F.col("severity") == "Medium", 2).otherwise(3)
-    return found.withColumn("priority", order).orderBy("priority", "rule_no", "col_no").limit(limit)
+    ranked = found.withColumn("priority", order).orderBy("priority", "rule_no", "col_no")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 # --- validation ---------------------------------------------------------------

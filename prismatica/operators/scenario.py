@@ -265,6 +265,11 @@ def sensitivity_1d(baseline: DataFrame, variable: str = "price", values: list[fl
 
 
 def break_even_price(baseline: DataFrame) -> DataFrame:
+    """The keys of the baseline and :func:`_break_even` of each row."""
+    return baseline.select(*_keys(baseline), _break_even().alias("break_even_price_change_pct"))
+
+
+def _break_even() -> Column:
     """First of the 2001 price steps from -50 % to +50 % whose profit, at two
     decimals, reaches the baseline profit; 0 if none does or revenue is not
     positive. The steps are an array inside the row, so nothing is shuffled."""
@@ -284,29 +289,28 @@ def break_even_price(baseline: DataFrame) -> DataFrame:
 
     hits = F.filter(F.sequence(F.lit(0), F.lit(BREAK_EVEN_STEPS - 1)), lambda i: projected(i) >= profit)
     at = F.when(safe_float(F.col("revenue")) > 0, F.round(step(F.get(hits, F.lit(0))), 2))
-    return baseline.select(*_keys(baseline), F.coalesce(at, zero).alias("break_even_price_change_pct"))
+    return F.coalesce(at, zero)
 
 
 def decision_report(baseline: DataFrame, scenarios: list[Scenario] | None = None) -> DataFrame:
     """Per baseline row: best and worst scenario, mean profit change, mean
     risk, break-even price change and the recommendation."""
     keys = _keys(baseline)
-    ranked = rank_b(baseline.withColumn("break_even_price_change_pct", F.lit(None).cast("double")), scenarios)
+    # Break-even depends on the row alone, so it is carried along instead of joined.
+    rows = baseline.withColumns({"break_even_price_change_pct": _break_even(), "row__": F.monotonically_increasing_id()})
+    ranked = rank_b(rows, scenarios)
     best = F.struct(*[F.col(k) for k in ("name", "decision_score", "profit_change_pct", "risk_score")])
-    summary = ranked.groupBy(*keys).agg(
+    summary = ranked.groupBy(*_keys(rows)).agg(
         F.count(F.lit(1)).alias("scenario_count"), F.min_by(best, "rank").alias("best"),
         F.max_by(best, "rank").alias("worst"), F.avg("profit_change_pct").alias("average_profit_change_pct"),
         F.avg("risk_score").alias("average_risk_score"), F.max("base_revenue").alias("base_revenue"),
         F.max("base_profit").alias("base_profit"))
-    even = break_even_price(baseline)
     score = F.col("best.decision_score")
     text = (F.when(score >= 10, F.format_string("Prioritize '%s': expected profit impact %.2f%%, risk %.1f/100.",
                                                 F.col("best.name"), F.col("best.profit_change_pct"), F.col("best.risk_score")))
             .when(score >= 0, F.format_string("'%s' is the strongest scenario, with limited benefit.", F.col("best.name")))
             .otherwise("No tested scenario improves the outcome enough for its risk."))
-    joined = summary.join(even, keys) if keys else summary.withColumn("one", F.lit(1)).join(
-        even.withColumn("one", F.lit(1)), "one").drop("one")
-    return joined.select(
+    return summary.select(
         *keys, "base_revenue", "base_profit", "scenario_count", F.col("best.name").alias("best_scenario"),
         score.alias("best_score"), F.col("worst.name").alias("worst_scenario"),
         F.col("worst.decision_score").alias("worst_score"), "average_profit_change_pct", "average_risk_score",

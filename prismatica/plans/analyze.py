@@ -36,7 +36,7 @@ def _guarded(df: DataFrame, build) -> DataFrame:
     try:
         return build()
     except Exception as failure:
-        return df.sparkSession.createDataFrame([("unavailable", str(failure)[:500])], "status string, error string")
+        return df.sparkSession.createDataFrame([("unavailable", str(failure))], "status string, error string")
 
 
 def analyze(df: DataFrame, target: str | None = None, order_by: list[str] | None = None, top_n: int = 10) -> Analysis:
@@ -56,7 +56,7 @@ def analyze(df: DataFrame, target: str | None = None, order_by: list[str] | None
     pairs = stats.top_correlations(data).persist()
     health = quality.health_score_b(data, base)
     ready = quality.ml_readiness(data, goal, base)
-    risks = quality.risk_register(data, shared=base, bounds=fences).persist()
+    risks = quality.risk_register(data, limit=None, shared=base, bounds=fences).persist()
     facts = findings.overview(data, goal, health, risks, fences, pairs, ready)
     order = order_by or data.columns
     sections = {
@@ -67,7 +67,7 @@ def analyze(df: DataFrame, target: str | None = None, order_by: list[str] | None
         "correlations": pairs,
         "outliers": fences,
         "distributions": stats.distribution_shape(data, profiled=figures),
-        "risks": risks,
+        "risks": risks.limit(50),  # what is shown; counts use all
         "kpis": groups.kpi_table_b(data, order, figures),
         "ml_readiness": ready,
         "executive_summary": findings.executive_summary(facts),

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names in spark.checkpoint.dir, if any."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in spark.checkpoint.dir or the context's own, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name under the shared one; a temporary one only where no
-    shared folder is set, as on a single machine."""
-    base = shared_folder(spark)
-    if base is None:
-        return tempfile.mkdtemp(prefix="prismatica-")
+    """A new folder name under the shared one, or else beside the warehouse. A folder of one
+    machine is refused where the executors run on others."""
+    base = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and shared_folder(spark) is None and base.partition(":")[0] in ("file", base):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     tag = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     return f"{base.rstrip('/')}/prismatica-{tag}"
 

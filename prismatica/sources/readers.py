@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from prismatica.functions.coerce import col
 
@@ -19,12 +19,14 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             encoding: str | None = None) -> DataFrame:
-    """CSV with a header. Without a given encoding UTF-8 is tried first and
+             encoding: str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, quotes doubled inside quoted values. ``multi_line`` reads line
+    breaks inside quotes too; files are then not split among tasks. Without a given encoding UTF-8 is tried first and
     Latin-1 where the text holds bytes UTF-8 cannot decode. An explicit
     ``schema`` saves the scan that infers types."""
     def read(enc: str) -> DataFrame:
-        r = spark.read.option("header", True).option("encoding", enc).option("mode", "PERMISSIVE")
+        r = spark.read.option("header", True).option("encoding", enc).option("mode", "PERMISSIVE").options(
+            quote='"', escape='"', multiLine=multi_line)
         return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
 
     df = read(encoding or "UTF-8")
@@ -39,19 +41,22 @@ def _undecodable(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter("not is_valid_utf8(value)").isEmpty()
 
 
-def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A table by the extension of its path: csv, json (an array of records or
-    one record per line) or parquet."""
+def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool | None = None,
+         multi_line: bool = False) -> DataFrame:
+    """A table by the extension of its path: csv, json or parquet. ``lines`` tells whether
+    JSON has one record per line or an array per file; where it is not given, any file that
+    begins with a bracket means arrays. ``multi_line`` is that of :func:`read_csv`."""
     suffix = next((s for s in FORMATS if path.lower().rstrip("/").endswith(s)), None)
     if suffix is None:
         raise LoadError(f"unsupported file format: {path}")
     if suffix == ".csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multi_line=multi_line)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if suffix == ".json":
-        lines = spark.read.text(path).limit(1).collect()
-        array = bool(lines) and lines[0][0].lstrip().startswith("[")
-        df = reader.json(path, multiLine=array)
+        if lines is None:
+            starts = spark.read.text(path, wholetext=False).filter(F.ltrim(F.substring("value", 1, 64)).startswith("["))
+            lines = starts.isEmpty()
+        df = reader.json(path, multiLine=not lines)
     else:
         df = reader.parquet(path)
     return assert_loadable(normalize_columns(df))

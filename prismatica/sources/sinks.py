@@ -14,7 +14,8 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header, quotes doubled inside quoted values."""
+    df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
 
 
 def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
