@@ -50,7 +50,7 @@ CASE WHEN top_value / total >= 0.5 THEN 'warning' ELSE 'info' END AS severity, '
 
 @query("f3_segment_findings", f"WITH {SALES_SQL}, {concentration_sql('sales', DIMS)} {SEGMENT_ROWS}")
 def f3(t):
-    return _short(N.segment_findings(t("sales")))
+    return _short(N.segment_findings(t("sales"), max_dims=5))
 
 
 TREND_ROWS = """SELECT 31 AS seq, 'Trend Analysis' AS category, CASE WHEN g > 10 THEN 'Positive trend detected' WHEN g < -10 THEN 'Negative trend detected'
@@ -72,7 +72,7 @@ SELECT CASE WHEN count(*) FILTER (WHERE severity = 'critical') > 0 THEN 'critica
   count(*) FILTER (WHERE severity = 'critical') AS critical_count, count(*) FILTER (WHERE severity = 'warning') AS warning_count,
   count(*) FILTER (WHERE severity = 'positive') AS positive_count, count(*) FILTER (WHERE severity = 'info') AS info_count FROM al""")
 def f5(t):
-    return A.insight_report(settled(t("sales")))["rollup"].drop("executive_summary", "recommendations")
+    return A.insight_report(settled(t("sales")), max_dims=5)["rollup"].drop("executive_summary", "recommendations")
 
 
 @query("f6_dataset_statements", f"""WITH {COPIES_SQL}, c AS (SELECT count(*) AS n, sum((o_totalprice IS NULL)::INT + (o_orderpriority IS NULL)::INT) AS m,

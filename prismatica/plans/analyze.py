@@ -97,7 +97,7 @@ def analyze_simple(df: DataFrame) -> Analysis:
     }, None, [base.facts, base.dups])
 
 
-def insight_report(df: DataFrame) -> Analysis:
+def insight_report(df: DataFrame, max_dims: int | None = None) -> Analysis:
     """All findings and their roll-up; the findings are few and persisted."""
-    found = findings.all_findings(df).persist()
+    found = findings.all_findings(df, max_dims=max_dims).persist()
     return Analysis({"findings": found.orderBy("seq"), "rollup": findings.findings_rollup(found)}, None, [found])
