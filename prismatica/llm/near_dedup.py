@@ -5,8 +5,8 @@
 2. A class signature has ``bands * rows`` minima under universal hash functions; equal
    bands bring classes into a bucket.
 3. Round one links each bucket's members to its smallest one. Later rounds look only at
-   buckets that still hold several components and compare pairs across components, so a
-   group of copies never meets itself.
+   buckets that still hold several components and compare pairs across components, first
+   each member's nearest ones and at last all, so a group of copies never meets itself.
 4. A candidate pair must pass the signature estimate and then the exact set comparison.
 5. Components come from alternating large-star and small-star.
 """
@@ -85,9 +85,10 @@ def _estimated(least: float):
     return run
 
 
-def _across(least: float):
+def _across(least: float, nearest: int | None):
     """Pairs of members of one bucket, of different components, whose signatures agree in at
-    least this share of places. Rows come sorted by bucket; pairs below it are never rows."""
+    least this share of places: each member's ``nearest`` ones, or all. Rows come sorted by
+    bucket; pairs below the share are never rows."""
     def pairs(ids: list, component: list, signature: list) -> tuple[list, list]:
         names, number = np.unique(np.array(component), return_inverse=True)
         if len(names) < 2:
@@ -96,6 +97,16 @@ def _across(least: float):
         wanted, a, b = least * sign.shape[1], [], []
         for low in range(0, len(ids), 32):
             block = sign[low:low + 32]
+            if nearest:
+                agree = (block[:, None, :] == sign[None, :, :]).sum(2)
+                agree[number[low:low + 32, None] == number[None, :]] = 0
+                for _ in range(nearest):
+                    best = agree.argmax(1)
+                    i = np.flatnonzero(agree[np.arange(len(block)), best] >= wanted)
+                    a += [min(ids[low + x], ids[y]) for x, y in zip(i, best[i])]
+                    b += [max(ids[low + x], ids[y]) for x, y in zip(i, best[i])]
+                    agree[np.arange(len(block)), best] = 0
+                continue
             agree = (block[:, None, :] == sign[None, low:, :]).sum(2) >= wanted
             agree &= number[low:low + 32, None] != number[None, low:]
             i, j = np.nonzero(np.triu(agree))
@@ -177,17 +188,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     links = stored(confirmed(buckets.filter("id > a").select("a", F.col("id").alias("b"))))
     found = components(links)
-    named = buckets.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    # Signatures are compared inside the tasks: only pairs that agree become rows.
-    open_entries = (named.join(mixed.select("bucket"), "bucket").join(reps.select("id", "signature"), "id")
-                    .repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id", "component", "signature"))
-    across = open_entries.mapInArrow(_across(least), links.schema)
-    more = stored(confirmed(across))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = components(links)
+    # Signatures are compared inside the tasks, so only pairs that agree become rows. Two rounds
+    # with each member's nearest ones join most of a large group; the last takes all that is left.
+    for nearest in (2, 2, None):
+        named = buckets.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+            "bucket", "id", F.coalesce("component", "id").alias("component"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        entries_left = (named.join(mixed.select("bucket"), "bucket").join(reps.select("id", "signature"), "id")
+                        .repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id", "component", "signature"))
+        more = stored(confirmed(entries_left.mapInArrow(_across(least, nearest), links.schema)))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
     members = sets.select("id", "digest").join(classes, "digest").select(F.col("id").alias("member"), "rep")
     # A class is one more link: copies of a set whose keys carry other components through repeated keys.
     joined = members.join(found, members["rep"] == found["node"], "left").select(
