@@ -4,9 +4,9 @@
    with equal sets form a class at once, so copies cost one row each from there on.
 2. A class signature has ``bands * rows`` minima under universal hash functions; equal
    bands bring classes into a bucket.
-3. Round one links each bucket's members to its smallest one. Later rounds look only at
-   buckets that still hold several components and compare pairs across components, so a
-   group of copies never meets itself.
+3. Round one links each bucket's members to its smallest one. Round two looks only at
+   buckets that still hold several components and compares members across components inside
+   the tasks, block by block; it returns the links that join components, so pairs are never rows.
 4. A candidate pair must pass the signature estimate and then the exact set comparison.
 5. Components come from alternating large-star and small-star.
 """
@@ -27,6 +27,8 @@ from prismatica.llm.components import components
 ship(sys.modules[__name__])
 
 BANDS, ROWS = 25, 5
+#: Shingles of the members of a bucket that are compared in one go; larger buckets are cut into blocks.
+BLOCK = 1 << 20
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +73,9 @@ def _sets(width: int):
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(hashes.all(words_of(t.as_py())), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())],
+                names=["id", "digest", "shingles"])
     return run
 
 
@@ -85,44 +89,55 @@ def _estimated(least: float):
     return run
 
 
-def _across(least: float):
-    """Pairs of members of one bucket, of different components, whose signatures agree in at
-    least this share of places. Rows come sorted by bucket; pairs below it are never rows."""
-    def pairs(ids: list, component: list, signature: list) -> tuple[list, list]:
-        names, number = np.unique(np.array(component), return_inverse=True)
-        if len(names) < 2:
-            return [], []
-        sign = np.frombuffer(b"".join(signature), np.uint8).reshape(len(ids), -1)
-        wanted, a, b = least * sign.shape[1], [], []
-        for low in range(0, len(ids), 32):
-            block = sign[low:low + 32]
-            agree = (block[:, None, :] == sign[None, low:, :]).sum(2) >= wanted
-            agree &= number[low:low + 32, None] != number[None, low:]
-            i, j = np.nonzero(np.triu(agree))
-            a += [min(ids[low + x], ids[low + y]) for x, y in zip(i, j)]
-            b += [max(ids[low + x], ids[low + y]) for x, y in zip(i, j)]
-        return a, b
+def _across(least: float, percent: int):
+    """Links between different components inside each bucket, as many as join its components and
+    no more. Rows come sorted by ``bucket``, ``low`` and ``high``: the two blocks of a bucket that
+    meet (equal for pairs inside a block). Pairs whose signatures agree in ``least`` of the places
+    are compared on their full sets; pairs are never rows."""
+    def joins(ids: list, component: list, second: list, signature: list, sets: list) -> list[tuple]:
+        _, root = np.unique(np.array(component), return_inverse=True)
+        order = np.argsort(second, kind="stable")
+        ids, root, sets = [ids[k] for k in order], root[order], [np.frombuffer(sets[k], np.uint64) for k in order]
+        sign = np.frombuffer(b"".join(signature[k] for k in order), np.uint8).reshape(len(ids), -1)
+        size = np.array([len(s) for s in sets])
+        words, place = np.unique(np.concatenate(sets), return_inverse=True)
+        place = np.split(place, np.cumsum(size)[:-1])
+        held, inner = np.zeros(len(words), bool), int(np.sum(second))
+        inner = len(ids) - inner if inner else 0  # where the second block starts
+        wanted, found = least * sign.shape[1], []
+        for i in range(inner or len(ids)):
+            near = max(i + 1, inner)
+            near = near + np.flatnonzero(root[near:] != root[i])
+            near = near[(sign[near] == sign[i]).sum(1) >= wanted]
+            if not len(near):
+                continue
+            held[place[i]] = True
+            starts = np.concatenate(([0], np.cumsum(size[near])[:-1]))
+            common = np.add.reduceat(held[np.concatenate([place[j] for j in near])], starts, dtype=np.int64)
+            held[place[i]] = False
+            for j in near[100 * common >= percent * (size[i] + size[near] - common)]:
+                if root[j] != root[i]:
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    root[root == root[j]] = root[i]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, kind = None, ([], [], []), None
+        now, members, kind = None, [], None
 
-        def out(a: list, b: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)],
+                                              names=["a", "b"])
 
         for batch in batches:
-            kind = batch.schema.field("id").type
-            some_a, some_b = [], []
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "component", "signature"))):
-                if bucket != now:
-                    a, b = pairs(*members) if members[0] else ([], [])
-                    some_a += a
-                    some_b += b
-                    now, members = bucket, ([], [], [])
-                for held, value in zip(members, row):
-                    held.append(value)
-            yield out(some_a, some_b)
-        if members[0]:
-            yield out(*pairs(*members))
+            kind, found = batch.schema.field("id").type, []
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                if row[:3] != now:
+                    found += joins(*zip(*members)) if len(members) > 1 else []
+                    now, members = row[:3], []
+                members.append(row[3:])
+            yield out(found)
+        if len(members) > 1:
+            yield out(joins(*zip(*members)))
     return run
 
 
@@ -161,30 +176,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                                       f"id {dict(docs.dtypes)[key]}, n_shingles long, digest binary, keys array<long>, signature binary"))
     sets = signed.filter("digest is not null and id is not null")
     classes = sets.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = sets.join(classes, (sets["digest"] == classes["digest"]) & (sets["id"] == classes["rep"])).select("id", "keys", "signature")
-    reps = reps.dropDuplicates(["id", "signature"])
+    reps = sets.join(classes.withColumnRenamed("rep", "id"), ["digest", "id"]).dropDuplicates(["digest"])
     entries = reps.select("id", F.explode("keys").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("bucket", "a")
     buckets = stored(entries.join(shared, "bucket"))
 
     least = percent / 100 - 0.18  # five standard deviations of an estimate by 125 minima
 
-    def confirmed(candidates: DataFrame) -> DataFrame:
-        hopeful = stored(_with_both(candidates.distinct(), reps, "signature").mapInArrow(_estimated(least), candidates.schema))
-        wanted = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        shingles = source.join(wanted, "id").mapInArrow(_sets(width), f"id {dict(docs.dtypes)[key]}, shingles binary")
-        return _with_both(hopeful, shingles, "shingles").mapInArrow(_linked(percent), candidates.schema)
+    def full_sets(ids: DataFrame) -> DataFrame:
+        return source.join(ids, "id").mapInArrow(_sets(width), f"id {dict(docs.dtypes)[key]}, digest binary, shingles binary")
 
-    links = stored(confirmed(buckets.filter("id > a").select("a", F.col("id").alias("b"))))
+    candidates = buckets.filter("id > a").select("a", F.col("id").alias("b"))
+    hopeful = stored(_with_both(candidates.distinct(), reps, "signature").mapInArrow(_estimated(least), candidates.schema))
+    ends = hopeful.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = stored(_with_both(hopeful, full_sets(ends), "shingles").mapInArrow(_linked(percent), candidates.schema))
     found = components(links)
     named = buckets.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    # Signatures are compared inside the tasks: only pairs that agree become rows.
-    open_entries = (named.join(mixed.select("bucket"), "bucket").join(reps.select("id", "signature"), "id")
-                    .repartition("bucket").sortWithinPartitions("bucket").select("bucket", "id", "component", "signature"))
-    across = open_entries.mapInArrow(_across(least), links.schema)
-    more = stored(confirmed(across))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("bucket")
+    entries = stored(named.join(mixed, "bucket").join(reps.select("id", "digest", "n_shingles", "signature"), "id"))
+    blocks = entries.groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    shingles = full_sets(entries.select("id").distinct()).select("digest", "shingles").dropDuplicates(["digest"])
+    own, other = F.expr("cast(pmod(xxhash64(id), blocks) as int)"), F.col("other")
+    met = (entries.join(blocks, "bucket").withColumn("own", own)
+           .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+           .select("bucket", F.least("own", other).alias("low"), F.greatest("own", other).alias("high"), "id", "component",
+                   (F.col("own") > other).cast("int").alias("second"), "signature", "digest"))
+    met = (met.join(shingles, "digest").drop("digest").repartition("bucket", "low", "high")
+           .sortWithinPartitions("bucket", "low", "high"))
+    more = stored(met.mapInArrow(_across(least, percent), links.schema))
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(links)
