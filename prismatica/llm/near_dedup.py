@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ BANDS, ROWS = 25, 5
 BLOCK = 1 << 20
 
 
+@functools.cache
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240607)
     a = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,10 +42,12 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
 def minima(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """The upper 32 bits of the minimum of ``a * x + b mod 2^64`` per function."""
     a, b = _functions(bands * rows)
-    out = np.empty(bands * rows, np.uint32)
-    for i in range(len(out)):
-        out[i] = (shingles * a[i] + b[i]).min() >> np.uint64(32)
-    return out
+    least = np.full(len(a), np.uint64(2**64 - 1), np.uint64)
+    for low in range(0, len(shingles), 1024):  # all functions over a piece that stays in the cache
+        values = np.multiply.outer(a, shingles[low:low + 1024])
+        values += b[:, None]
+        np.minimum(least, values.min(1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def _signatures(bands: int, rows: int, width: int):

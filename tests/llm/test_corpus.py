@@ -252,3 +252,28 @@ def test_pipeline(spark, sf_dir):
         sizes.append(now.count())
     assert sizes[0] < docs.count() and sizes == sorted(sizes, reverse=True) and now.filter("not same").count() == 0
     assert corpus_pipeline.run(spark, sf_dir).count() == sizes[-1]
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """Scattered copies of one text, some near to few others: blocks lose no link."""
+    rng = random.Random(11)
+    base, texts = [f"w{k}" for k in range(90)], []
+    for _ in range(120):
+        w = list(base)
+        for k in rng.sample(range(90), rng.randint(0, 6)):
+            w[k] = f"n{rng.randint(0, 10**6)}"
+        texts.append(" ".join(w))
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in map(words, texts)]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) > 5
+    docs = documents(spark, list(enumerate(texts)))
+    for block in (1 << 20, 1500):
+        monkeypatch.setattr("prismatica.llm.near_dedup.BLOCK", block)
+        found = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, width=3, percent=85).collect()}
+        assert [found[i] for i in range(len(texts))] == label
