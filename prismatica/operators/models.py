@@ -70,36 +70,49 @@ class Preparation:
     scale: bool = False
     hashed: list[str] = field(default_factory=list)
 
+    def _inputs(self, kind: str) -> list[str]:
+        """Working names by position: they cannot meet column names, dots included."""
+        return [f"m__{kind}{i}" for i in range(len(getattr(self, kind)))]
+
+    def named(self, prefix: str = "") -> list[Column]:
+        """The filled features under ``prefix`` and their own names."""
+        return [F.col(name).alias(prefix + c) for kind in ("numeric", "categorical", "hashed")
+                for c, name in zip(getattr(self, kind), self._inputs(kind))]
+
     def fill(self, df: DataFrame) -> DataFrame:
-        new = {c: F.coalesce(number(df, c), F.lit(self.fills.get(c, 0.0))) for c in self.numeric}
-        new |= {c: F.coalesce(value(df, c).cast("string"), F.lit(self.fills.get(c, ""))) for c in self.categorical + self.hashed}
-        return df.select("*", *[c.alias(f"f_{name}") for name, c in new.items()])
+        new = [F.coalesce(number(df, c), F.lit(self.fills.get(c, 0.0))).alias(name)
+               for c, name in zip(self.numeric, self._inputs("numeric"))]
+        new += [F.coalesce(value(df, c).cast("string"), F.lit(self.fills.get(c, ""))).alias(name)
+                for kind in ("categorical", "hashed") for c, name in zip(getattr(self, kind), self._inputs(kind))]
+        return df.select("*", *new)
 
     def stages(self) -> list:
-        out, inputs = [], [f"f_{c}" for c in self.numeric]
+        out, inputs = [], self._inputs("numeric")
         if self.scale and inputs:
-            out += [VectorAssembler(inputCols=inputs, outputCol="f__plain"),
-                    StandardScaler(inputCol="f__plain", outputCol="f__scaled", withMean=True)]
-            inputs = ["f__scaled"]
+            out += [VectorAssembler(inputCols=inputs, outputCol="m__plain"),
+                    StandardScaler(inputCol="m__plain", outputCol="m__scaled", withMean=True)]
+            inputs = ["m__scaled"]
         if self.categorical:
-            index, hot = [f"i_{c}" for c in self.categorical], [f"h_{c}" for c in self.categorical]
+            names = self._inputs("categorical")
+            index, hot = [f"{c}_index" for c in names], [f"{c}_hot" for c in names]
             # Unseen labels get the last index, which the encoder drops: all zeros.
-            out += [StringIndexer(inputCols=[f"f_{c}" for c in self.categorical], outputCols=index, handleInvalid="keep",
-                                  stringOrderType="alphabetAsc"),
+            out += [StringIndexer(inputCols=names, outputCols=index, handleInvalid="keep", stringOrderType="alphabetAsc"),
                     OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)]
             inputs = inputs + hot
         if self.hashed:
-            out.append(FeatureHasher(inputCols=[f"f_{c}" for c in self.hashed], outputCol="f__hashed", numFeatures=HASHED))
-            inputs = inputs + ["f__hashed"]
+            out.append(FeatureHasher(inputCols=self._inputs("hashed"), outputCol="m__hashed", numFeatures=HASHED))
+            inputs = inputs + ["m__hashed"]
         return [*out, VectorAssembler(inputCols=inputs, outputCol="m__features")]
 
 
-def prepare_features(df: DataFrame, target: str, scale: bool = False, keep_constant: bool = False) -> tuple[DataFrame, Preparation]:
+def prepare_features(df: DataFrame, target: str, scale: bool = False, keep_constant: bool = False,
+                     training: Column | None = None) -> tuple[DataFrame, Preparation]:
     """Rows with a target, and the feature columns worth training on.
 
     Constant columns and text with more than 95 % distinct values go (with
     ``keep_constant`` only all-missing columns go). Numbers are filled with
-    the exact median, text with its mode. Facts per column reach the driver.
+    the exact median, text with its mode, both of the ``training`` rows (default:
+    all rows). Facts per column reach the driver.
     Text with more than 10,000 levels is hashed instead of indexed.
     """
     if target not in df.columns:
@@ -116,21 +129,26 @@ def prepare_features(df: DataFrame, target: str, scale: bool = False, keep_const
             (categorical if filled <= MAX_LEVELS else hashed).append(f["column"])
     if not numeric and not categorical and not hashed:
         raise ValueError("no usable feature columns were detected")
-    fills = {}
+    known, fills = rows if training is None else rows.filter(training), {}
     if numeric:
-        fills |= {r["column"]: r["q0"] for r in quantiles(rows, [(c, number(rows, c)) for c in numeric], [0.5]).collect()}
+        fills |= {r["column"]: r["q0"] for r in quantiles(known, [(c, number(known, c)) for c in numeric], [0.5]).collect()}
     texts = categorical + hashed
     if texts:
-        fills |= {texts[r["col_no"]]: r["s"] for r in modes(rows, texts).collect()}
+        fills |= {texts[r["col_no"]]: r["s"] for r in modes(known, texts).collect()}
     return rows, Preparation(numeric, categorical, fills, scale, hashed)
 
 
+def in_training(df: DataFrame, key: list[str] | None = None, test_size: float = 0.2, seed: int = 42) -> Column:
+    """Whether a row is a training row, by a hash of its key (default: all columns)."""
+    keys = [value(df, c) for c in (key or df.columns)]
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000)) >= int(test_size * 10_000)
+
+
 def hash_split(df: DataFrame, key: list[str] | None = None, test_size: float = 0.2, seed: int = 42,
                name: str = "is_train") -> DataFrame:
     """Mark rows as train or test by a hash of their key, so the split does
     not move with partitioning and needs no shuffle."""
-    keys = [value(df, c) for c in (key or df.columns)]
-    return df.withColumn(name, F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000)) >= int(test_size * 10_000))
+    return df.withColumn(name, in_training(df, key, test_size, seed))
 
 
 # --- training --------------------------------------------------------------------------
@@ -178,7 +196,8 @@ def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int
     """
     spark = df.sparkSession
     least = 20 if variant == "b" else 10
-    rows, prep = prepare_features(df, target, scale=variant == "b", keep_constant=variant == "b")
+    rows, prep = prepare_features(df, target, scale=variant == "b", keep_constant=variant == "b",
+                                  training=in_training(df, key, test_size, seed))
     if rows.limit(least).count() < least:
         raise ValueError(f"at least {least} rows are needed for training")
     kind = problem_type(rows, target, any_non_numeric=variant == "b").first()["problem_type"]
@@ -201,7 +220,7 @@ def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int
     for name, estimator in _candidates(kind, len(labels or []), trees, max_depth, variant, seed).items():
         try:
             model = estimator.fit(train)
-            pred = model.transform(test)
+            pred = _scored(model, test)
             got = (evaluate_regression(pred, "m__label", "m__prediction") if kind == "regression"
                    else evaluate_classification(pred, "m__label", "m__prediction")).first()
             fitted[name] = model
@@ -216,12 +235,19 @@ def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int
         raise RuntimeError("no model could be trained")
     best = min(valid, key=lambda r: (-r[at], r[0]))[0]
     pipeline = PipelineModel(stages=[*encoder.stages, fitted[best]])
-    table = _decoded(fitted[best].transform(test), labels).select(
+    table = _decoded(_scored(fitted[best], test), labels).select(
         *[col(c) for c in df.columns if c != target], value(rows, target).alias("actual"), F.col("m__prediction").alias("prediction"),
         *([F.col("m__chance").alias("prediction_probability")] if labels and len(labels) == 2 else []))
     return Trained(kind, target, best, pipeline, labels, prep, comparison, table, score)
 
 
+def _scored(model, data: DataFrame) -> DataFrame:
+    """``model.transform(data)``; one-vs-rest models cannot read dotted names, so data columns go through under others."""
+    names = data.columns
+    out = model.transform(data.toDF(*[c if c.startswith("m__") else f"m__column{i}" for i, c in enumerate(names)]))
+    return out.toDF(*names, *out.columns[len(names):])
+
+
 def _decoded(pred: DataFrame, labels: list[str] | None) -> DataFrame:
     """Predicted class names instead of indexes, and the probability of the
     second class of two."""
@@ -235,7 +261,7 @@ def _decoded(pred: DataFrame, labels: list[str] | None) -> DataFrame:
 
 def predict(trained: Trained, df: DataFrame, name: str = "prediction") -> DataFrame:
     """Every row of ``df`` with the best model's prediction."""
-    pred = _decoded(trained.pipeline.transform(trained.preparation.fill(df)), trained.labels)
+    pred = _decoded(_scored(trained.pipeline, trained.preparation.fill(df)), trained.labels)
     return pred.select(*[col(c) for c in df.columns], F.col("m__prediction").alias(name))
 
 

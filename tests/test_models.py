@@ -122,3 +122,15 @@ def test_three_classes_and_a_target_named_like_an_internal_column(spark):
     assert got.labels == ["c0", "c1", "c2"]
     assert got.comparison.filter("status = 'Success'").count() == 3
     assert set(got.predictions.columns) == {"id", "features", "actual", "prediction"}
+
+
+def test_fills_come_from_the_training_rows_and_names_may_hold_dots(spark):
+    df = spark.range(300).selectExpr("id", "if(id % 4 = 0, null, cast(id % 7 as double)) AS `unit.price`", "id % 3 AS x",
+                                     "cast(id % 3 as double) AS f_x", "concat('k', id % 2) AS `a.b`", "concat('c', id % 3) AS y")
+    far = df.withColumn("unit.price", F.when(M.in_training(df, ["id"]), F.col("`unit.price`")).otherwise(1e9))
+    assert far.filter("`unit.price` = 1e9").count() > 10
+    fills = [M.prepare_features(d, "y", training=M.in_training(d, ["id"]))[1].fills for d in (df, far)]
+    assert fills[0] == fills[1] and "unit.price" in fills[0]
+    got = M.train_compare(df, "y", key=["id"], trees=4, max_depth=4)
+    assert [r["error"] for r in got.comparison.collect()] == [None] * 3
+    assert M.predict(got, df).filter("prediction = y").count() == 300
