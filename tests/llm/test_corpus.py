@@ -240,6 +240,19 @@ def test_main_text(spark):
     assert [b[3] for b in blocks("1 < 2 &lt; 3") if not b[2]] == ["1 < 2 < 3"]
 
 
+def kept_blocks(page):
+    return [b[3] for b in blocks(page) if not b[2] and not b[1]]
+
+
+def test_inline_furniture_ends_at_its_tag(spark):
+    page = ("<html><body><a class='skip-link' href='#c'>Skip</a><article><p>One <span class='share-count'><span>3</span> shares</span> two"
+            "<p>Three <a id='comment-5'></a>four</p><span class='ad'><div>Buy</span></div><p>Five</p></article><p>Six</body></html>")
+    assert kept_blocks(page) == ["One two", "Three four", "Five", "Six"]
+    assert kept_blocks("<span class='ad'>x</span>a <b>b <i class='ad'>y</b> c</p><p>d") == ["a b c", "d"]
+    pages = spark.createDataFrame([(i, f"https://s.example/{i}", page.replace("Five", f"Five {i}")) for i in range(6)], "page_id long, url string, html string")
+    assert {r["text"] for r in main_text(pages).collect()} == {f"One two\nThree four\nFive {i}" for i in range(6)}
+
+
 def test_pipeline(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents")
     now = docs
