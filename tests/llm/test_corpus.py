@@ -253,6 +253,19 @@ def test_inline_furniture_ends_at_its_tag(spark):
     assert {r["text"] for r in main_text(pages).collect()} == {f"One two\nThree four\nFive {i}" for i in range(6)}
 
 
+def test_wrappers_are_no_furniture(spark):
+    body = "<nav><p>Menu of it</p></nav>{0}<article><h1>Head</h1><p>Body text 1</p><div class='comments'><p>Nice, a long comment this is</p></div></article>{1}"
+    for opened, closed in (("<div class='layout has-sidebar'>", "</div>"), ("<div id='page' class='with-header'>", "</div>"), ("<div class='sidebar'>", "</div>"),
+                           ("<section class='related-work'>", "</section>"), ("<p class='ad-hoc'>", ""), ("<form>", "</form>"), ("<div id='header'><div class='skip'>", "</div></div>")):
+        assert kept_blocks(body.format(opened, closed)) == ["Head", "Body text 1"], opened
+    assert kept_blocks("<form><nav>a</nav><div><p>The text of the page</p></div></form>") == ["The text of the page"]
+    assert kept_blocks("<main><h1>Head</h1><form><p>The text of the page</p></form></main>") == ["Head", "The text of the page"]
+    assert kept_blocks("<div>The text of the page</div><aside><article>Card</article></aside><div class='share-buttons'>Tell</div>") == ["The text of the page"]
+    page = "<html><body><form><div class='sidebar'>Menu</div><div class='main-column'><p>Text {0} of the page</p></div></form></body></html>"
+    pages = spark.createDataFrame([(i, f"https://w.example/{i}", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r["text"] for r in main_text(pages).collect()} == {f"Text {i} of the page" for i in range(6)}
+
+
 def test_pipeline(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents")
     now = docs
