@@ -266,6 +266,11 @@ def test_wrappers_are_no_furniture(spark):
     assert {r["text"] for r in main_text(pages).collect()} == {f"Text {i} of the page" for i in range(6)}
 
 
+def test_repeats_of_a_page_are_no_template(spark):
+    rows = [(i, "https://one.example/", "<html><body><p>All of it</p></body></html>") for i in range(25)]
+    assert {r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"All of it"}
+
+
 def test_pipeline(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents")
     now = docs
