@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prismatica.llm.common import WordHashes, mixed, shares, ship, whole_text, words_of
+from prismatica.llm.common import WordHashes, dealt, mixed, shares, ship, whole_text, words_of
 
 ship(sys.modules[__name__])
 
@@ -191,7 +191,7 @@ def backoff_scores(docs: DataFrame, training: Column, key: str = "doc_id", text:
     """
     n = shares(docs, F.col(text), share_mb)
     whole = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(training, F.lit(False)).alias("training"), whole_text(F.col(text)).alias("text"),
-                        F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(n)).cast("int").alias("block"))
+                        dealt(F.col(f"`{key}`"), whole_text(F.col(text)), n).alias("block"))
     sizes = (whole.filter("training").select("text").mapInArrow(_vocabulary(n), "bucket int, keys binary, tokens long")
              .groupBy("bucket").applyInArrow(_distinct, "distinct long, tokens long").agg(F.sum("distinct"), F.sum("tokens")).first())
     distinct, total = (int(x or 0) for x in sizes)

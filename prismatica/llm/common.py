@@ -49,6 +49,11 @@ def shares(df: DataFrame, col: Column, mb: int = 8) -> int:
     return int(total // (mb << 20)) + 1
 
 
+def dealt(key: Column, text: Column, n: int) -> Column:
+    """The block of a row among ``n``: by key and text, so that rows which share a key are dealt out too."""
+    return F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int")
+
+
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

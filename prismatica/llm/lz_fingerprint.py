@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ ship(sys.modules[__name__])
 SIZE = 64
 BASE = np.uint64(0x5851F42D4C957F2D)
 MOST_PARTS = 4096
+LOW = -(1 << 63)  # before all keys and digests
 
 
 class Powers:
@@ -133,27 +135,42 @@ def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
 
 
+def ranged(source: DataFrame, parts: int) -> DataFrame:
+    """``source`` (id, text) with part, a range of (id, digest of the text), of about equal sizes: where
+    several cuts fall on one id, its rows are cut at even steps of the digest."""
+    number = F.coalesce(F.col("id").cast("long"), F.lit(LOW))
+    cuts = [i / parts for i in range(1, parts)]
+    found = (source.agg(F.percentile_approx(number, cuts, 4 * parts)).first()[0] or []) if cuts else []
+    times = Counter(found)
+    ids = np.array(sorted(found), np.int64)
+    steps = {v: np.array([LOW + (k << 64) // m for k in range(m)], np.int64) for v, m in times.items() if m > 1}
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series, digests: pd.Series) -> pd.Series:
+        keys, digests = keys.to_numpy(), digests.to_numpy()
+        part = np.searchsorted(ids, keys, side="right")
+        for v in set(np.unique(keys).tolist()) & steps.keys():
+            rows = keys == v
+            part[rows] = np.searchsorted(ids, v) + np.searchsorted(steps[v], digests[rows], side="right")
+        return pd.Series(part.astype(np.int32))
+
+    return source.withColumn("part", part_of(number, F.xxhash64("text")))
+
+
 def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for
     each row: the text, and the text whose last quarter gave way to the beginning of the next
     document by ascending whole-number key (after the last comes the first).
 
     Null texts are empty. Null keys come first; rows that share a key follow one another by a
-    digest of their texts. A single row follows itself. The rows are dealt out by key range;
+    digest of their texts. A single row follows itself. The rows are dealt out by range of key and digest;
     each range also gets the row that follows its last one, so texts are shuffled once.
     """
     kind = dict(docs.dtypes)[key]
-    low = -(1 << 63)
     source = docs.select(F.col(f"`{key}`").alias("id"), whole_text(F.col(text)).alias("text"))
     parts = min(shares(source, F.col("text")), MOST_PARTS)
-    bounds = np.array(sorted(set(source.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else [], float)
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy().astype(float), side="right").astype(np.int32))
-
-    placed = source.withColumn("part", part_of(F.coalesce(F.col("id").cast("long"), F.lit(low))))
-    order = F.struct(F.coalesce(F.col("id").cast("long"), F.lit(low)).alias("id"), F.xxhash64("text").alias("digest"))
+    placed = ranged(source, parts)
+    order = F.struct(F.coalesce(F.col("id").cast("long"), F.lit(LOW)).alias("id"), F.xxhash64("text").alias("digest"))
     firsts = sorted(tuple(r) for r in placed.groupBy("part").agg(F.min(order).alias("f")).select("part", "f.id", "f.digest").collect())
     ahead = [(p, i, d, firsts[k - 1][0]) for k, (p, i, d) in enumerate(firsts)]  # one row a part
     if not ahead:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from prismatica.llm.common import MIX1, mixed, shares, ship, whole_text
+from prismatica.llm.common import MIX1, dealt, mixed, shares, ship, whole_text
 from prismatica.llm.induced import sorted_suffixes
 
 ship(sys.modules[__name__])
@@ -233,15 +233,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     bytes) and kept, the rest as text without characters that were cut in two.
 
     A null text counts as empty; rows that repeat a whole text of ``length`` bytes or more
-    lose all of it, shorter ones nothing. Null and repeated keys are allowed: the key only
-    deals rows out. Columns of ``docs`` keep their names; a name that clashes with a new
+    lose all of it, shorter ones nothing. Null and repeated keys are allowed: key and
+    text deal rows out, so rows equal in both meet in one block. Columns of ``docs`` keep their names; a name that clashes with a new
     column gives way to it. An empty table gives an empty one.
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     carried = [c for c in docs.columns if c not in new]
     n = shares(docs, F.col(text), share_mb)
     named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)]
-    whole = docs.select(*named, whole_text(F.col(text)).alias("text"), F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int").alias("block"))
+    whole = docs.select(*named, whole_text(F.col(text)).alias("text"), dealt(F.col(key), whole_text(F.col(text)), n).alias("block"))
     blocks = whole.groupBy("block")
 
     texts = whole.select(F.unhex(F.sha2("text", 256)).alias("unit"), "block")

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from prismatica.llm import queries as Q
@@ -16,7 +17,8 @@ from prismatica.llm.components import components
 from prismatica.llm.decontaminate import contaminated
 from prismatica.llm.induced import sorted_suffixes
 from prismatica.llm.licenses import license_scan
-from prismatica.llm.lz_fingerprint import edited_likeness, likeness
+from prismatica.llm.common import dealt
+from prismatica.llm.lz_fingerprint import edited_likeness, likeness, ranged
 from prismatica.llm.main_text import blocks, main_text, templates
 from prismatica.llm.near_dedup import near_duplicates
 from prismatica.llm.pieces import MARK, Encoder, decoded, encoded, load_pieces
@@ -271,6 +273,17 @@ def test_repeats_of_a_page_are_no_template(spark):
     assert {r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"All of it"}
 
 
+def test_a_common_key_is_dealt_out(spark):
+    """A third of the rows share a key, a third have none."""
+    docs = spark.range(3000).selectExpr("CASE id % 3 WHEN 0 THEN id WHEN 1 THEN 900 END AS doc_id", "concat('text ', id) AS text")
+    sizes = [r["count"] for r in docs.groupBy(dealt(F.col("doc_id"), F.col("text"), 30)).count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 200
+    source = docs.select(F.col("doc_id").alias("id"), "text")
+    found = ranged(source, 30).groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("id", F.lit(-1)), F.xxhash64("text"))).alias("a"),
+                                                   F.max(F.struct(F.coalesce("id", F.lit(-1)), F.xxhash64("text"))).alias("z")).orderBy("part").collect()
+    assert len(found) >= 28 and max(r["n"] for r in found) < 300 and all(a["z"] < b["a"] for a, b in zip(found, found[1:]))
+
+
 def test_pipeline(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents")
     now = docs
