@@ -121,14 +121,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Null and empty texts hold nothing. Items of fewer than ``width`` words have no window and
     are not searched for; windows with fewer than two literal words say nothing and are left
-    out on both sides. Rows that share a key count as one document, null keys included.
+    out on both sides. Each text counts by itself; rows that share a key, null keys
+    included, give one row an item, ``changed`` if one of those that hold it has other values.
     """
     kinds = dict(docs.dtypes), dict(benchmark.dtypes)
     schema = "id {}, window long, place int, slots array<string>"
     items = benchmark.select(F.col(f"`{item}`").alias("id"), whole_text(F.col(item_text)).alias("text"))
     items = items.mapInArrow(_windows(width, None), schema.format(kinds[1][item])).distinct()
-    sought = docs.select(F.col(f"`{key}`").alias("id"), whole_text(F.col(text)).alias("text"))
-    found = sought.mapInArrow(_windows(width, _bitmap(items)), schema.format(kinds[0][key]))
+    whole = whole_text(F.col(text))
+    sought = docs.select(F.struct(F.col(f"`{key}`").alias("key"), F.unhex(F.sha2(whole, 256)).alias("digest")).alias("id"), whole.alias("text"))
+    found = sought.mapInArrow(_windows(width, _bitmap(items)), schema.format(f"struct<key:{kinds[0][key]},digest:binary>")).distinct()
     parts = items.select("window", F.col("id").alias("item"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     totals = items.groupBy(F.col("id").alias("item")).agg(F.count_distinct("place").alias("windows"))
     hits = found.join(parts, "window").select("id", "item", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place",
@@ -140,6 +142,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     lines = lines.filter(consistent).withColumn("changed", F.exists("values", lambda v: v["item_slots"] != v["slots"]))
     held = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
                                            F.bool_or("changed").alias("changed")).join(totals, "item")
-    return held.filter(F.col("covered") >= share * F.col("windows")).select(
-        F.col("id").alias(key), F.col("item").alias(item), (F.col("covered") / F.col("windows")).alias("share"),
-        F.col("windows").cast("long").alias("windows"), "changed")
+    held = held.filter(F.col("covered") >= share * F.col("windows")).withColumn("part", F.col("covered") / F.col("windows"))
+    return held.groupBy(F.col("id.key").alias("key"), "item", "windows").agg(F.max("part").alias("part"), F.bool_or("changed").alias("changed")).select(
+        F.col("key").alias(key), F.col("item").alias(item), F.col("part").alias("share"), F.col("windows").cast("long").alias("windows"), "changed")

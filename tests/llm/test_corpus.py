@@ -284,6 +284,16 @@ def test_a_common_key_is_dealt_out(spark):
     assert len(found) >= 28 and max(r["n"] for r in found) < 300 and all(a["z"] < b["a"] for a, b in zip(found, found[1:]))
 
 
+def test_decontamination_by_text(spark):
+    """Rows that share a key, or have none, are matched one by one."""
+    item = "A farmer sells 12 boxes of ripe apples to the market and 30 sacks of old grain to Anna before the rain starts to fall again"
+    other, w = item.replace("12", "17").replace("30", "44"), item.split()
+    halves = [" ".join(w[:14]), " ".join(w[10:])]
+    docs = spark.createDataFrame([(k, t) for k in (1, None) for t in (item, other)] + [(2, t) for t in halves] + [(3, other), (3, other)], "doc_id long, text string")
+    got = {(r["doc_id"], r["changed"]) for r in contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(1, True), (None, True), (3, True)}
+
+
 def test_pipeline(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents")
     now = docs
