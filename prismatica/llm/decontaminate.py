@@ -23,8 +23,11 @@ from prismatica.llm.common import mixed, ship, whole_text
 ship(sys.modules[__name__])
 
 WINDOW, SHARE = 5, 0.8
+FEW = 4  # items of so many windows or fewer are also sought as a whole; place WHOLE stands for that
+WHOLE = -1
 FILTER_BITS = 24  # a bit for each possible start of a window hash: 2 MB, whatever the benchmark's size
 STEP = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(?:st|nd|rd|th|e[+-]?\d+)?")
 # Words for numbers, and units that count as such after a number.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
@@ -56,7 +59,17 @@ class _Words(dict):
         return n
 
 
-def _windows(width: int, filter_bits: bytes | None):
+def _spans(h: np.ndarray, seed: int):
+    """A function of start and length: the hash of so many words from there."""
+    n = len(h)
+    up, down = (np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, x, np.uint64)))) for x in (STEP, BACK))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:n], dtype=np.uint64)))
+    return lambda at, size: mixed((sums[at + size] - sums[at]) * down[at] + mixed(size.astype(np.uint64) * STEP + np.uint64(seed)))
+
+
+def _windows(width: int, filter_bits: bytes | None, sizes: list[int] | None):
+    """Windows of a batch. Of a benchmark (no ``sizes``) the first word counts as a name too, as it may in
+    the middle of a sentence; of documents also the spans of ``sizes`` words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         bits = None if filter_bits is None else np.frombuffer(filter_bits, np.uint8)
@@ -81,25 +94,55 @@ def _windows(width: int, filter_bits: bytes | None):
                     after[1:] = ((m[:-1] & 2) == 0) & ~first[1:]
                     number_before[1:] = (k[:-1] == NUM) & ~first[1:]
                 k[(k == UNIT) & ~number_before] = LITERAL
-                k[(k == LITERAL) & ((m & 1) == 1) & after] = 4
-                h = np.array(words.hashes, np.uint64)[flat]
-                for hole, value in HOLES.items():
-                    h[k == hole] = value
-                count = max(0, n - width + 1)
-                x = np.full(count, np.uint64(width))
-                for i in range(width):
-                    x = mixed(x * STEP + h[i:i + count])
-                literal = np.concatenate(([0], np.cumsum(k == LITERAL)))
-                good = (literal[width:] - literal[:count] >= 2) if count else np.zeros(0, bool)
-                good &= row[:count] == row[width - 1:width - 1 + count]
-                if bits is not None:
-                    top = (x >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    good &= (bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1 == 1
-                at = np.flatnonzero(good)
-                slots = [[words.bare[flat[j]] for j in range(i, i + width) if k[j] != LITERAL] for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(pa.array(row[at])), pa.array(x[at].view(np.int64)), pa.array(place[at].astype(np.int32)),
-                     pa.array(slots, pa.list_(pa.string()))], names=["id", "window", "place", "slots"])
+                plain = k
+                few = None
+                for as_name in (False, True) if sizes is None else (False,):
+                    k = plain.copy()
+                    k[(k == LITERAL) & ((m & 1) == 1) & (after | (first if as_name else False))] = 4
+                    h = exact = np.array(words.hashes, np.uint64)[flat]
+                    h = h.copy()
+                    for hole, value in HOLES.items():
+                        h[k == hole] = value
+                    count = max(0, n - width + 1)
+                    x = np.full(count, np.uint64(width))
+                    for i in range(width):
+                        x = mixed(x * STEP + h[i:i + count])
+                    literal = np.concatenate(([0], np.cumsum(k == LITERAL)))
+                    good = (literal[width:] - literal[:count] >= 2) if count else np.zeros(0, bool)
+                    good &= row[:count] == row[width - 1:width - 1 + count]
+                    if as_name:
+                        good &= first[:count]
+                    # start, length, hash, place and whether values matter, of windows and of whole items
+                    at = np.flatnonzero(good)
+                    found = [(at, np.full(len(at), width), x[at], place[at], True)]
+                    if sizes is None:
+                        if few is None:
+                            few = np.bincount(row[at], minlength=len(texts)) <= FEW
+                        begin = np.flatnonzero(first)
+                        begin = begin[few[row[begin]]]
+                        spans = [(begin, np.bincount(row, minlength=len(texts))[row[begin]])] if n else []
+                    else:
+                        spans = [(i := np.flatnonzero(row[:n - size + 1] == row[size - 1:]), np.full(len(i), size)) for size in sizes if size <= n]
+                    if spans:
+                        words_hash, holes_hash = _spans(exact, 1), _spans(h, 2)
+                    for i, size in spans:
+                        told = literal[i + size] - literal[i] >= 2
+                        found.append((i, size, words_hash(i, size), place[i] + WHOLE if sizes is not None else np.full(len(i), WHOLE), False))
+                        i, size = i[told], size[told]
+                        found.append((i, size, holes_hash(i, size), place[i] + WHOLE if sizes is not None else np.full(len(i), WHOLE), True))
+                    for at, size, key, where, valued in found:
+                        if bits is not None:
+                            top = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                            hit = (bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1 == 1
+                            at, size, key, where = at[hit], size[hit], key[hit], where[hit]
+                        if sizes is not None and not valued:  # once a text
+                            _, once = np.unique(np.column_stack((row[at].astype(np.uint64), key)), axis=0, return_index=True)
+                            at, size, key, where = at[once], size[once], key[once], where[once]
+                        slots = [[words.bare[flat[j]] for j in range(i, i + c) if k[j] != LITERAL] if valued else []
+                                 for i, c in zip(at.tolist(), size.tolist())]
+                        yield pa.RecordBatch.from_arrays(
+                            [some.column(0).take(pa.array(row[at])), pa.array(key.view(np.int64)), pa.array(where.astype(np.int32)),
+                             pa.array(slots, pa.list_(pa.string())), pa.array(size.astype(np.int32))], names=["id", "window", "place", "slots", "size"])
     return run
 
 
@@ -119,20 +162,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(key, item, share, windows, changed): the items that a document holds. ``share`` is the part
     of the item's template windows found, ``changed`` tells that some value differs.
 
-    Null and empty texts hold nothing. Items of fewer than ``width`` words have no window and
-    are not searched for; windows with fewer than two literal words say nothing and are left
-    out on both sides. Each text counts by itself; rows that share a key, null keys
+    Null and empty texts hold nothing. Windows with fewer than two literal words say nothing and are
+    left out on both sides. Items of at most ``FEW`` windows, those without any included, are also
+    sought as a whole: word by word, and as a template if two of their words are literal.
+    Each text counts by itself; rows that share a key, null keys
     included, give one row an item, ``changed`` if one of those that hold it has other values.
     """
     kinds = dict(docs.dtypes), dict(benchmark.dtypes)
-    schema = "id {}, window long, place int, slots array<string>"
+    schema = "id {}, window long, place int, slots array<string>, size int"
     items = benchmark.select(F.col(f"`{item}`").alias("id"), whole_text(F.col(item_text)).alias("text"))
-    items = items.mapInArrow(_windows(width, None), schema.format(kinds[1][item])).distinct()
+    items = items.mapInArrow(_windows(width, None, None), schema.format(kinds[1][item])).distinct()
+    sizes = [r[0] for r in items.filter(F.col("place") == WHOLE).select("size").distinct().collect()]  # one row a length
     whole = whole_text(F.col(text))
     sought = docs.select(F.struct(F.col(f"`{key}`").alias("key"), F.unhex(F.sha2(whole, 256)).alias("digest")).alias("id"), whole.alias("text"))
-    found = sought.mapInArrow(_windows(width, _bitmap(items)), schema.format(f"struct<key:{kinds[0][key]},digest:binary>")).distinct()
+    found = sought.mapInArrow(_windows(width, _bitmap(items), sorted(sizes)), schema.format(f"struct<key:{kinds[0][key]},digest:binary>")).distinct()
     parts = items.select("window", F.col("id").alias("item"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    totals = items.groupBy(F.col("id").alias("item")).agg(F.count_distinct("place").alias("windows"))
+    totals = items.groupBy(F.col("id").alias("item")).agg(F.count_distinct(F.when(F.col("place") != WHOLE, F.col("place"))).alias("windows"))
     hits = found.join(parts, "window").select("id", "item", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place",
                                               F.arrays_zip("item_slots", "slots").alias("values"))
     lines = hits.groupBy("id", "item", "diagonal").agg(
@@ -140,8 +185,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     names = F.transform("values", lambda v: v["item_slots"])
     consistent = F.size("values") == F.size(F.array_distinct(names))
     lines = lines.filter(consistent).withColumn("changed", F.exists("values", lambda v: v["item_slots"] != v["slots"]))
-    held = lines.groupBy("id", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
+    places = F.array_distinct(F.flatten(F.collect_list("places")))
+    held = lines.groupBy("id", "item").agg(F.size(F.array_remove(places, WHOLE)).alias("covered"), F.array_contains(places, WHOLE).alias("whole"),
                                            F.bool_or("changed").alias("changed")).join(totals, "item")
-    held = held.filter(F.col("covered") >= share * F.col("windows")).withColumn("part", F.col("covered") / F.col("windows"))
+    held = held.filter(F.col("whole") | (F.col("covered") >= share * F.col("windows"))).withColumn(
+        "part", F.when(F.col("whole"), 1.0).otherwise(F.col("covered") / F.col("windows")))
     return held.groupBy(F.col("id.key").alias("key"), "item", "windows").agg(F.max("part").alias("part"), F.bool_or("changed").alias("changed")).select(
         F.col("key").alias(key), F.col("item").alias(item), F.col("part").alias("share"), F.col("windows").cast("long").alias("windows"), "changed")

@@ -294,6 +294,18 @@ def test_decontamination_by_text(spark):
     assert got == {(1, True), (None, True), (3, True)}
 
 
+def test_short_items(spark):
+    """Items without windows, or with few, at the start and in the middle of a sentence."""
+    items = {1: "Who wrote Hamlet?", 2: "12 + 30 = 42", 3: "How many legs has a spider?", 4: "Anna Berg, 12 km, 7 kg, 30 Oslo Street",
+             5: "Solve the equation for 7 apples", 6: "Name the largest planet of all", 7: "..."}
+    texts = [(i, f"{lead}{t} and then some") for i, t in items.items() if i < 7 for lead in ("", "he asked me ", "Once. ")]
+    texts += [(10, "so solve the equation for 9 apples"), (11, "who wrote Macbeth"), (12, "the largest planet of them all"), (13, "...")]
+    docs, benchmark = spark.createDataFrame([(k * 100 + n, t) for n, (k, t) in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame(
+        list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["changed"]) for r in contaminated(docs, benchmark).collect()}
+    assert got == {(k * 100 + n, k, False) for n, (k, t) in enumerate(texts) if k < 7} | {(1018, 5, True), (1119, 1, True)}
+
+
 def test_pipeline(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents")
     now = docs
