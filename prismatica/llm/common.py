@@ -54,6 +54,15 @@ def dealt(key: Column, text: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int")
 
 
+def labelled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``chosen`` (id, ...) that have a document, with its text. Of documents that share
+    a key the text of least digest stands for all, so there are at most as many rows as in ``chosen``."""
+    rows = docs.select(F.col(f"`{key}`").alias("id"), whole_text(F.col(text)).alias("text"))
+    rows = rows.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+    texts = rows.groupBy("id").agg(F.min(F.struct(F.sha2("text", 256).alias("digest"), "text")).alias("least"))
+    return texts.select("id", F.col("least.text").alias("text")).join(F.broadcast(chosen), "id")
+
+
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 

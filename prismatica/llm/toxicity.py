@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prismatica.llm.common import ship, whole_text
+from prismatica.llm.common import labelled, ship, whole_text
 from prismatica.llm.linear import fitted, sigmoid, telling
 
 ship(sys.modules[__name__])
@@ -82,12 +82,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str],
                 sample: int = SAMPLE) -> list[dict]:
     """A chain over ``categories`` (name -> SQL expression over the labels, true or false, in
     this order), learnt from at most ``sample`` labelled rows, those of least key hash. Rows
-    with a null label are left out; labels that name one key twice count twice. Without
+    with a null label are left out; labels that name one key twice count twice, documents
+    that share a key count once. Without
     labelled rows every category has probability 0.5."""
     marks = labels.select(F.col(key).alias("id"), F.array(*[F.expr(e).cast("int") for e in categories.values()]).alias("target"))
     marks = marks.filter(~F.exists("target", lambda x: x.isNull())).withColumn("id_hash", F.xxhash64("id"))
     chosen = marks.orderBy("id_hash", "target").limit(sample)
-    rows = docs.select(F.col(key).alias("id"), whole_text(F.col(text)).alias("text")).join(F.broadcast(chosen), "id")
+    rows = labelled(docs, chosen, key, text)
     featured = rows.mapInArrow(_featured, "id_hash long, target array<int>, hashes binary")
     fitted_rows = featured.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fit(list(categories)), "model string").collect()
     if not fitted_rows:

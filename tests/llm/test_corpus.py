@@ -17,7 +17,7 @@ from prismatica.llm.components import components
 from prismatica.llm.decontaminate import contaminated
 from prismatica.llm.induced import sorted_suffixes
 from prismatica.llm.licenses import license_scan
-from prismatica.llm.common import dealt
+from prismatica.llm.common import dealt, labelled
 from prismatica.llm.lz_fingerprint import edited_likeness, likeness, ranged
 from prismatica.llm.main_text import blocks, main_text, templates
 from prismatica.llm.near_dedup import near_duplicates
@@ -306,6 +306,16 @@ def test_short_items(spark):
     assert got == {(k * 100 + n, k, False) for n, (k, t) in enumerate(texts) if k < 7} | {(1018, 5, True), (1119, 1, True)}
 
 
+def test_a_common_labelled_key_is_one_row(spark):
+    docs = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 900 ELSE id END AS doc_id", "concat(IF(id % 3 = 0, 'good, plain text. ', 'BAD BAD! || '), id) AS text")
+    labels = spark.range(901).selectExpr("id AS doc_id", "IF(id = 900, 1, id % 2) AS quality", "0 AS toxic").filter("doc_id % 3 > 0 or doc_id = 900")
+    chosen = labels.selectExpr("doc_id AS id", "quality AS good")
+    got = [r["text"] for r in labelled(docs, chosen.union(chosen.filter("id = 900")), "doc_id", "text").filter("id = 900").collect()]
+    assert len(got) == 2 and got[0] == got[1] == min((f"good, plain text. {i}" for i in range(0, 900, 3)), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    one = docs.filter("doc_id <> 900").union(spark.createDataFrame([(900, got[0])], docs.schema))
+    assert train_ranking(docs, labels) == train_ranking(one, labels)
+
+
 def test_pipeline(spark, sf_dir):
     docs = Q.table(spark, sf_dir, "documents")
     now = docs
