@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +18,9 @@ def ship(module) -> None:
     cloudpickle.register_pickle_by_value(module)
 
 
+ship(sys.modules[__name__])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -107,3 +113,16 @@ def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(width):
         x = mixed(x * np.uint64(0x9E3779B97F4A7C15) + hashes[i:n - width + 1 + i])
     return np.unique(x)
+
+
+def vector_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of vectors: (places of the rows without null or non-finite entries, their lengths, all
+    their entries as doubles, one row behind the other)."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    entries = pc.cast(column.flatten(), pa.float64())
+    values = pc.fill_null(entries, np.nan).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(length)), np.maximum(length, 0))
+    good = length >= 0
+    good[row[~np.isfinite(values)]] = False
+    return np.flatnonzero(good), length[good], values[good[row]]

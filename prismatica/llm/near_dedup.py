@@ -13,7 +13,6 @@
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Iterator
 
@@ -32,16 +31,15 @@ BANDS, ROWS = 25, 5
 BLOCK = 1 << 20
 
 
-@functools.cache
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240607)
     a = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     return a, rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def minima(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The upper 32 bits of the minimum of ``a * x + b mod 2^64`` per function."""
-    a, b = _functions(bands * rows)
+    a, b = functions
     least = np.full(len(a), np.uint64(2**64 - 1), np.uint64)
     for low in range(0, len(shingles), 1024):  # all functions over a piece that stays in the cache
         values = np.multiply.outer(a, shingles[low:low + 1024])
@@ -52,7 +50,7 @@ def minima(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signatures(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, functions = WordHashes(), _functions(bands * rows)
         for batch in batches:
             sizes, digests, keys, signatures = [], [], [], []
             for text in batch.column(1):
@@ -61,7 +59,7 @@ def _signatures(bands: int, rows: int, width: int):
                 if not len(s):
                     digests.append(None), keys.append(None), signatures.append(None)
                     continue
-                m = minima(s, bands, rows)
+                m = minima(s, functions)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append([xxhash.xxh3_64_intdigest(m[i * rows:(i + 1) * rows].tobytes(), i) - 2**63 for i in range(bands)])
                 signatures.append(m.astype(np.uint8).tobytes())
