@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismatica.llm.backoff_lm import backoff_scores
 from prismatica.llm.common import table
+from prismatica.llm.cover_tree import near_vectors
 from prismatica.llm.decontaminate import contaminated
 from prismatica.llm.licenses import license_scan
 from prismatica.llm.lz_fingerprint import edited_likeness
@@ -16,7 +17,10 @@ from prismatica.llm.near_dedup import near_duplicates
 from prismatica.llm.pieces import encoded, load_pieces
 from prismatica.llm.quality_rank import ranked_quality, train_ranking
 from prismatica.llm.span_dedup import repeated_spans
+from prismatica.llm.token_alignment import aligned_tokens, load_byte_bpe
+from prismatica.llm.token_alignment import load_pieces as load_piece_bytes
 from prismatica.llm.toxicity import chain_scores, train_chain
+from prismatica.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +105,22 @@ def op9_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups between the tokens that two tokenizers cut all documents into."""
+    return aligned_tokens(table(spark, sf_dir, "documents"), load_byte_bpe(), load_piece_bytes())
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sixteen leading whitened components of all embeddings."""
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of embeddings of one label whose cosines reach 0.93."""
+    found = near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
