@@ -33,18 +33,22 @@ ship(sys.modules[__name__])
 
 #: Rounding of a chord; bounds give way by it, and exact comparison decides.
 SLACK = 1e-6
-#: Nodes of the local trees with no more vectors than this are not split.
-BUCKET = 16
 #: Entries of a distance matrix that are held in one go.
 CELLS = 1 << 21
 #: Pairs of children that are looked at in one go.
 NODES = 1 << 17
+#: Pairs of nodes that are looked at in one go, and children of two nodes from which on a matrix is used.
+PAIRS, WIDE = 1 << 14, 1024
 
 
 def chords(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ y.T), 0))
 
 
+def paired_chords(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(1))
+
+
 def units(raw: np.ndarray) -> np.ndarray:
     """Rows of length one; they are first scaled by a power of two, so no square overflows."""
     scaled = np.ldexp(raw, -np.frexp(np.abs(raw).max(1, initial=0))[1][:, None])
@@ -56,6 +60,11 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x @ y.T) / np.outer(np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)))
 
 
+def paired_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of row i of the one with row i of the other."""
+    return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+
 # --- trees and traversal inside a task ---------------------------------------------------
 
 def net(x: np.ndarray, members: np.ndarray, radius: float) -> list[np.ndarray]:
@@ -89,17 +98,21 @@ class Tree:
     child: np.ndarray
     children: np.ndarray
 
+    def __post_init__(self):
+        self.size = np.array(list(map(len, self.members)))
+        #: For the traversal a leaf is its own and only child.
+        self.first, self.fan = np.where(self.children > 0, self.child, np.arange(len(self.child))), np.maximum(self.children, 1)
+
     @classmethod
     def over(cls, x: np.ndarray, least: float) -> Tree:
-        """Levels halve the radius from 2, the largest chord, on; nodes of few vectors, or smaller than
-        ``least``, are leaves."""
+        """Levels halve the radius from 2, the largest chord, on; nodes no larger than ``least`` are leaves."""
         members, child, children, radii, level = [np.arange(len(x))], [0], [0], [], {0: 2.0}
         at = 0
         while at < len(members):
             own = members[at]
             actual = float(chords(x[own[:1]], x[own]).max()) if len(own) > 1 else 0.0
             radii.append(actual)
-            if len(own) > BUCKET and actual > least:
+            if actual > least:
                 limit = level[at]
                 while limit >= actual and limit > least:  # levels that would hold one node only
                     limit /= 2
@@ -155,15 +168,19 @@ class Links:
         i, j = np.nonzero(linked)
         self.join(a[i], b[j])
 
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Vector i of the one with vector i of the other."""
+        np.add.at(self.n, a, self.weights[b])
+        np.add.at(self.n, b, self.weights[a])
+        self.join(a, b)
+
 
-def _children(tree: Tree, node: int) -> np.ndarray:
-    first, n = tree.child[node], tree.children[node]
-    return np.arange(first, first + n) if n else np.array([node])
+Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
-def _below(x: np.ndarray, tree: Tree, a: int, y: np.ndarray, other: Tree, b: int, reach: float, mirrored: bool) -> Iterator[tuple[int, int]]:
+def _below(x: np.ndarray, tree: Tree, a: int, y: np.ndarray, other: Tree, b: int, reach: float, mirrored: bool) -> Pairs:
     """Pairs of children of two nodes that come within reach, some at a time."""
-    mine, its = _children(tree, a), _children(other, b)
+    mine, its = tree.first[a] + np.arange(tree.fan[a]), other.first[b] + np.arange(other.fan[b])
     step = max(1, NODES // len(its))
     for low in range(0, len(mine), step):
         part = mine[low:low + step]
@@ -171,7 +188,22 @@ def _below(x: np.ndarray, tree: Tree, a: int, y: np.ndarray, other: Tree, b: int
         if mirrored:
             near &= part[:, None] <= its
         i, j = np.nonzero(near)
-        yield from zip(part[i].tolist(), its[j].tolist())
+        yield part[i], its[j]
+
+
+def _below_each(x: np.ndarray, tree: Tree, a: np.ndarray, y: np.ndarray, other: Tree, b: np.ndarray, reach: float, same: bool) -> Pairs:
+    """The same for many pairs of nodes with few children each."""
+    every = tree.fan[a] * other.fan[b]
+    edges = np.flatnonzero(np.diff(np.cumsum(every) // PAIRS)) + 1
+    for a, b, n in zip(np.split(a, edges), np.split(b, edges), np.split(every, edges)):
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        up, down = np.repeat(a, n), np.repeat(b, n)
+        i, j = tree.first[up] + at // other.fan[down], other.first[down] + at % other.fan[down]
+        far = paired_chords(x[tree.centre[i]], y[other.centre[j]])
+        near = far <= tree.radius[i] + other.radius[j] + reach
+        if same:
+            near &= (up != down) | (i <= j)
+        yield i[near], j[near]
 
 
 def traverse(x: np.ndarray, tree: Tree, y: np.ndarray, other: Tree, shift: int, links: Links, raw: np.ndarray, least_cosine: float) -> None:
@@ -179,23 +211,29 @@ def traverse(x: np.ndarray, tree: Tree, y: np.ndarray, other: Tree, shift: int,
     leaf); the vectors of ``other`` are number ``shift`` on in ``raw`` and ``links``. Depth first, so the
     pairs that wait are few."""
     same, reach = tree is other, np.sqrt(2 - 2 * least_cosine)
-    waiting = [iter([(0, 0)])]
+    waiting: list[Pairs] = [iter([(np.zeros(1, int), np.zeros(1, int))])]
     while waiting:
-        pair = next(waiting[-1], None)
-        if pair is None:
+        found = next(waiting[-1], None)
+        if found is None:
             waiting.pop()
             continue
-        a, b = pair
-        mirrored = same and a == b
-        one, two = tree.members[a], other.members[b] + shift
-        if mirrored and len(one) == 1:
+        if len(found[0]) > PAIRS:
+            waiting.append(iter([(found[0][low:low + PAIRS], found[1][low:low + PAIRS]) for low in range(0, len(found[0]), PAIRS)]))
             continue
-        between = 0.0 if mirrored else float(chords(x[tree.centre[a]][None], y[other.centre[b]][None])[0, 0])
-        if between + tree.radius[a] + other.radius[b] < reach - SLACK:
-            links.all_of(one, two, mirrored)
-        elif tree.children[a] or other.children[b]:
-            waiting.append(_below(x, tree, a, y, other, b, reach + SLACK, mirrored))
-        else:
+        a, b = found
+        single = (tree.size[a] == 1) & (other.size[b] == 1)
+        one, two = tree.centre[a[single]], other.centre[b[single]] + shift
+        linked = (one != two) & (paired_cosines(raw[one], raw[two]) >= least_cosine)
+        links.pairs(one[linked], two[linked])
+        a, b = a[~single], b[~single]
+        far = paired_chords(x[tree.centre[a]], y[other.centre[b]])
+        far[same & (a == b)] = 0.0
+        whole = far + tree.radius[a] + other.radius[b] < reach - SLACK
+        leaves = ~whole & (tree.children[a] == 0) & (other.children[b] == 0)
+        for i, j in zip(a[whole], b[whole]):
+            links.all_of(tree.members[i], other.members[j] + shift, same and i == j)
+        for i, j in zip(a[leaves], b[leaves]):
+            one, two, mirrored = tree.members[i], other.members[j] + shift, same and i == j
             step = max(1, CELLS // len(two))
             for low in range(0, len(one), step):
                 part = one[low:low + step]
@@ -203,6 +241,12 @@ def traverse(x: np.ndarray, tree: Tree, y: np.ndarray, other: Tree, shift: int,
                 if mirrored:
                     linked[np.arange(len(part)), low + np.arange(len(part))] = False
                 links.some_of(part, two, linked, mirrored)
+        a, b = a[~whole & ~leaves], b[~whole & ~leaves]
+        wide = tree.fan[a] * other.fan[b] > WIDE
+        for i, j in zip(a[wide], b[wide]):
+            waiting.append(_below(x, tree, i, y, other, j, reach + SLACK, same and i == j))
+        if not wide.all():
+            waiting.append(_below_each(x, tree, a[~wide], y, other, b[~wide], reach + SLACK, same))
 
 
 # --- rows, nodes and pairs of leaves --------------------------------------------------------

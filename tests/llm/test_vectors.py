@@ -268,8 +268,9 @@ def test_traversal_prunes_far_pairs(monkeypatch):
     rng = np.random.default_rng(6)
     x = units(np.concatenate([c + 0.05 * rng.standard_normal((60, 32)) for c in rng.standard_normal((20, 32))]))
     compared = []
-    plain = cover_tree.cosines
-    monkeypatch.setattr(cover_tree, "cosines", lambda a, b: (compared.append(len(a) * len(b)), plain(a, b))[1])
+    whole, paired = cover_tree.cosines, cover_tree.paired_cosines
+    monkeypatch.setattr(cover_tree, "cosines", lambda a, b: (compared.append(len(a) * len(b)), whole(a, b))[1])
+    monkeypatch.setattr(cover_tree, "paired_cosines", lambda a, b: (compared.append(len(a)), paired(a, b))[1])
     tree, links = Tree.over(x, 0.05), Links(np.ones(len(x), np.int64))
     traverse(x, tree, x, tree, 0, links, x, 0.93)
     want = (x @ x.T >= 0.93).sum(1) - 1
