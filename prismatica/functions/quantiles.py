@@ -1,17 +1,21 @@
-"""Exact quantiles of many columns in three scans with bounded memory.
-
-Spark's ``percentile`` keeps every distinct value of a column in one task.
-Here the first scan builds mergeable ``percentile_approx`` sketches, whose
-rank error is bounded, and so brackets each wanted rank between two values.
-The second scan only counts: each bracket is cut into equal-width cells, and
-the running count over the cells tells which cell holds the wanted rank. The
-third scan groups the values of those cells, a few millionths of the data.
-
-The first scan runs at once, like fitting a model: its result, one row per
-column, reaches the driver and fixes the rest of the plan. Columns counted to
-be small take the built-in ``percentile`` instead. The other two scans are
-lazy, and read what came before through a broadcast of one row per column, so
-no shuffle and no broadcast grows with the table.
+"""Exact quantiles of many columns with bounded memory.
+
+Spark's ``percentile`` keeps every distinct value of a column in one task. Here
+a first scan builds a KLL sketch per column, a few KB whatever the column holds;
+sketches are merged in two levels, first those of up to 512 neighbouring tasks,
+then the results. The sketch brackets each wanted rank between two values.
+
+Each further scan counts, exactly, what lies below and inside the brackets. A
+bracket of up to a million rows is counted by value, which settles the rank. A
+larger one is cut into cells, the cell that holds the rank is the bracket of
+the next scan, and so on; a wrong guess costs one more scan and no wrong result.
+Cells have equal widths, or equal ratios where a bracket spans many orders of
+magnitude, so seven rounds reach single values whatever the distribution. The
+last round holds at most a million values per rank; nothing grows with the table
+but the number of rounds.
+
+Sketches and rounds run at once, like fitting a model: what reaches the driver
+is one row per column or per rank. The other aggregates of a column are lazy.
 """
 
 from __future__ import annotations
@@ -21,12 +25,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from prismatica.functions.tidy import column_rows
-
-ACCURACY = 20_000
-# Up to this many values a bracket is simply [min, max].
-SMALL = 50_000
-CELLS = 1024
+# Size of a sketch, and twice the error of the ranks it gives: 2.296 / K ** 0.9723.
+K, PAD = 800, 0.007
+# Tasks whose sketches are merged in the first of two levels.
+FAN = 512
+# Cells of a bracket, and rows from which on it is cut into them.
+CELLS, ROWS = 8192, 1 << 20
+# The cell of equal ratio: 746 is beyond -ln of the least double.
+RATIO_CELL = "cast(floor(CASE WHEN v = 0 THEN 0.0D ELSE 2 * signum(v) * (ln(abs(v)) + 746) END) AS double)"
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,20 @@ class Rank:
     near: float
 
 
+@dataclass(frozen=True)
+class Bracket:
+    """Values between which a rank is sought; ``exact`` counts each value."""
+
+    low: float
+    high: float
+    exact: bool
+
+    @property
+    def ratios(self) -> bool:
+        """Whether cells of equal ratios cut it better than such of equal widths."""
+        return self.low < 0 < self.high or not 1e-6 < abs(self.low or 0.0) / max(abs(self.high), 5e-324) < 1e6
+
+
 def _long(df: DataFrame, values: list[tuple[str, Column]]) -> DataFrame:
     """(col_no, v): one row per value."""
     numbers = [str(i) for i in range(len(values))]
@@ -45,83 +65,99 @@ def _long(df: DataFrame, values: list[tuple[str, Column]]) -> DataFrame:
             .selectExpr("cast(col_no as int) AS col_no", "v"))
 
 
-def _sketched(df: DataFrame, values: list[tuple[str, Column]], points: list[float],
-              extras: Callable[[Column], dict[str, Column]] | None) -> DataFrame:
-    """Scan 1, run now: n, low, high, the values at ``points`` and the extras,
-    a row per column.
-
-    Grouping by column keeps the generated code short however many columns
-    there are, and the extras have a pass of their own: next to a sketch they
-    would run interpreted (measured: 15 s together, 6 s apart)."""
-    spark, long = df.sparkSession, _long(df, values).groupBy("col_no")
-    sketch = F.percentile_approx("v", F.lit(points), F.lit(ACCURACY)).alias("sketch")
-    figures = [F.expr("count(v) AS n"), F.expr("min(v) AS low"), F.expr("max(v) AS high")]
-
-    def known(agg: DataFrame) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(agg.collect(), agg.schema))
-
-    out = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(values)], "col_no int, column string")
-    if extras:
-        more = [c.alias(k) for k, c in extras(F.col("v")).items()]
-        out = out.join(known(long.agg(*figures, *more)), "col_no", "left").join(known(long.agg(sketch)), "col_no", "left")
-    else:
-        out = out.join(known(long.agg(*figures, sketch)), "col_no", "left")
-    return out.withColumn("n", F.expr("coalesce(n, 0L)"))
-
-
-def _edges(near: list[float]) -> list[tuple[float, float]]:
-    pad = 4.0 / ACCURACY
-    return [(min(max(p - pad, 0.0), 1.0), min(max(p + pad, 0.0), 1.0)) for p in sorted(set(near))]
+def sketches(df: DataFrame, values: list[tuple[str, Column]]) -> DataFrame:
+    """(col_no, sketch) of the columns that hold values."""
+    parts = (_long(df, values).filter("v is not null").selectExpr("col_no", f"spark_partition_id() div {FAN} AS part", "v")
+             .groupBy("col_no", "part").agg(F.expr(f"kll_sketch_agg_double(v, {K})").alias("sketch")))
+    return parts.groupBy("col_no").agg(F.expr(f"kll_merge_agg_double(sketch, {K})").alias("sketch"))
+
+
+def _sketched(df: DataFrame, values: list[tuple[str, Column]], points: list[float]) -> dict[int, tuple[int, list[float]]]:
+    """By column: how many values it has, and those near ``points``."""
+    asked = F.array(*[F.lit(float(p)) for p in points])
+    found = sketches(df, values).select("col_no", F.expr("kll_sketch_get_n_double(sketch)").alias("n"),
+                                        F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), asked).alias("at"))
+    return {r["col_no"]: (r["n"], list(r["at"])) for r in found.collect()}
+
+
+def _counted(cells: DataFrame, brackets: dict[int, list[Bracket]], ranks: list[tuple[int, int, int]]) -> list:
+    """One scan: per (col_no, rank_no, rank) the group of equal values, or the
+    cell or gap, that holds the rank, with the number of values before it."""
+    spark, most = cells.sparkSession, max(map(len, brackets.values()))
+    fields = ", ".join(f"lo{t} double, hi{t} double, exact{t} boolean, ratios{t} boolean" for t in range(most))
+    bounds = spark.createDataFrame(
+        [(no, *[x for b in bs for x in (b.low, b.high, b.exact, b.ratios)], *[None] * 4 * (most - len(bs))) for no, bs in brackets.items()],
+        f"col_no int, {fields}")
+    # Slot 2t + 1 is bracket t, even slots are the gaps around them.
+    slot = key = "CASE"
+    for t in range(most):
+        share = f"coalesce(try_divide(v / 2 - lo{t} / 2, hi{t} / 2 - lo{t} / 2), 0.0D)"
+        slot += f" WHEN v < lo{t} THEN {2 * t} WHEN v <= hi{t} THEN {2 * t + 1}"
+        key += (f" WHEN v < lo{t} THEN 0.0D WHEN v <= hi{t} THEN CASE WHEN exact{t} THEN v WHEN ratios{t} THEN {RATIO_CELL} "
+                f"ELSE cast(floor({share} * {CELLS - 1}) AS double) END")
+    tally = (cells.join(F.broadcast(bounds), "col_no")
+             .selectExpr("col_no", f"{slot} ELSE {2 * most} END AS slot", f"{key} ELSE 0.0D END AS key", "v")
+             .groupBy("col_no", "slot", "key").agg(F.expr("count(1) AS size"), F.expr("min(v) AS first"), F.expr("max(v) AS last")))
+    wanted = spark.createDataFrame(ranks, "col_no int, rank_no int, rank long")
+    # The window holds the cells of a column's brackets, or their values: at most ROWS per bracket.
+    before = tally.selectExpr("*", "coalesce(sum(size) OVER (PARTITION BY col_no ORDER BY slot, key "
+                                   "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    return (before.join(F.broadcast(wanted), "col_no").filter("rank >= before AND rank < before + size")
+            .select("col_no", "rank_no", "rank", "before", "size", "first", "last").collect())
+
+
+def _settled(cells: DataFrame, ranks: list[tuple[int, int, int]], guess: dict[tuple[int, int], Bracket]) -> dict[tuple[int, int], tuple]:
+    """(value, smaller values, equal values) by (col_no, rank_no)."""
+    done = {}
+    while ranks:
+        brackets = {no: sorted({guess[c, i] for c, i, _ in ranks if c == no}, key=lambda b: (b.low, b.high))
+                    for no in {c for c, _, _ in ranks}}
+        left = []
+        for r in _counted(cells, brackets, ranks):
+            at = (r["col_no"], r["rank_no"])
+            if r["first"] == r["last"]:
+                done[at] = (r["first"], r["before"], r["size"])
+            else:
+                stuck = (guess[at].low, guess[at].high) == (r["first"], r["last"])
+                guess[at] = Bracket(r["first"], r["last"], r["size"] <= ROWS or stuck)
+                left.append((*at, r["rank"]))
+        ranks = left
+    return done
 
 
 def order_statistics(df: DataFrame, values: list[tuple[str, Column]], ranks: list[Rank],
-                     extras: Callable[[Column], dict[str, Column]] | None = None,
-                     stats: DataFrame | None = None) -> DataFrame:
+                     extras: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
     """One row per entry of ``values``: col_no, column, n, low, high, the
     ``extras`` aggregates, and per rank i the value ``v{i}`` at that rank, the
     count ``below{i}`` of smaller and ``same{i}`` of equal values. NULLs are
     left out."""
-    edges = _edges([r.near for r in ranks])
-    points = sorted({p for pair in edges for p in pair})
-    stats = stats if stats is not None else _sketched(df, values, points, extras)
-    cells = _long(df, values).filter("v is not null")
-    bounds = stats.selectExpr("col_no", *[
-        f"CASE WHEN n <= {SMALL} THEN {flat} ELSE element_at(sketch, {points.index(p) + 1}) END AS {edge}{t}"
-        for t, pair in enumerate(edges) for edge, flat, p in zip(("lo", "hi"), ("low", "high"), pair)])
-
-    # Scan 2: count cells. Slot 2t+1 is bracket t, even slots are the gaps; a
-    # gap is a cell too, so a rank a sketch missed is still found, only slower.
-    slot = sub = "CASE"
-    for t in range(len(edges)):
-        share = f"CASE WHEN hi{t} > lo{t} THEN (v - lo{t}) / (hi{t} - lo{t}) ELSE 0.0D END"
-        slot += f" WHEN v < lo{t} THEN {2 * t} WHEN v <= hi{t} THEN {2 * t + 1}"
-        sub += f" WHEN v < lo{t} THEN 0 WHEN v <= hi{t} THEN cast(floor({share} * {CELLS - 1}) AS int)"
-    tally = (cells.join(F.broadcast(bounds), "col_no")
-             .selectExpr("col_no", f"{slot} ELSE {2 * len(edges)} END AS slot", f"{sub} ELSE 0 END AS sub", "v")
-             .groupBy("col_no", "slot", "sub")
-             .agg(F.expr("count(1) AS size"), F.expr("min(v) AS first"), F.expr("max(v) AS last")))
-    wanted = ", ".join(f"struct({i} AS rank_no, cast({r.sql} AS bigint) AS rank)" for i, r in enumerate(ranks))
-    hit = (tally.selectExpr("*", "coalesce(sum(size) OVER (PARTITION BY col_no ORDER BY slot, sub "
-                                 "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
-           .join(F.broadcast(stats.select("col_no", "n")), "col_no")
-           .selectExpr("*", f"inline(array({wanted}))")
-           .filter("rank >= before AND rank < before + size")
-           .groupBy("col_no").agg(*[F.expr(f"max(CASE WHEN rank_no = {i} THEN {k} END) AS {k}{i}")
-                                    for i in range(len(ranks)) for k in ("first", "last", "before", "rank")]))
-
-    # Scan 3: the values of the located cells, in order.
-    located = [f"(v BETWEEN first{i} AND last{i})" for i in range(len(ranks))]
-    told = ", ".join(f"struct({i} AS rank_no, {here} AS here, before{i} AS before, rank{i} AS rank)"
-                     for i, here in enumerate(located))
-    found = (cells.join(F.broadcast(hit), "col_no").filter(" OR ".join(located))
-             .groupBy(*hit.columns, "v").agg(F.expr("count(1) AS m"))
-             .selectExpr("col_no", "v", "m", f"inline(array({told}))").filter("here")
-             .selectExpr("*", "before + sum(m) OVER (PARTITION BY col_no, rank_no ORDER BY v) AS upto")
-             .filter("rank >= upto - m AND rank < upto"))
-    wide = found.groupBy("col_no").agg(*[
-        F.expr(f"max(CASE WHEN rank_no = {i} THEN {k} END) AS {name}{i}")
-        for i in range(len(ranks)) for k, name in (("v", "v"), ("upto - m", "below"), ("m", "same"))])
-    return stats.drop("sketch").join(F.broadcast(wide), "col_no", "left")
+    spark = df.sparkSession
+    shares = sorted({p for r in ranks for p in (r.near - PAD, r.near + PAD)})
+    points = [0.0, 1.0, *[min(max(p, 0.0), 1.0) for p in shares]]
+    known = _sketched(df, values, points)
+    places = {p: i + 2 for i, p in enumerate(shares)}
+    sizes = spark.createDataFrame([(no, n) for no, (n, _) in known.items()], "col_no int, n long")
+    wanted = [(r["col_no"], i, r[f"r{i}"]) for r in sizes.select(
+        "col_no", *[F.expr(f"cast({r.sql} AS bigint)").alias(f"r{i}") for i, r in enumerate(ranks)]).collect() for i in range(len(ranks))]
+    guess = {}
+    for no, (n, at) in known.items():
+        for i, r in enumerate(ranks):
+            low, high = at[places[r.near - PAD]], at[places[r.near + PAD]]
+            guess[no, i] = Bracket(low, high, 4 * PAD * n <= ROWS)
+    found = _settled(_long(df, values).filter("v is not null"), [w for w in wanted if w[2] is not None], guess)
+    none = (0, [None, None])
+    rows = [(no, name, known.get(no, none)[0], *known.get(no, none)[1][:2], *[x for i in range(len(ranks)) for x in found.get((no, i), (None,) * 3)])
+            for no, (name, _) in enumerate(values)]
+    return _with_extras(df, values, extras, spark.createDataFrame(rows, "col_no int, column string, n long, low double, high double" + "".join(
+        f", v{i} double, below{i} long, same{i} long" for i in range(len(ranks)))))
+
+
+def _with_extras(df: DataFrame, values: list[tuple[str, Column]], extras: Callable[[Column], dict[str, Column]] | None, out: DataFrame) -> DataFrame:
+    """Their aggregates have a pass of their own: next to a sketch they would run interpreted."""
+    if not extras:
+        return out
+    more = _long(df, values).groupBy("col_no").agg(*[c.alias(k) for k, c in extras(F.col("v")).items()])
+    return out.join(F.broadcast(more), "col_no", "left")
 
 
 def quantiles(df: DataFrame, values: list[tuple[str, Column]], probs: list[float],
@@ -133,18 +169,12 @@ def quantiles(df: DataFrame, values: list[tuple[str, Column]], probs: list[float
     ``approx`` stops after the first scan and returns sketch values.
     """
     if approx:
-        def one(v: Column) -> dict[str, Column]:
-            return {"n": F.count(v), "low": F.min(v), "high": F.max(v), **(extras(v) if extras else {}),
-                    **{f"q{i}": F.percentile_approx(v, F.lit(p), F.lit(ACCURACY)) for i, p in enumerate(probs)}}
-        return column_rows(df, [(name, one(v)) for name, v in values])
-    points = sorted({p for pair in _edges(probs) for p in pair})
-    stats = _sketched(df, values, points, extras)
-    if stats.agg(F.max("n")).first()[0] <= SMALL:
-        exact = _long(df, values).groupBy("col_no").agg(F.percentile("v", F.lit([float(p) for p in probs])).alias("q"))
-        return stats.drop("sketch").join(F.broadcast(exact), "col_no", "left").select(
-            *[c for c in stats.columns if c != "sketch"], *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
+        known, none = _sketched(df, values, [0.0, 1.0, *probs]), (0, [None] * (len(probs) + 2))
+        rows = [(no, name, known.get(no, none)[0], *known.get(no, none)[1]) for no, (name, _) in enumerate(values)]
+        return _with_extras(df, values, extras, df.sparkSession.createDataFrame(
+            rows, "col_no int, column string, n long, low double, high double" + "".join(f", q{i} double" for i in range(len(probs)))))
     ranks = [Rank(f"{way}((n - 1) * {p!r}D)", p) for p in probs for way in ("floor", "ceil")]
-    found = order_statistics(df, values, ranks, stats=stats)
+    found = order_statistics(df, values, ranks, extras)
     names = [c for c in found.columns if c.rstrip("0123456789") not in ("v", "below", "same")]
     return found.select(*names, *[
         F.expr(f"v{2 * i} + (v{2 * i + 1} - v{2 * i}) * ((n - 1) * {p!r}D - floor((n - 1) * {p!r}D)) AS q{i}")

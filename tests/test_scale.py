@@ -21,10 +21,12 @@ def shapes(spark):
         F.lit(3.0).alias("flat"), F.lit(None).cast("double").alias("none"))
 
 
-@pytest.mark.parametrize("small", [0, 10_000_000])
-def test_quantiles_equal_percentile(spark, monkeypatch, small):
-    monkeypatch.setattr(Z, "SMALL", small)
-    monkeypatch.setattr(Z, "ACCURACY", 1000)
+@pytest.mark.parametrize("rows, cells, k", [(1 << 20, 8192, 800), (50, 16, 800), (0, 64, 8)])
+def test_quantiles_equal_percentile(spark, monkeypatch, rows, cells, k):
+    """Whatever the bound on what a round counts by value, the number of rounds or the quality of the sketch."""
+    monkeypatch.setattr(Z, "ROWS", rows)
+    monkeypatch.setattr(Z, "CELLS", cells)
+    monkeypatch.setattr(Z, "K", k)
     df = shapes(spark).repartition(7)
     got = {r["column"]: r for r in Z.quantiles(df, [(c, F.col(c)) for c in df.columns], PROBS).collect()}
     want = df.agg(*[F.percentile(c, F.lit(PROBS)).alias(c) for c in df.columns]).first()
@@ -35,12 +37,42 @@ def test_quantiles_equal_percentile(spark, monkeypatch, small):
 
 def test_a_rank_outside_its_bracket_is_still_found(spark, monkeypatch):
     """Sketches that bracket the wrong place cost time, not correctness."""
-    monkeypatch.setattr(Z, "SMALL", 0)
     df = spark.range(5000).select(F.col("id").cast("double").alias("v"))
     got = Z.order_statistics(df, [("v", F.col("v"))], [Z.Rank("n - 10", 0.1)]).first()
     assert got["v0"] == 4990 and got["below0"] == 4990 and got["same0"] == 1
 
 
+def test_sketches_merge_in_two_levels(spark, monkeypatch):
+    """No task merges the sketches of all tasks: each merges those of FAN neighbours, one the results."""
+    df = spark.range(0, 64_000, 1, 64).select(F.col("id").cast("double").alias("v"))
+    seen = {}
+    for fan in (8, 10**9):
+        monkeypatch.setattr(Z, "FAN", fan)
+        found = Z.sketches(df, [("v", F.col("v"))])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("kll_sketch_agg_double") and "hashpartitioning(col_no" in plan and "part" in plan
+        parts = (df.select(F.spark_partition_id().alias("task")).distinct().groupBy(F.expr(f"task div {fan}")).count().collect())
+        seen[fan] = (len(parts), max(r[1] for r in parts))
+        at = found.select(F.expr("kll_sketch_get_n_double(sketch)"), F.expr("kll_sketch_get_quantile_double(sketch, 0.5D)")).first()
+        assert at[0] == 64_000 and abs(at[1] - 32_000) < 64_000 * Z.PAD
+    assert seen[8] == (8, 8) and seen[10**9] == (1, 64)
+
+
+def test_a_hot_value_costs_one_row(spark):
+    """A value that fills its bracket is one group, however many rows hold it."""
+    df = spark.range(300_000).select(F.when(F.col("id") % 3 > 0, 5.5).otherwise(F.col("id") / 7).alias("v"))
+    got = Z.order_statistics(df, [("v", F.col("v"))], [Z.Rank("n div 2", 0.5)]).first()
+    assert got["v0"] == 5.5 or got["same0"] == 1
+    assert got["n"] == 300_000 and got["below0"] <= 150_000 < got["below0"] + got["same0"]
+
+
+def test_extreme_and_close_values_end(spark):
+    values = [-1.7e308, 1.7e308, 5e-324, 0.0, -0.0, 1.0, 1.0 + 2**-52, 1e-300] * 3
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    got = Z.quantiles(df, [("v", F.col("v"))], [0.0, 0.3, 0.5, 1.0]).first()
+    assert (got["q0"], got["q3"], got["n"]) == (-1.7e308, 1.7e308, 24) and got["q1"] == 0.0
+
+
 def test_repartitioning_changes_nothing(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     a, b = o.repartition(1), o.repartition(13, "o_custkey")
