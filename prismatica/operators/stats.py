@@ -11,6 +11,7 @@ from prismatica.functions.columns import (
     boolean_columns, dtype_of, number, numeric_columns, text_columns, value)
 from prismatica.functions.quantiles import quantiles
 from prismatica.functions.tidy import column_names, column_rows, empty_rows, value_counts
+from prismatica.operators.comoments import correlations
 
 
 def _numbers(df: DataFrame, columns: list[str] | None = None) -> list[tuple[str, Column]]:
@@ -226,25 +227,17 @@ def outlier_rows(df: DataFrame, column: str) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Every pair of numeric columns once, with its pairwise-complete Pearson
-    correlation; NULL where either side is constant.
-
-    One scan: each row is expanded into its pairs and three short aggregates
-    run per pair. (All pairs side by side in one aggregate would outgrow what
-    the JVM compiles and run interpreted.)
-    """
+    correlation; NULL where either side is constant. One scan, in which no row
+    is expanded into its pairs (see ``comoments``)."""
     values = _numbers(df, columns)
     if len(values) < 2:
         return empty_rows(df, "pair_no int, feature_a string, feature_b string, correlation double")
-    plain = df.select(*[v.alias(f"x{i}") for i, (_, v) in enumerate(values)])
     pairs = list(combinations(range(len(values)), 2))
-    numbers = [str(k) for k in range(len(pairs))]
-    long = (plain.selectExpr(*[f"struct(x{a} AS a, x{b} AS b) AS `{k}`" for k, (a, b) in zip(numbers, pairs)])
-            .unpivot([], numbers, "pair", "p").selectExpr("cast(pair as int) AS pair_no", "p.a AS a", "p.b AS b")
-            .filter("a is not null and b is not null"))
-    r = long.groupBy("pair_no").agg(F.expr("try_divide(covar_pop(a, b), stddev_pop(a) * stddev_pop(b)) AS correlation"))
     names = df.sparkSession.createDataFrame(
-        [(k, values[a][0], values[b][0]) for k, (a, b) in enumerate(pairs)], "pair_no int, feature_a string, feature_b string")
-    return names.join(F.broadcast(r), "pair_no", "left")
+        [(k, a, b, values[a][0], values[b][0]) for k, (a, b) in enumerate(pairs)],
+        "pair_no int, a int, b int, feature_a string, feature_b string")
+    found = correlations(df, [v for _, v in values]).select("a", "b", "correlation")
+    return names.join(F.broadcast(found), ["a", "b"], "left").drop("a", "b")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
