@@ -3,10 +3,19 @@ cell, and per-column frequency tables."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from prismatica.functions.coerce import to_time
 from prismatica.functions.columns import dtype_of, value
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Expressions per aggregate; beyond this the generated method grows past what
 # the JVM compiles and the aggregate runs interpreted, ten times slower.
 EXPRESSIONS_PER_AGG = 30
@@ -61,7 +70,8 @@ def cells(df: DataFrame, columns: list[str] | None = None, digest: bool = False)
 
     Each type keeps its own slot, so equality is exact (no casts of numbers to
     text). With ``digest`` long strings are replaced by their SHA-256, which
-    keeps distinct counts right and whole documents out of the shuffle.
+    keeps distinct counts right and whole documents out of the shuffle; a fourth
+    slot then tells of those strings, while they are at hand, whether they are dates.
     """
     columns = columns if columns is not None else df.columns
     packed = []
@@ -69,6 +79,8 @@ def cells(df: DataFrame, columns: list[str] | None = None, digest: bool = False)
         dtype, v = dtype_of(df, name), value(df, name)
         slots = {"l": F.lit(None).cast("long"), "d": F.lit(None).cast("double"),
                  "s": F.lit(None).cast("string")}
+        if digest:
+            slots["t"] = F.lit(None).cast("boolean")
         if isinstance(dtype, _LONG_SLOT):
             slots["l"] = v.cast("long")
         elif isinstance(dtype, _TIME_SLOT):
@@ -79,9 +91,11 @@ def cells(df: DataFrame, columns: list[str] | None = None, digest: bool = False)
             slots["d"] = v.cast("double")
         else:
             slots["s"] = digested(v.cast("string")) if digest else v.cast("string")
+            if digest:
+                slots["t"] = F.when(F.length(v.cast("string")) > _DIGEST_FROM, to_time(v).isNotNull())
         packed.append(F.struct(*[c.alias(k) for k, c in slots.items()]).alias(str(i)))
     long = df.select(*packed).unpivot([], [str(i) for i in range(len(columns))], "col_no", "v")
-    return long.select(F.col("col_no").cast("int"), "v.l", "v.d", "v.s")
+    return long.select(F.col("col_no").cast("int"), "v.l", "v.d", "v.s", *["v.t"] * digest)
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, digest: bool = False) -> DataFrame:
@@ -90,7 +104,33 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, digest: bool =
     Repeats collapse before the shuffle, so a value that fills a third of a
     column costs one row per task.
     """
-    return cells(df, columns, digest).groupBy("col_no", "l", "d", "s").agg(F.count(F.lit(1)).alias("n"))
+    return cells(df, columns, digest).groupBy("col_no", "l", "d", "s", *["t"] * digest).agg(F.count(F.lit(1)).alias("n"))
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """(col_no, rows, missing) of every column: one scan, and no value leaves its task."""
+    flags = df.select(*[value(df, c).isNull().alias(str(i)) for i, c in enumerate(df.columns)])
+    return (flags.unpivot([], flags.columns, "col_no", "gap").select(F.col("col_no").cast("int"), "gap").groupBy("col_no")
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_if("gap").alias("missing")))
+
+
+def _few(most: int):
+    """The first ``most`` distinct values of a task's only column; it stops reading when it has them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            kept = pc.unique(pa.concat_arrays([*([] if kept is None else [kept]), batch.column(0)]))[:most]
+            if len(kept) == most:
+                break
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([kept], names=["v"])
+    return run
+
+
+def few_values(df: DataFrame, v: Column, most: int) -> DataFrame:
+    """Up to ``most`` distinct non-null values of ``v`` as text; each task hands on no more than that."""
+    text = df.select(v.cast("string").alias("v")).filter("v is not null")
+    return text.select(digested(F.col("v")).alias("v")).mapInArrow(_few(most), "v string").distinct().limit(most)
 
 
 def column_names(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from prismatica.functions import vocabulary as V
 from prismatica.functions.coerce import col, percent, to_time
 from prismatica.functions.columns import dtype_of, kind_of, moment, value
-from prismatica.functions.tidy import column_rows, digested, empty_rows, value_counts
+from prismatica.functions.tidy import column_rows, digested, empty_rows, few_values, null_counts, value_counts
 
 FACTS = ("col_no int, column string, dtype string, kind string, rows long, "
          "missing long, distinct long, dated long")
@@ -27,7 +27,7 @@ def column_facts(df: DataFrame) -> DataFrame:
         return empty_rows(df, FACTS)
     freq = value_counts(df, digest=True)
     filled = F.coalesce(F.col("l").isNotNull(), F.lit(False)) | F.col("d").isNotNull() | F.col("s").isNotNull()
-    dated = filled & to_time(F.when(F.length(F.trim("s")) <= 40, F.trim("s"))).isNotNull()
+    dated = filled & F.coalesce("t", to_time(F.col("s")).isNotNull())
     counted = freq.groupBy("col_no").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(~filled, F.col("n")).otherwise(0)).alias("missing"),
@@ -58,38 +58,74 @@ def duplicates(df: DataFrame) -> DataFrame:
                       F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-@dataclass
+def column_counts(df: DataFrame) -> DataFrame:
+    """The facts that need no distinct values: dtype, kind, rows and missing of
+    every column, by counters that are summed up in the tasks."""
+    if not df.columns:
+        return empty_rows(df, "col_no int, column string, dtype string, kind string, rows long, missing long")
+    names = df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString(), kind_of(f.dataType)) for i, f in enumerate(df.schema.fields)],
+        "col_no int, column string, dtype string, kind string")
+    zero = F.lit(0).cast("long")
+    return F.broadcast(names).join(null_counts(df), "col_no", "left").select(
+        "col_no", "column", "dtype", "kind", *[F.coalesce(c, zero).alias(c) for c in ("rows", "missing")])
+
+
 class BaseProfile:
-    """Facts and duplicate count of one table, computed once and shared.
+    """Counts, facts and duplicate count of one table, each computed when it is first
+    asked for, and shared: gaps need no distinct values, and neither needs the copies.
 
-    Both are small (a row per column, one row), so they are persisted rather
-    than the table itself.
+    All are small (a row per column, one row), so with ``persist`` they are
+    persisted rather than the table itself.
     """
 
-    facts: DataFrame
-    dups: DataFrame
+    def __init__(self, df: DataFrame, persist: bool = False):
+        self.df, self.persist = df, persist
 
     @classmethod
     def of(cls, df: DataFrame, persist: bool = False) -> "BaseProfile":
-        facts, dups = column_facts(df), duplicates(df)
-        if persist:
-            facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
-            dups = dups.persist(StorageLevel.MEMORY_AND_DISK)
-        return cls(facts, dups)
+        return cls(df, persist)
 
-    def release(self) -> None:
-        self.facts.unpersist()
-        self.dups.unpersist()
+    def _kept(self, result: DataFrame) -> DataFrame:
+        return result.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else result
 
-    def totals(self) -> DataFrame:
-        """One row: rows, columns, cells, missing, duplicates and shares."""
-        per_table = self.facts.agg(
-            F.count(F.lit(1)).alias("columns"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_cells"),
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._kept(column_facts(self.df))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        known = self.persist and "facts" in self.__dict__
+        return self.facts.select("col_no", "column", "dtype", "kind", "rows", "missing") if known else self._kept(column_counts(self.df))
+
+    @cached_property
+    def dups(self) -> DataFrame:
+        return self._kept(duplicates(self.df))
+
+    def release(self) -> None:
+        for name in ("facts", "counts", "dups"):
+            if name in self.__dict__:
+                getattr(self, name).unpersist()
+
+    def unpersist(self) -> None:
+        self.release()
+
+    def gaps(self) -> DataFrame:
+        """One row: rows, columns, cells, missing cells and their shares."""
+        per_table = self.counts.agg(
+            F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("columns"),
+            F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_cells"),
             F.count_if(F.col("missing") > 0).alias("columns_with_missing"),
             F.avg(percent(F.col("missing"), F.col("rows"))).alias("mean_missing_pct"),
             *[F.count_if(F.col("kind") == k).alias(f"{k}_columns")
               for k in ("numeric", "categorical", "datetime", "boolean")])
-        both = per_table.withColumn("one", F.lit(1)).join(self.dups.withColumn("one", F.lit(1)), "one").drop("one")
+        return (per_table.withColumn("total_cells", F.col("rows") * F.col("columns"))
+                .withColumn("missing_pct", percent(F.col("missing_cells"), F.col("total_cells"))))
+
+    def totals(self) -> DataFrame:
+        """:meth:`gaps` with the duplicates and their share."""
+        both = (self.gaps().drop("rows", "total_cells", "missing_pct").withColumn("one", F.lit(1))
+                .join(self.dups.withColumn("one", F.lit(1)), "one").drop("one"))
         return (both.withColumn("total_cells", F.col("rows") * F.col("columns"))
                 .withColumn("missing_pct", percent(F.col("missing_cells"), F.col("total_cells")))
                 .withColumn("duplicate_pct", percent(F.col("duplicate_rows"), F.col("rows"))))
@@ -217,11 +253,12 @@ def dataset_metadata(df: DataFrame, target: str | None = None, shared: BaseProfi
 def problem_type(df: DataFrame, target: str, any_non_numeric: bool = False) -> DataFrame:
     """One row: classification for text, boolean or at most 10 distinct
     values, else regression. ``any_non_numeric`` also sends dates to
-    classification. Only the first 11 distinct values matter to the rule."""
+    classification. Only whether there are 11 distinct values matters to the
+    rule, so no task hands on more than 11."""
     dtype = dtype_of(df, target)
     numeric = isinstance(dtype, T.NumericType)
     labelled = not numeric if any_non_numeric else kind_of(dtype) in ("categorical", "boolean", "complex")
-    few = df.select(value(df, target).alias("v")).filter("v is not null").distinct().limit(11)
+    few = few_values(df, value(df, target), 11)
     return few.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(target).alias("target"), F.least("n", F.lit(11)).alias("distinct_up_to_11"),
         F.when(F.col("n") == 0, "unusable").when(F.lit(labelled) | (F.col("n") <= 10), "classification")

@@ -14,14 +14,14 @@ from prismatica.operators.stats import outliers
 
 def missing_by_column(df: DataFrame, shared: BaseProfile | None = None) -> DataFrame:
     """Columns with missing values, most missing first."""
-    return (base(df, shared).facts.filter("missing > 0")
+    return (base(df, shared).counts.filter("missing > 0")
             .select("column", "missing", percent(F.col("missing"), F.col("rows")).alias("missing_pct"))
             .orderBy(F.desc("missing"), "column"))
 
 
 def missing_total(df: DataFrame, shared: BaseProfile | None = None) -> DataFrame:
     """One row: missing cells, their share, columns with missing values."""
-    return base(df, shared).totals().select("missing_cells", "missing_pct", "columns_with_missing")
+    return base(df, shared).gaps().select("missing_cells", "missing_pct", "columns_with_missing")
 
 
 def duplicate_rows(df: DataFrame, shared: BaseProfile | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def quality_issues(df: DataFrame, shared: BaseProfile | None = None) -> DataFram
     b = base(df, shared)
     pct = percent(F.col("missing"), F.col("rows"))
     severity = band(pct, [(30, "Critical"), (10, "High"), (5, "Medium")], "Low")
-    gaps = b.facts.filter("missing > 0").select(
+    gaps = b.counts.filter("missing > 0").select(
         F.lit("Missing Values").alias("issue"), "column", F.col("missing").alias("count"),
         pct.alias("percentage"), severity.alias("severity"),
         F.lit("Apply appropriate imputation.").alias("recommendation"))
@@ -193,7 +193,7 @@ def validate(df: DataFrame, shared: BaseProfile | None = None) -> DataFrame:
     if df.isEmpty():
         raise InvalidData("EMPTY", "dataset is empty", rows=0, columns=len(df.columns))
     entries = F.array_sort(F.collect_list(F.when(F.col("missing") > 0, F.struct("col_no", "column", "missing"))))
-    facts = base(df, shared).facts.agg(
+    facts = base(df, shared).counts.agg(
         F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns"), F.sum("missing").alias("missing_total"),
         F.map_from_entries(F.transform(entries, lambda e: F.struct(e["column"], e["missing"]))).alias("missing_by_column"))
     lists = {"numeric_columns": numeric_columns(df), "categorical_columns": text_columns(df),
@@ -257,7 +257,7 @@ def request_summary(df: DataFrame, target: str | None = None, shared: BaseProfil
     b = base(df, shared)
     names = F.array(*map(F.lit, df.columns))
     dtypes = F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema.fields])
-    gap = b.facts.agg(F.coalesce(F.max(F.when(F.col("column") == F.lit(target), F.col("missing"))), F.lit(0))
+    gap = b.counts.agg(F.coalesce(F.max(F.when(F.col("column") == F.lit(target), F.col("missing"))), F.lit(0))
                       .alias("target_missing_values"), F.lit(1).alias("one"))
     return b.totals().withColumn("one", F.lit(1)).join(gap, "one").select(
         "rows", "columns", F.lit(target).cast("string").alias("target"), "target_missing_values", "duplicate_rows",

@@ -51,6 +51,7 @@ def analyze(df: DataFrame, target: str | None = None, order_by: list[str] | None
     quality.check_names(data)
     goal = resolve_target(data, target)
     base = BaseProfile.of(data, persist=True)
+    base.facts  # asked for by several sections, and the counts are read off them
     figures = stats.numeric_profile(data).persist()
     fences = stats.outliers(data, profiled=figures).persist()
     pairs = stats.top_correlations(data).persist()
@@ -78,7 +79,7 @@ def analyze(df: DataFrame, target: str | None = None, order_by: list[str] | None
     if goal is not None:
         sections["drivers"] = _guarded(data, lambda: groups.segment_drivers(data, goal, top_n=top_n))
         sections["target_analysis"] = _guarded(data, lambda: stats.target_analysis(data, goal, profiled=figures))
-    return Analysis(sections, goal, [base.facts, base.dups, figures, fences, pairs, risks])
+    return Analysis(sections, goal, [base, figures, fences, pairs, risks])
 
 
 def analyze_simple(df: DataFrame) -> Analysis:
@@ -94,7 +95,7 @@ def analyze_simple(df: DataFrame) -> Analysis:
         "kpis": groups.kpi_table_a(cleaned),
         "business_kpis": groups.business_kpis(cleaned),
         "statements": findings.dataset_statements(data, cleaned, base),
-    }, None, [base.facts, base.dups])
+    }, None, [base])
 
 
 def insight_report(df: DataFrame, max_dims: int | None = None) -> Analysis:

@@ -124,3 +124,32 @@ def test_drivers_use_one_scan_per_pass_and_no_cross_join(spark, sf_dir):
 def test_no_python_and_no_cartesian_product_in_hot_paths(spark, sf_dir, name):
     plan = plan_of(entry_module.QUERIES[name](spark, sf_dir))
     assert "Python" not in plan and "ArrowEval" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["q1_missing_by_column", "q2_missing_total", "q13_validate"])
+def test_gaps_are_counted_without_a_shuffle_of_values(spark, sf_dir, name):
+    found = [n for n in entry_module.QUERIES if n.startswith(name.split("_")[0] + "_")]
+    for one in found:
+        plan = plan_of(entry_module.QUERIES[one](spark, sf_dir))
+        keys = [line.split("Exchange hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+        assert set(keys) <= {"col_no"} and "sha2" not in plan, one
+
+
+def test_long_padded_dates_are_dates(spark):
+    """The date test sees the whole text, whatever its length."""
+    rows = [(f"2024-01-{d:02d}" + " " * pad,) for d in range(1, 29) for pad in (0, 35, 70, 200)]
+    df = spark.createDataFrame(rows, "seen string")
+    assert P.infer_roles(df).first()["role"] == "date"
+    assert P.datetime_columns(df).first()["parse_rate"] == 1.0
+    assert P.column_facts(df).first()["dated"] == len(rows) and P.column_facts(df).first()["distinct"] == len(rows)
+
+
+def test_problem_type_hands_on_a_few_values_per_task(spark):
+    df = spark.range(0, 100_000, 1, 16).select(F.col("id").alias("many"), (F.col("id") % 10).alias("ten"), (F.col("id") % 11).alias("eleven"),
+                                               F.lit(None).cast("double").alias("none"), F.when(F.col("id") == 7, float("nan")).otherwise(1.5).alias("one"))
+    got = {c: P.problem_type(df, c).first() for c in df.columns}
+    assert {c: (r["distinct_up_to_11"], r["problem_type"]) for c, r in got.items()} == {
+        "many": (11, "regression"), "ten": (10, "classification"), "eleven": (11, "regression"), "none": (0, "unusable"), "one": (1, "classification")}
+    assert P.few_values(df, F.col("many"), 11).count() == 11
+    plan = plan_of(P.problem_type(df, "many"))
+    assert plan.index("MapInArrow") > plan.index("Exchange")  # the tasks cut before anything is shuffled
