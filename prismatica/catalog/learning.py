@@ -150,7 +150,7 @@ def m10(t):
 
 @query("m11_permutation_importance")
 def m11(t):
-    return M.permutation_importance(t("part"), "p_retailprice", key=["p_partkey"], trees=60)
+    return M.permutation_importance(t("part"), "p_retailprice", key=["p_partkey"])
 
 
 @query("m12_driver_answer", f"WITH {GAPPY_SQL}, {drivers_sql('gappy', DIMS, 5)}")

@@ -65,18 +65,18 @@ def _long(df: DataFrame, values: list[tuple[str, Column]]) -> DataFrame:
             .selectExpr("cast(col_no as int) AS col_no", "v"))
 
 
-def sketches(df: DataFrame, values: list[tuple[str, Column]]) -> DataFrame:
+def sketches(cells: DataFrame) -> DataFrame:
     """(col_no, sketch) of the columns that hold values."""
-    parts = (_long(df, values).filter("v is not null").selectExpr("col_no", f"spark_partition_id() div {FAN} AS part", "v")
+    parts = (cells.filter("v is not null").selectExpr("col_no", f"spark_partition_id() div {FAN} AS part", "v")
              .groupBy("col_no", "part").agg(F.expr(f"kll_sketch_agg_double(v, {K})").alias("sketch")))
     return parts.groupBy("col_no").agg(F.expr(f"kll_merge_agg_double(sketch, {K})").alias("sketch"))
 
 
-def _sketched(df: DataFrame, values: list[tuple[str, Column]], points: list[float]) -> dict[int, tuple[int, list[float]]]:
+def _sketched(cells: DataFrame, points: list[float]) -> dict[int, tuple[int, list[float]]]:
     """By column: how many values it has, and those near ``points``."""
     asked = F.array(*[F.lit(float(p)) for p in points])
-    found = sketches(df, values).select("col_no", F.expr("kll_sketch_get_n_double(sketch)").alias("n"),
-                                        F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), asked).alias("at"))
+    found = sketches(cells).select("col_no", F.expr("kll_sketch_get_n_double(sketch)").alias("n"),
+                                   F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), asked).alias("at"))
     return {r["col_no"]: (r["n"], list(r["at"])) for r in found.collect()}
 
 
@@ -125,31 +125,34 @@ def _settled(cells: DataFrame, ranks: list[tuple[int, int, int]], guess: dict[tu
     return done
 
 
+def ranked(cells: DataFrame, ranks: list[Rank]) -> tuple[dict[int, tuple[int, float, float]], dict[tuple[int, int], tuple[float, int, int]]]:
+    """Of (col_no, v) rows, whatever a col_no stands for: (n, least, greatest) by col_no, and (value, smaller
+    values, equal values) by col_no and number of the rank. NULLs are left out."""
+    spark = cells.sparkSession
+    shares = sorted({p for r in ranks for p in (r.near - PAD, r.near + PAD)})
+    known = _sketched(cells, [0.0, 1.0, *[min(max(p, 0.0), 1.0) for p in shares]])
+    places = {p: i + 2 for i, p in enumerate(shares)}
+    sizes = spark.createDataFrame([(no, n) for no, (n, _) in known.items()], "col_no int, n long")
+    wanted = [(r["col_no"], i, r[f"r{i}"]) for r in sizes.select(
+        "col_no", *[F.expr(f"cast({r.sql} AS bigint)").alias(f"r{i}") for i, r in enumerate(ranks)]).collect() for i in range(len(ranks))]
+    guess = {(no, i): Bracket(at[places[r.near - PAD]], at[places[r.near + PAD]], 4 * PAD * n <= ROWS)
+             for no, (n, at) in known.items() for i, r in enumerate(ranks)}
+    found = _settled(cells.filter("v is not null"), [w for w in wanted if w[2] is not None], guess)
+    return {no: (n, at[0], at[1]) for no, (n, at) in known.items()}, found
+
+
 def order_statistics(df: DataFrame, values: list[tuple[str, Column]], ranks: list[Rank],
                      extras: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
     """One row per entry of ``values``: col_no, column, n, low, high, the
     ``extras`` aggregates, and per rank i the value ``v{i}`` at that rank, the
     count ``below{i}`` of smaller and ``same{i}`` of equal values. NULLs are
     left out."""
-    spark = df.sparkSession
-    shares = sorted({p for r in ranks for p in (r.near - PAD, r.near + PAD)})
-    points = [0.0, 1.0, *[min(max(p, 0.0), 1.0) for p in shares]]
-    known = _sketched(df, values, points)
-    places = {p: i + 2 for i, p in enumerate(shares)}
-    sizes = spark.createDataFrame([(no, n) for no, (n, _) in known.items()], "col_no int, n long")
-    wanted = [(r["col_no"], i, r[f"r{i}"]) for r in sizes.select(
-        "col_no", *[F.expr(f"cast({r.sql} AS bigint)").alias(f"r{i}") for i, r in enumerate(ranks)]).collect() for i in range(len(ranks))]
-    guess = {}
-    for no, (n, at) in known.items():
-        for i, r in enumerate(ranks):
-            low, high = at[places[r.near - PAD]], at[places[r.near + PAD]]
-            guess[no, i] = Bracket(low, high, 4 * PAD * n <= ROWS)
-    found = _settled(_long(df, values).filter("v is not null"), [w for w in wanted if w[2] is not None], guess)
-    none = (0, [None, None])
-    rows = [(no, name, known.get(no, none)[0], *known.get(no, none)[1][:2], *[x for i in range(len(ranks)) for x in found.get((no, i), (None,) * 3)])
+    known, found = ranked(_long(df, values), ranks)
+    rows = [(no, name, *known.get(no, (0, None, None)), *[x for i in range(len(ranks)) for x in found.get((no, i), (None,) * 3)])
             for no, (name, _) in enumerate(values)]
-    return _with_extras(df, values, extras, spark.createDataFrame(rows, "col_no int, column string, n long, low double, high double" + "".join(
-        f", v{i} double, below{i} long, same{i} long" for i in range(len(ranks)))))
+    return _with_extras(df, values, extras, df.sparkSession.createDataFrame(
+        rows, "col_no int, column string, n long, low double, high double" + "".join(
+            f", v{i} double, below{i} long, same{i} long" for i in range(len(ranks)))))
 
 
 def _with_extras(df: DataFrame, values: list[tuple[str, Column]], extras: Callable[[Column], dict[str, Column]] | None, out: DataFrame) -> DataFrame:
@@ -169,7 +172,7 @@ def quantiles(df: DataFrame, values: list[tuple[str, Column]], probs: list[float
     ``approx`` stops after the first scan and returns sketch values.
     """
     if approx:
-        known, none = _sketched(df, values, [0.0, 1.0, *probs]), (0, [None] * (len(probs) + 2))
+        known, none = _sketched(_long(df, values), [0.0, 1.0, *probs]), (0, [None] * (len(probs) + 2))
         rows = [(no, name, known.get(no, none)[0], *known.get(no, none)[1]) for no, (name, _) in enumerate(values)]
         return _with_extras(df, values, extras, df.sparkSession.createDataFrame(
             rows, "col_no int, column string, n long, low double, high double" + "".join(f", q{i} double" for i in range(len(probs)))))

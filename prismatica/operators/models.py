@@ -16,12 +16,12 @@ from prismatica.functions.coerce import col, date_parts
 from prismatica.functions.columns import dtype_of, kind_of, moment, number, value
 from prismatica.operators.clean import modes
 from prismatica.operators.profile import column_facts, problem_type, with_roles
-from prismatica.functions.quantiles import quantiles
+from prismatica.functions.quantiles import Rank, quantiles, ranked
 
 HIGH_CARDINALITY = 0.95
-# Text with more levels than this is hashed, because an encoder keeps its
-# levels on the driver; with fewer it gets a column per level.
-MAX_LEVELS, HASHED = 10_000, 2 ** 18
+# How text becomes features, at every size alike: a feature per level, kept by the model, or slots
+# of a hash, for columns whose levels are too many for a model to keep.
+ENCODINGS, SLOTS = ("onehot", "hash"), 2 ** 18
 # Lets a pass over the data grow many trees of a forest at once.
 TREE_MEMORY_MB = 1024
 
@@ -100,33 +100,36 @@ class Preparation:
                     OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)]
             inputs = inputs + hot
         if self.hashed:
-            out.append(FeatureHasher(inputCols=self._inputs("hashed"), outputCol="m__hashed", numFeatures=HASHED))
+            out.append(FeatureHasher(inputCols=self._inputs("hashed"), outputCol="m__hashed", numFeatures=SLOTS))
             inputs = inputs + ["m__hashed"]
         return [*out, VectorAssembler(inputCols=inputs, outputCol="m__features")]
 
 
 def prepare_features(df: DataFrame, target: str, scale: bool = False, keep_constant: bool = False,
-                     training: Column | None = None) -> tuple[DataFrame, Preparation]:
+                     training: Column | None = None, encoding: str = "onehot", ignore: list[str] | None = None) -> tuple[DataFrame, Preparation]:
     """Rows with a target, and the feature columns worth training on.
 
     Constant columns and text with more than 95 % distinct values go (with
     ``keep_constant`` only all-missing columns go). Numbers are filled with
     the exact median, text with its mode, both of the ``training`` rows (default:
-    all rows). Facts per column reach the driver.
-    Text with more than 10,000 levels is hashed instead of indexed.
+    all rows). Facts per column reach the driver. Text gets a feature per level
+    with ``encoding`` onehot, which the model then keeps, and one of 2^18 slots with
+    hash, however many levels it has. Columns in ``ignore`` are no features.
     """
+    if encoding not in ENCODINGS:
+        raise ValueError(f"encoding must be one of {ENCODINGS}")
     if target not in df.columns:
         raise ValueError(f"target column '{target}' not found")
     rows = df.filter(value(df, target).isNotNull())
     numeric, categorical, hashed = [], [], []
-    for f in column_facts(rows.drop(target)).orderBy("col_no").collect():
+    for f in column_facts(rows.select(*[col(c) for c in rows.columns if c != target and c not in (ignore or [])])).orderBy("col_no").collect():
         filled, gap = f["distinct"], f["missing"] > 0
         if filled == 0 or (not keep_constant and filled + gap <= 1):
             continue
         if f["kind"] in ("numeric", "boolean"):
             numeric.append(f["column"])
         elif f["kind"] == "categorical" and (keep_constant or filled / max(f["rows"], 1) <= HIGH_CARDINALITY):
-            (categorical if filled <= MAX_LEVELS else hashed).append(f["column"])
+            (hashed if encoding == "hash" else categorical).append(f["column"])
     if not numeric and not categorical and not hashed:
         raise ValueError("no usable feature columns were detected")
     known, fills = rows if training is None else rows.filter(training), {}
@@ -151,6 +154,38 @@ def hash_split(df: DataFrame, key: list[str] | None = None, test_size: float = 0
     return df.withColumn(name, in_training(df, key, test_size, seed))
 
 
+def _classes(df: DataFrame, target: str) -> list[tuple[str, int]]:
+    """(label, rows) of every class, in order of the labels; a row per class reaches the driver, as the models keep one."""
+    counted = df.groupBy(value(df, target).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")).filter("label is not null")
+    return sorted((r["label"], r["n"]) for r in counted.collect())
+
+
+def stratified_split(df: DataFrame, target: str, key: list[str] | None = None, test_size: float = 0.2, seed: int = 42,
+                     name: str = "is_train") -> DataFrame:
+    """Mark rows as train or test so that every class of ``target`` gives the same share, to the row, and is
+    on both sides.
+
+    The test rows of a class are those of its least key hashes, up to the hash at the wanted rank; ranks of all
+    classes are found together, without sorting a class in one task. Rows with equal keys stay together, and
+    then the share is as near as they allow. If a class has a single row, or there is none, the split is :func:`hash_split`. Rows without
+    a class are split by it too.
+    """
+    classes = _classes(df, target)
+    plain = in_training(df, key, test_size, seed)
+    if not classes or min(n for _, n in classes) < 2:
+        return df.withColumn(name, plain)
+    spark, label = df.sparkSession, value(df, target).cast("string")
+    keys = [value(df, c) for c in (key or df.columns)]
+    place = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(2 ** 53)).cast("double")
+    index = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(classes)], "col_no int, m__class string")
+    cells = df.select(label.alias("m__class"), place.alias("v")).join(index, "m__class").select("col_no", "v")
+    # Halves are rounded up, and each side keeps a row.
+    _, found = ranked(cells, [Rank(f"greatest(1, least(n - 1, cast(floor(n * {test_size!r}D + 0.5D) AS bigint))) - 1", test_size)])
+    limits = spark.createDataFrame([(c, found[i, 0][0]) for i, (c, _) in enumerate(classes)], "m__class string, m__limit double")
+    marked = df.select("*", label.alias("m__class"), place.alias("m__place")).join(limits, "m__class", "left")
+    return marked.select(*[col(c) for c in df.columns], F.coalesce(F.col("m__place") > F.col("m__limit"), plain).alias(name))
+
+
 # --- training --------------------------------------------------------------------------
 
 @dataclass
@@ -166,6 +201,12 @@ class Trained:
     comparison: DataFrame
     predictions: DataFrame
     score_name: str
+    kept: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back what the lazy predictions read; the model stays."""
+        for df in self.kept:
+            df.unpersist()
 
 
 def _candidates(problem: str, classes: int, trees: int, depth: int, variant: str, seed: int) -> dict:
@@ -187,30 +228,33 @@ def _candidates(problem: str, classes: int, trees: int, depth: int, variant: str
 
 
 def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42, key: list[str] | None = None,
-                  variant: str = "a", trees: int = 250, max_depth: int = 12) -> Trained:
+                  variant: str = "a", trees: int = 250, max_depth: int = 12, encoding: str = "onehot") -> Trained:
     """Fit linear, forest and boosted models and keep the best on the holdout.
 
     Variant ``a`` needs 10 rows and ranks by R2 or accuracy; ``b`` needs 20,
-    scales numbers and ranks by R2 or weighted F1. A model that fails is
-    reported with its error and the others go on.
+    scales numbers and ranks by R2 or weighted F1. Classes are split evenly
+    (:func:`stratified_split`). A model that fails is reported with its error
+    and the others go on.
     """
     spark = df.sparkSession
     least = 20 if variant == "b" else 10
-    rows, prep = prepare_features(df, target, scale=variant == "b", keep_constant=variant == "b",
-                                  training=in_training(df, key, test_size, seed))
-    if rows.limit(least).count() < least:
+    usable = df.filter(value(df, target).isNotNull())
+    if usable.limit(least).count() < least:
         raise ValueError(f"at least {least} rows are needed for training")
-    kind = problem_type(rows, target, any_non_numeric=variant == "b").first()["problem_type"]
+    kind = problem_type(usable, target, any_non_numeric=variant == "b").first()["problem_type"]
     labels = None
     if kind == "classification":
-        labels = sorted(r[0] for r in rows.select(value(rows, target).cast("string")).distinct().collect())  # one row per class
+        labels = [c for c, _ in _classes(usable, target)]
         if len(labels) < 2:
             raise ValueError("classification requires at least two target classes")
-        label = (F.array_position(F.array(*map(F.lit, labels)), value(rows, target).cast("string")) - 1).cast("double")
+        split = stratified_split(usable, target, key, test_size, seed, "m__train")
+        numbers = spark.createDataFrame([(c, float(i)) for i, c in enumerate(labels)], "m__class string, m__label double")
+        split = split.withColumn("m__class", value(split, target).cast("string")).join(numbers, "m__class").drop("m__class")
     else:
-        label = number(rows, target)
-    marked = hash_split(rows, key, test_size, seed, "m__train")
-    ready = prep.fill(marked).withColumn("m__label", label)
+        split = hash_split(usable, key, test_size, seed, "m__train").withColumn("m__label", number(usable, target))
+    rows, prep = prepare_features(split, target, scale=variant == "b", keep_constant=variant == "b", training=F.col("m__train"),
+                                  encoding=encoding, ignore=["m__train", "m__label"])
+    ready = prep.fill(rows)
     encoder = Pipeline(stages=prep.stages()).fit(ready.filter("m__train"))
     data = encoder.transform(ready).persist()
     train, test = data.filter("m__train"), data.filter("not m__train")
@@ -238,7 +282,7 @@ def train_compare(df: DataFrame, target: str, test_size: float = 0.2, seed: int
     table = _decoded(_scored(fitted[best], test), labels).select(
         *[col(c) for c in df.columns if c != target], value(rows, target).alias("actual"), F.col("m__prediction").alias("prediction"),
         *([F.col("m__chance").alias("prediction_probability")] if labels and len(labels) == 2 else []))
-    return Trained(kind, target, best, pipeline, labels, prep, comparison, table, score)
+    return Trained(kind, target, best, pipeline, labels, prep, comparison, table, score, [data])
 
 
 def _scored(model, data: DataFrame) -> DataFrame:
@@ -335,7 +379,6 @@ def permutation_importance(df: DataFrame, target: str, key: list[str], top_n: in
         return empty
     plain = rows.drop(target)
     features: dict[str, Column] = {}
-    texts = []
     for fact in with_roles(column_facts(plain)).orderBy("col_no").collect():
         c, role = fact["column"], fact["role"]
         if role == "empty":
@@ -344,29 +387,18 @@ def permutation_importance(df: DataFrame, target: str, key: list[str], top_n: in
             features |= {k: v.cast("double") for k, v in date_parts(moment(rows, c), c).items()}
         elif kind_of(dtype_of(rows, c)) == "numeric":
             features[c] = number(rows, c)
-        elif fact["distinct"] <= MAX_LEVELS:
-            texts.append(c)
-        else:  # a code per level is only a label: a hash of the text serves, without a table of levels
-            features[c] = F.xxhash64(value(rows, c).cast("string")).cast("double")
+        else:  # a code is only a label to trees: a hash of the text serves, without a table of levels
+            features[c] = F.xxhash64(F.coalesce(value(rows, c).cast("string"), F.lit("MISSING"))).cast("double")
     zero = F.lit(0.0)
     base = rows.select(
         F.xxhash64(*[col(k) for k in key], F.lit(seed)).alias("h"),
         *[F.coalesce(v, zero).alias(f"x_{i}") for i, v in enumerate(features.values())],
-        *[F.coalesce(value(rows, c).cast("string"), F.lit("MISSING")).alias(f"t_{i}") for i, c in enumerate(texts)],
         (y if regression else F.coalesce(value(rows, target).cast("string"), F.lit("UNKNOWN"))).alias("y"))
-    coders = []
-    if texts:
-        coders.append(StringIndexer(inputCols=[f"t_{i}" for i in range(len(texts))], handleInvalid="keep",
-                                    outputCols=[f"x_{len(features) + i}" for i in range(len(texts))],
-                                    stringOrderType="alphabetAsc"))
-    if not regression:
-        coders.append(StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc"))
-    coded = Pipeline(stages=coders).fit(base).transform(base) if coders else base
     if regression:
-        coded = coded.withColumn("label", F.col("y"))
-    names = [*features, *texts]
-    # Codes are read as plain numbers, as an ordinal encoding is.
-    coded = coded.select("h", "label", *[(F.col(f"x_{i}") + F.lit(0.0)).alias(f"x_{i}") for i in range(len(names))])
+        coded = base.withColumn("label", F.col("y"))
+    else:
+        coded = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(base).transform(base)
+    names = list(features)
     spans = coded.agg(*[(F.max(f"x_{i}") > F.min(f"x_{i}")).alias(f"x_{i}") for i in range(len(names))]).first()
     live = [i for i in range(len(names)) if spans[f"x_{i}"]]
     if not live:
@@ -388,17 +420,19 @@ def permutation_importance(df: DataFrame, target: str, key: list[str], top_n: in
                      for j, r in [(-1, 0), *[(j, r) for j in range(len(live)) for r in range(repeats)]]])
     copies = (dealt.select("block", "m", F.inline(plan))
               .withColumn("turn", F.pmod(F.xxhash64("block", "feature", "repeat", F.lit(seed)),
-                                         F.greatest(F.size("m") - 1, F.lit(1))) + 1)
-              .select("feature", "repeat", "turn", "m", F.posexplode("m").alias("i", "row"))
-              .withColumn("other", F.element_at("m", (F.pmod(F.col("i") + F.col("turn"), F.size("m")) + 1).cast("int"))))
-    turned = copies.select("feature", "repeat", F.col("row.label").alias("label"), *[
-        F.when(F.col("feature") == j, F.col(f"other.{x}")).otherwise(F.col(f"row.{x}")).alias(x) for j, x in enumerate(inputs)])
+                                         F.greatest(F.size("m") - 1, F.lit(1))) + 1))
+    # The block is turned as an array, so its rows leave it once each and none carries the others along.
+    there = "m[cast(pmod(i + turn, size(m)) AS int)]"
+    fields = ", ".join(f"CASE WHEN feature = {j} THEN {there}.{x} ELSE row.{x} END AS {x}" for j, x in enumerate(inputs))
+    turned = (copies.select("feature", "repeat", F.expr(f"transform(m, (row, i) -> struct(row.label AS label, {fields}))").alias("m"))
+              .select("feature", "repeat", F.inline("m")))
     pred = model.transform(assembler.transform(turned))
     if regression:
         scores = evaluate_regression(pred, "label", "prediction", by=["feature", "repeat"]).select("feature", "repeat", F.col("r2").alias("score"))
     else:
         scores = pred.groupBy("feature", "repeat").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("score"))
-    scores = scores.persist()
+    scores = df.sparkSession.createDataFrame(scores.collect(), "feature int, repeat int, score double")  # a row per copy
+    data.unpersist()
     whole = scores.filter("feature = -1").select(F.lit(1).alias("one"), F.col("score").alias("whole"))
     titles = F.array(*[F.lit(names[i]) for i in live])
     return (scores.filter("feature >= 0").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")

@@ -92,14 +92,67 @@ def test_classes_are_learned(spark):
     assert table.filter("prediction_probability between 0 and 1").count() == table.count()
 
 
-def test_wide_text_is_hashed(spark, monkeypatch):
-    monkeypatch.setattr(M, "MAX_LEVELS", 5)
-    monkeypatch.setattr(M, "HASHED", 64)
+def test_encoding_is_a_choice_and_not_a_matter_of_size(spark, monkeypatch):
+    """The same features on both sides of any number of levels."""
+    for levels in (9_999, 10_001):
+        df = spark.range(3 * levels).selectExpr("id", f"concat('w', id % {levels}) AS word", f"cast(id % {levels} as double) AS y")
+        assert M.prepare_features(df, "y")[1].categorical == ["word"]
+        assert M.prepare_features(df, "y", encoding="hash")[1].hashed == ["word"]
+    monkeypatch.setattr(M, "SLOTS", 64)
     df = spark.range(200).selectExpr("id", "concat('w', id % 20) AS word", "cast(id % 20 as double) AS y")
-    rows, prep = M.prepare_features(df, "y")
-    assert prep.hashed == ["word"] and prep.categorical == []
-    got = M.train_compare(df, "y", key=["id"], trees=10, max_depth=8)
-    assert got.comparison.filter("status = 'Success'").count() == 3
+    got = M.train_compare(df, "y", key=["id"], trees=10, max_depth=8, encoding="hash")
+    assert got.preparation.hashed == ["word"] and got.comparison.filter("status = 'Success'").count() == 3
+    with pytest.raises(ValueError):
+        M.prepare_features(df, "y", encoding="other")
+
+
+def shares(df, label="label"):
+    return {r[label]: (r["n"], r["test"]) for r in df.groupBy(label).agg(F.count("*").alias("n"), F.count_if(~F.col("is_train")).alias("test")).collect()}
+
+
+def test_split_gives_every_class_its_share(spark):
+    """Rare classes are on both sides, the others within a row of a fifth, however the rows lie."""
+    sizes = {"two": 2, "three": 3, "ten": 10, "odd": 57, "third": 4000, "rest": 5000}
+    df = spark.createDataFrame([(f"{c}{i}", c) for c, n in sizes.items() for i in range(n)], "key string, label string")
+    one, two = (M.stratified_split(d, "label", key=["key"]) for d in (df.repartition(1), df.repartition(11)))
+    got = shares(one)
+    assert {c: n for c, (n, _) in got.items()} == sizes and got["two"][1] == 1 and got["three"][1] == 1
+    assert all(abs(test - 0.2 * n) <= 1 for n, test in got.values())
+    assert one.columns == ["key", "label", "is_train"]
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in two.collect()}
+
+
+def test_split_of_single_rows_nulls_and_repeated_keys(spark):
+    alone = spark.createDataFrame([(i, "a" if i else "b") for i in range(300)], "key long, label string")
+    assert {tuple(r) for r in M.stratified_split(alone, "label", key=["key"]).collect()} == {tuple(r) for r in M.hash_split(alone, key=["key"]).collect()}
+    some = spark.createDataFrame([(i // 3, None if i % 5 == 0 else f"c{i % 2}", 1.0) for i in range(300)], "key long, label string, m double")
+    marked = M.stratified_split(some, "label", key=["key"])
+    assert marked.count() == 300 and marked.filter("is_train is null").count() == 0
+    assert marked.groupBy("key", "label").agg(F.count_distinct("is_train").alias("sides")).filter("sides > 1").count() == 0
+    assert M.stratified_split(some.limit(0), "label").count() == 0
+    numbers = spark.createDataFrame([(i, float(i % 2)) for i in range(100)], "key long, label double")
+    assert shares(M.stratified_split(numbers, "label", key=["key"])) == {0.0: (50, 10), 1.0: (50, 10)}
+
+
+def test_training_meets_rare_classes_on_both_sides(spark):
+    df = spark.range(200).selectExpr("id", "cast(if(id < 4, 9, id % 2) as double) AS x", "if(id < 4, 'rare', concat('c', id % 2)) AS label")
+    got = M.train_compare(df, "label", key=["id"], trees=6, max_depth=4)
+    assert got.predictions.filter("actual = 'rare'").count() == 1 and got.predictions.count() == 41  # 1 of 4 and 20 of 98 twice
+    assert spark._jsc.getPersistentRDDs().size() > 0
+    got.release()
+    assert not got.kept[0].storageLevel.useMemory
+
+
+def test_a_permuted_row_carries_no_block_along(spark, monkeypatch):
+    plans = []
+    plain = M.evaluate_regression
+    monkeypatch.setattr(M, "evaluate_regression", lambda pred, *a, **k: (plans.append((pred.count(), pred.columns, pred.dtypes)), plain(pred, *a, **k))[1])
+    df = spark.range(2000).selectExpr("id AS key", "cast(pmod(xxhash64(id), 100) as double) AS x", "concat('w', id % 50) AS w").selectExpr("*", "5 * x AS y")
+    got = M.permutation_importance(df, "y", key=["key"], trees=5, repeats=3).collect()
+    held_out = df.filter(F.pmod(F.xxhash64("key", F.lit(42)), F.lit(10_000)) < 2_000).count()
+    (rows, columns, dtypes), = plans
+    assert rows == held_out * (3 * 3 + 1) and not [t for _, t in dtypes if t.startswith("array")] and "m" not in columns
+    assert got[0]["feature"] == "x" and {r["feature"] for r in got} == {"key", "x", "w"}
 
 
 def test_permutation_importance_ranks_the_cause_first(spark):

@@ -48,7 +48,7 @@ def test_sketches_merge_in_two_levels(spark, monkeypatch):
     seen = {}
     for fan in (8, 10**9):
         monkeypatch.setattr(Z, "FAN", fan)
-        found = Z.sketches(df, [("v", F.col("v"))])
+        found = Z.sketches(df.select(F.lit(0).alias("col_no"), "v"))
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("kll_sketch_agg_double") and "hashpartitioning(col_no" in plan and "part" in plan
         parts = (df.select(F.spark_partition_id().alias("task")).distinct().groupBy(F.expr(f"task div {fan}")).count().collect())
