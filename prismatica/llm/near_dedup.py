@@ -195,7 +195,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     found = components(links)
     named = buckets.select("bucket", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("bucket")
+    # Buckets of several bands often hold the same members; one of them stands for all.
+    mixed = (named.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count("*").alias("n"),
+                                         F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
+             .filter("c < d").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"))
     entries = stored(named.join(mixed, "bucket").join(reps.select("id", "digest", "n_shingles", "signature"), "id"))
     blocks = entries.groupBy("bucket").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
     shingles = full_sets(entries.select("id").distinct()).select("digest", "shingles").dropDuplicates(["digest"])
