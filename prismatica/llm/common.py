@@ -69,6 +69,27 @@ def labelled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFra
     return texts.select("id", F.col("least.text").alias("text")).join(F.broadcast(chosen), "id")
 
 
+#: Leading bits of a hash that a bitmap tells apart: 2 MB, whatever the table's size.
+BITMAP_BITS = 24
+
+
+def bitmap(df: DataFrame, hashed: Column) -> bytes:
+    """A bit for each value that the leading bits of ``hashed``, a long, take; of fixed size."""
+    top = F.shiftrightunsigned(hashed, 64 - BITMAP_BITS)
+    words = (df.select(F.shiftright(top, 5).alias("at"), F.expr("1L").alias("one"), (top % 32).cast("int").alias("by"))
+             .groupBy("at").agg(F.bit_or(F.expr("shiftleft(one, by)")).alias("bits")).collect())
+    bits = np.zeros(1 << (BITMAP_BITS - 5), np.uint32)
+    for at, value in words:
+        bits[at] = value
+    return bits.tobytes()
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes, as int64, have their bit in a bitmap (as uint32)."""
+    top = hashes.astype(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bits[(top >> np.uint64(5)).astype(np.int64)] >> (top & np.uint64(31)).astype(np.uint32)) & 1 == 1
+
+
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -90,7 +111,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound."""
 
-    BOUND = 1_000_000
+    BOUND = 120_000  # some 16 MB
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from prismatica.llm.common import WordHashes, ship, shingle_set, stored, whole_text, words_of
+from prismatica.llm.common import WordHashes, bitmap, in_bitmap, ship, shingle_set, stored, whole_text, words_of
 from prismatica.llm.components import components
 
 ship(sys.modules[__name__])
@@ -70,10 +70,12 @@ def _signatures(bands: int, rows: int, width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bits: bytes):
+    """Sets of the rows whose id is in the bitmap, so that only those are shuffled afterwards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, wanted = WordHashes(), np.frombuffer(bits, np.uint32)
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(in_bitmap(wanted, batch.column(2).to_numpy()))))
             sets = [shingle_set(hashes.all(words_of(t.as_py())), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())],
@@ -186,7 +188,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     least = percent / 100 - 0.18  # five standard deviations of an estimate by 125 minima
 
     def full_sets(ids: DataFrame) -> DataFrame:
-        return source.join(ids, "id").mapInArrow(_sets(width), f"id {dict(docs.dtypes)[key]}, digest binary, shingles binary")
+        hashed = F.xxhash64("id")
+        found = source.filter("id is not null").select("id", "text", hashed.alias("h")).mapInArrow(
+            _sets(width, bitmap(ids, hashed)), f"id {dict(docs.dtypes)[key]}, digest binary, shingles binary")
+        return found.join(ids, "id")
 
     candidates = buckets.filter("id > a").select("a", F.col("id").alias("b"))
     hopeful = stored(_with_both(candidates.distinct(), reps, "signature").mapInArrow(_estimated(least), candidates.schema))
