@@ -25,7 +25,7 @@ ship(sys.modules[__name__])
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
 
 
 def load_pieces(path: str = MODEL) -> dict:
@@ -51,6 +51,48 @@ def load_pieces(path: str = MODEL) -> dict:
     return {"plain": plain, "bytes": pieces, "first_byte": first, "byte_score": lowest - 10.0}
 
 
+class Trie:
+    """Pieces by their characters, for lookups of many places at once: an edge is a node and a character's
+    number, all edges lie sorted in one array."""
+
+    def __init__(self, plain: dict[str, tuple[float, int]]):
+        alphabet = sorted({c for p in plain for c in p})
+        #: Number of each character; 0 is any other.
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        numbers = {c: i + 1 for i, c in enumerate(alphabet)}
+        self.width, nodes = len(alphabet) + 1, {"": 0}
+        for p in plain:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+        kind = np.int32 if len(nodes) * self.width < 2**31 else np.int64
+        edges = np.array([nodes[p[:-1]] * self.width + numbers[p[-1]] for p in nodes if p], kind)
+        order = np.argsort(edges)
+        self.edges, self.child = edges[order], np.array([n for p, n in nodes.items() if p], kind)[order]
+        self.score, self.id = np.full(len(nodes), -np.inf), np.full(len(nodes), -1, np.int64)
+        self.single = np.zeros(self.width, bool)
+        for p, (score, i) in plain.items():
+            self.score[nodes[p]], self.id[nodes[p]] = score, i
+            if len(p) == 1:
+                self.single[numbers[p]] = True
+
+    def pieces(self, codes: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, score, id) of every piece in a run of characters; ``stops`` gives for each
+        character the end of its word, which no piece crosses."""
+        codes = self.number[codes]
+        start, node, length, found = np.arange(len(codes)), np.zeros(len(codes), self.edges.dtype), 0, []
+        while len(start):
+            wanted = node * self.edges.dtype.type(self.width) + codes[start + length]
+            at = np.minimum(np.searchsorted(self.edges, wanted), len(self.edges) - 1)
+            there = self.edges[at] == wanted
+            start, node, length = start[there], self.child[at[there]], length + 1
+            piece = self.id[node] >= 0
+            found.append((start[piece], start[piece] + length, self.score[node[piece]], self.id[node[piece]]))
+            inside = start + length < stops[start]
+            start, node = start[inside], node[inside]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class Encoder:
     def __init__(self, vocabulary: dict):
         self.plain, self.first_byte, self.byte_score = vocabulary["plain"], vocabulary["first_byte"], vocabulary["byte_score"]
@@ -64,6 +106,9 @@ class Encoder:
         inner = any(MARK in p.lstrip(MARK) for p in self.plain)
         self.parts = None if inner else re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
         self.known: dict[str, bytes] = {}
+        self.trie = Trie(self.plain)
+        self.length = np.array(list(map(len, self.bytes)))
+        self.begin, self.letters = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(self.bytes), np.uint8)
         self.mark = np.array([self.first_byte + b for b in self._raw(MARK)], np.int32).tobytes()
 
     def stream(self, chars: str) -> Iterator[list[int]]:
@@ -140,20 +185,83 @@ class Encoder:
                 self.known[part] = found
         return found
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
+    def learn(self, parts: set[str]) -> None:
+        """Search all short ``parts`` that are not remembered, side by side: step t decides the boundary after
+        character t of every one of them."""
+        words = [p for p in parts if len(p) <= LONGEST_REMEMBERED and p not in self.known]
+        if not words:
+            return
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+            words = [p for p in parts if len(p) <= LONGEST_REMEMBERED]
+        sizes = np.array(list(map(len, words)))
+        ends, word = np.cumsum(sizes), np.repeat(np.arange(len(words)), sizes)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        low, high, score, ids = self.trie.pieces(codes, np.repeat(ends, sizes))
+        # Characters that are no piece are spelt in bytes; such an edge is numbered by its character.
+        rare = np.flatnonzero(~self.trie.single[self.trie.number[codes]])
+        spelt = self.byte_score * (1 + (codes[rare] >= 0x80) + (codes[rare] >= 0x800) + (codes[rare] >= 0x10000))
+        low, high, score, ids = (np.concatenate(x) for x in ((low, rare), (high, rare + 1), (score, spelt), (ids, -2 - rare)))
+        # A boundary is named by the character after it and its word, so words share none.
+        low, high, first = low + word[low], high + word[low], ends - sizes + np.arange(len(words))
+        order = np.lexsort((low, high))
+        low, high, score, ids = low[order], high[order], score[order], ids[order]
+        step = high - np.repeat(first, sizes + 1)[high]
+        best, back, piece = np.full(len(codes) + len(words), -np.inf), np.zeros(len(codes) + len(words), int), np.zeros(len(codes) + len(words), int)
+        best[first] = 0.0
+        turns = np.argsort(step, kind="stable")
+        for some in np.split(turns, np.flatnonzero(np.diff(step[turns])) + 1):
+            ending, reach = high[some], best[low[some]] + score[some]
+            edge = np.flatnonzero(np.append(True, ending[1:] != ending[:-1]))
+            top = np.repeat(np.maximum.reduceat(reach, edge), np.diff(np.append(edge, len(some))))
+            winner = np.flatnonzero(reach == top)  # of equal scores the earliest start wins; starts lie in order
+            winner = winner[np.append(True, ending[winner][1:] != ending[winner][:-1])]
+            best[ending[winner]], back[ending[winner]], piece[ending[winner]] = reach[winner], low[some][winner], ids[some][winner]
+        at, path = first + sizes, []
+        while (at > first).any():
+            path.append(np.where(at > first, piece[at], -1))
+            at = np.where(at > first, back[at], at)
+        table = np.array(path[::-1]).T
+        there = table != -1
+        raw, edges = table[there].astype(np.int32).tobytes(), np.concatenate(([0], np.cumsum(there.sum(1)))) * 4
+        for k, text in enumerate(words):
+            self.known[text] = raw[edges[k]:edges[k + 1]]
+        for k in np.flatnonzero((table < -1).any(1)).tolist():
+            ids = [i for p in table[k][there[k]].tolist()
+                   for i in ([p] if p >= 0 else [self.first_byte + c for c in self._raw(words[k][-2 - p - int(ends[k] - sizes[k])])])]
+            self.known[words[k]] = np.array(ids, np.int32).tobytes()
+
+    def cut(self, text: str) -> list[str]:
+        """Parts of a text that no piece crosses; the text's own marks are parts of their own, as None."""
         out = []
-        for i, run in enumerate(text.split(MARK)):  # a mark in the text itself is spelt in bytes
+        for i, run in enumerate(text.split(MARK)):
             marked = run.replace(" ", MARK) if i else MARK + run.replace(" ", MARK)
-            if i:
-                out.append(self.mark)
-            out.extend(map(self._part, self.parts.findall(marked) if self.parts else [marked] if marked else []))
-        return np.frombuffer(b"".join(out), np.int32)
+            out.extend([None] if i else [])
+            out.extend(self.parts.findall(marked) if self.parts else [marked] if marked else [])
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        cuts = [self.cut(t) if t else [] for t in texts]
+        if self.parts is not None:
+            self.learn({p for cut in cuts for p in cut if p is not None})
+        known, part = self.known.get, self._part
+        return [np.frombuffer(b"".join([known(p) or (self.mark if p is None else part(p)) for p in cut]), np.int32) for cut in cuts]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        """Whether decoding gives the text back, byte for byte, without a string per id."""
+        raw = (" " + text if text else "").encode("utf-8", "surrogatepass")
+        size = self.length[ids]
+        if size.sum() != len(raw):
+            return False
+        at = np.arange(len(raw)) + np.repeat(self.begin[ids] - (np.cumsum(size) - size), size)
+        return self.letters[at].tobytes() == raw
+
 
 def _encoded(vocabulary: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +271,8 @@ def _encoded(vocabulary: dict):
             for low in range(0, batch.num_rows, step):
                 some = batch.slice(low, step)
                 texts = some.column(some.num_columns - 1).to_pylist()
-                found = [encoder.encode(t) for t in texts]
-                same = [encoder.decode(ids.tolist()) == t for ids, t in zip(found, texts)]
+                found = encoder.encode_all(texts)
+                same = [encoder.spells(ids, t) for ids, t in zip(found, texts)]
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(np.diff(offsets), pa.int32()), ids, pa.array(same)],

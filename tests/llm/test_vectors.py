@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismatica.llm import cover_tree, queries as Q
+from prismatica.llm import cover_tree, pieces, queries as Q
 from prismatica.llm.cover_tree import Links, Tree, near_vectors, traverse, units
 from prismatica.llm.token_alignment import Block, Csr, aligned_tokens, load_byte_bpe, load_pieces, memberships, row_products, runs
 from prismatica.llm.whitening import eigen, pivoted_cholesky, whitened
@@ -283,6 +283,26 @@ def test_embedding_dedup_query(spark, sf_dir):
     assert sorted(map(tuple, got)) == sorted((i, n, c, i == c) for i, n, c in near_by_brute_force(rows))
 
 
+# --- piece encoding --------------------------------------------------------------------------
+
+def test_words_searched_side_by_side_are_those_of_the_stream(spark, sf_dir, monkeypatch):
+    """Learnt together, with bytes, marks, long words and a memo that overflows, or one by one: the same ids."""
+    texts = [t for t in ODD if t] + [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect() if r["text"]]
+    texts += ["x▁▁ y▁", "\n\n", "ñ\U0001d518 end", "b" * 64 + " " + "c" * 65]
+    vocabulary = pieces.load_pieces()
+    alone = pieces.Encoder(vocabulary)
+    monkeypatch.setattr(alone, "learn", lambda parts: None)
+    want = [alone.encode(t).tolist() for t in texts]
+    together = pieces.Encoder(vocabulary)
+    assert [x.tolist() for x in together.encode_all(texts)] == want
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    small = pieces.Encoder(vocabulary)
+    assert [x.tolist() for t in texts for x in small.encode_all([t])] == want
+    for ids, t in zip(want, texts):
+        assert together.spells(np.array(ids, np.int32), t) == (together.decode(ids) == t)
+    assert not together.spells(np.array(want[0][:-1], np.int32), texts[0]) and together.spells(np.empty(0, np.int32), "")
+
+
 # --- all queries, away from the repository -------------------------------------------------
 
 def test_queries_run_from_another_folder(tmp_path):
