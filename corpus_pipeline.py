@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -31,15 +31,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("probabilities")[len(TOXICITY) - 1] < 0.5).select(*columns)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): that of least doc_id.
-    Of rows equal in doc_id and text one stays; rows without doc_id are no near-duplicates."""
-    found = near_duplicates(docs)
-    leaders = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
-    same = Window.partitionBy("doc_id", "text_digest").orderBy("text_digest")
-    return kept.withColumn("text_digest", F.xxhash64("text")).withColumn("copy", F.row_number().over(same)).filter(
-        "copy = 1").select(*docs.columns)
+    """One document of each group of near-duplicates (five words, 0.8): that of least doc_id, rows without
+    one last. Rows are told apart by doc_id and text (64-bit hash), so rows that share a doc_id are documents of
+    their own; of rows equal in both one stays. Texts without words are near to nothing."""
+    key = _free(docs, "row_key")
+    named = docs.withColumn(key, F.xxhash64("doc_id", whole_text()))
+    found = near_duplicates(named, key=key)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(key).alias("row"))
+    first = (named.select("doc_id", key).distinct().join(found.select(key, "component_id").distinct(), key)
+             .groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias(key)))
+    return named.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +60,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, with the same or with other values."""
-    digest = F.sha2(whole_text(), 256)
-    named = docs.withColumn("text_digest", digest)
-    held = contaminated(named, table(spark, sf_dir, "benchmark"), key="text_digest").select("text_digest").distinct()
-    return named.join(held, "text_digest", "left_anti").select(*docs.columns)
+    key = _free(docs, "text_digest")
+    named = docs.withColumn(key, F.sha2(whole_text(), 256))
+    held = contaminated(named, table(spark, sf_dir, "benchmark"), key=key).select(key).distinct()
+    return named.join(held, key, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def _windows(width: int, filter_bits: bytes | None, sizes: list[int] | None):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                if len(words) > 1_000_000:
+                if len(words) > 120_000:  # some 16 MB
                     words = _Words()
                 texts = [t.as_py().split() for t in some.column(1)]
                 flat = np.fromiter((words[w] for ws in texts for w in ws), np.int64)

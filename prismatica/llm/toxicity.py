@@ -103,7 +103,7 @@ def _predict(models: list[dict]):
 
         class Features(dict):
             def __missing__(self, word: str) -> tuple:
-                if len(self) > 500_000:
+                if len(self) > 80_000:  # some 16 MB
                     self.clear()
                 hashes = [xxhash.xxh3_64_intdigest(x) for x in _names(word)]
                 found = self[word] = tuple((k, p[h]) for k, p in enumerate(places) for h in hashes if h in p)
