@@ -109,12 +109,14 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a bound."""
+    """64-bit hash of each word, remembered up to a bound (120,000 words take some 16 MB)."""
 
-    BOUND = 120_000  # some 16 MB
+    def __init__(self, bound: int = 1_000_000):
+        super().__init__()
+        self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.BOUND:
+        if len(self) >= self.bound:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

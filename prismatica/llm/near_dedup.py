@@ -50,7 +50,7 @@ def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np
 
 def _signatures(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, functions = WordHashes(), _functions(bands * rows)
+        hashes, functions = WordHashes(120_000), _functions(bands * rows)
         for batch in batches:
             sizes, digests, keys, signatures = [], [], [], []
             for text in batch.column(1):
@@ -73,7 +73,7 @@ def _signatures(bands: int, rows: int, width: int):
 def _sets(width: int, bits: bytes):
     """Sets of the rows whose id is in the bitmap, so that only those are shuffled afterwards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, wanted = WordHashes(), np.frombuffer(bits, np.uint32)
+        hashes, wanted = WordHashes(120_000), np.frombuffer(bits, np.uint32)
         for batch in batches:
             batch = batch.take(pa.array(np.flatnonzero(in_bitmap(wanted, batch.column(2).to_numpy()))))
             sets = [shingle_set(hashes.all(words_of(t.as_py())), width).tobytes() for t in batch.column(1)]
