@@ -124,6 +124,26 @@ def f9(t):
     return report_rows(A.analyze(settled(t("sales")), "revenue", order_by=["order_date", "order_key"]).sections)
 
 
+SALES_NUMBERS = ["order_key", "quantity", "revenue", "cost", "profit"]
+
+
+@query("f9_analyze_sections", f"""WITH {SALES_SQL}, {fences('sales', SALES_NUMBERS)},
+dups AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM sales)) AS d FROM sales),
+segs AS (SELECT {" + ".join(f"count(DISTINCT {c})" for c in ["region", "nation", "segment", "priority", "return_flag", "order_date"])} AS k FROM sales),
+texts AS (SELECT unnest([{", ".join(f"count(DISTINCT {c})" for c in ["region", "nation", "segment", "priority", "return_flag", "order_date"])}]) AS k, count(*) AS n_all FROM sales),
+counts AS (SELECT unnest(['metadata', 'health', 'quality', 'ml_readiness', 'executive_summary', 'recommendations', 'datetime_columns']) AS name, 1 AS n_rows
+UNION ALL SELECT unnest(['schema', 'columns']), 11
+UNION ALL SELECT unnest(['outliers', 'distributions', 'kpis']), (SELECT count(*) FROM o)
+UNION ALL SELECT 'correlations', least(10, (SELECT count(*) * (count(*) - 1) // 2 FROM o))
+UNION ALL SELECT 'risks', (SELECT count(*) FROM o WHERE hits * 100.0::DOUBLE / n >= 5) + (SELECT (d > 0)::INT FROM dups) + (SELECT count(*) FROM texts WHERE k > 0.9 * n_all)
+UNION ALL SELECT 'drivers', least(10, (SELECT k FROM segs)) UNION ALL SELECT 'target_analysis', 7)
+SELECT name AS section, 'ok' AS status, n_rows::BIGINT AS n_rows FROM counts""")
+def f9_sections(t):
+    """Every section of the guarded analysis: whether it is whole, and its length."""
+    status = A.analyze_computed(settled(t("sales")), "revenue", order_by=["order_date", "order_key"])["status"]
+    return status.select(F.col("name").alias("section"), "status", F.col("rows").alias("n_rows"))
+
+
 @query("f9_analyze_drivers", f"WITH {SALES_SQL}, {drivers_sql('sales', ['region', 'nation', 'segment', 'priority', 'return_flag', 'order_date'], 10)}")
 def f9_drivers(t):
     d = A.analyze(t("sales"), order_by=["order_date", "order_key"])["drivers"]

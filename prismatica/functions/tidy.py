@@ -107,6 +107,37 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, digest: bool =
     return cells(df, columns, digest).groupBy("col_no", "l", "d", "s", *["t"] * digest).agg(F.count(F.lit(1)).alias("n"))
 
 
+def most_frequent(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(col_no, unique, total, n, l, d, s): per column with values its distinct and filled
+    counts, and the most frequent value with its count; the smallest of a tie.
+
+    Texts over 64 characters are counted by their first 64 and a SHA-256, so no whole text
+    is a key of the shuffle. The text itself is fetched by a second scan, only of columns
+    whose winner is a long one and only from rows that start like it; where several tied
+    texts start alike, the least of them is taken there. The second scan is empty work
+    where every winner is short.
+    """
+    columns = columns if columns is not None else df.columns
+    long = cells(df, columns)
+    far = F.length("s") > _DIGEST_FROM
+    head = F.left("s", F.lit(_DIGEST_FROM))
+    digest = F.when(far, F.unhex(F.sha2("s", 256)))
+    counts = (long.filter("l is not null or d is not null or s is not null")
+              .select("col_no", "l", "d", head.alias("head"), digest.alias("digest"))
+              .groupBy("col_no", "l", "d", "head", "digest").agg(F.count(F.lit(1)).alias("n")))
+    best = counts.groupBy("col_no").agg(
+        F.count(F.lit(1)).alias("unique"), F.sum("n").alias("total"),
+        F.min(F.struct((-F.col("n")).alias("k"), "l", "d", "head", F.col("digest").isNotNull().alias("far"))).alias("top"))
+    best = best.select("col_no", "unique", "total", (-F.col("top.k")).alias("n"), "top.l", "top.d", "top.head", "top.far")
+    asked = best.filter("far").select("col_no", "head", "n")
+    tied = counts.filter("digest is not null").join(F.broadcast(asked), ["col_no", "head", "n"]).select("col_no", "digest")
+    alike = long.filter(far).withColumn("head", head).join(F.broadcast(asked.select("col_no", "head")), ["col_no", "head"], "left_semi")
+    texts = (alike.select("col_no", "s", digest.alias("digest")).join(tied, ["col_no", "digest"], "left_semi")
+             .groupBy("col_no").agg(F.min("s").alias("whole")))
+    return best.join(F.broadcast(texts), "col_no", "left").select(
+        "col_no", "unique", "total", "n", "l", "d", F.coalesce("whole", "head").alias("s"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(col_no, rows, missing) of every column: one scan, and no value leaves its task."""
     flags = df.select(*[value(df, c).isNull().alias(str(i)) for i, c in enumerate(df.columns)])

@@ -9,7 +9,7 @@ from prismatica.functions.coerce import col
 from prismatica.functions.columns import (
     canonical, dtype_of, kind_of, moment, non_numeric_columns, number, numeric_columns, value)
 from prismatica.functions.quantiles import quantiles
-from prismatica.functions.tidy import column_rows, value_counts
+from prismatica.functions.tidy import column_rows, most_frequent
 from prismatica.plans.settle import settled
 from prismatica.sources.readers import normalize_columns
 
@@ -50,8 +50,7 @@ def medians(df: DataFrame) -> DataFrame:
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Most frequent value of every listed column, the smallest of a tie."""
-    return value_counts(df, columns).filter("l is not null or d is not null or s is not null").groupBy("col_no").agg(
-        F.min(F.struct((-F.col("n")).alias("k"), "l", "d", "s")).alias("top")).select("col_no", "top.l", "top.s")
+    return most_frequent(df, columns).select("col_no", "l", "s")
 
 
 def impute_median(df: DataFrame) -> DataFrame:

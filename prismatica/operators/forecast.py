@@ -15,6 +15,7 @@ from prismatica.operators.models import TREE_MEMORY_MB, evaluate_regression
 
 ROLLING = 7
 ONE_SERIES = "all"
+SLICE = 100_000  # points of a series that one window task holds
 
 
 def daily_series(df: DataFrame, date: str, target: str, series: str | None = None, grain: str | None = None,
@@ -27,31 +28,58 @@ def daily_series(df: DataFrame, date: str, target: str, series: str | None = Non
     out = (df.select(name.alias("series"), (F.date_trunc(grain, t) if grain else t).alias("date"), number(df, target).alias("y"))
            .filter("date is not null and y is not null").groupBy("series", "date").agg(F.sum("y").alias("y")))
     if min_points:
-        out = out.withColumn("points", F.count(F.lit(1)).over(Window.partitionBy("series"))).filter(
-            F.col("points") >= min_points).drop("points")
+        long_enough = out.groupBy("series").agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") >= min_points)
+        a, b = out.alias("a"), long_enough.alias("b")
+        out = a.join(b, F.col("a.series").eqNullSafe(F.col("b.series")), "left_semi")
     return out
 
 
-def lag_features(points: DataFrame, lags: int = 7) -> DataFrame:
+def positions(points: DataFrame) -> DataFrame:
+    """``points`` with ``position``, the number of earlier points of the series.
+
+    A series is not sorted in one task: its points are numbered within each day, and the
+    counts of the days before are added. What one task holds is a day of points, or a
+    row for each day of a series."""
+    days = points.withColumn("day__", F.to_date("date"))
+    earlier = Window.partitionBy("series").orderBy("day__").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (days.groupBy("series", "day__").agg(F.count(F.lit(1)).alias("n"))
+              .select("series", "day__", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start__")))
+    a, b = days.alias("a"), starts.alias("b")
+    placed = a.join(b, F.col("a.series").eqNullSafe(F.col("b.series")) & F.col("a.day__").eqNullSafe(F.col("b.day__")))
+    within = F.row_number().over(Window.partitionBy("a.series", "a.day__").orderBy("a.date"))
+    return placed.select("a.*", (F.col("start__") + within - 1).alias("position")).drop("day__")
+
+
+def lag_features(points: DataFrame, lags: int = 7, slice_points: int = SLICE) -> DataFrame:
     """lag_1..lag_n and the mean and population deviation of the previous
     seven points; the first ``lags`` points of a series have no row.
 
-    Windows run per series over one row per date, never over detail rows."""
-    w = Window.partitionBy("series").orderBy("date")
+    Windows run over slices of ``slice_points`` points of a series, one row per date. The last
+    points of a slice are also context of the next one, so a slice's edge changes no figure
+    and a series may be of any length."""
+    reach = max(lags, ROLLING)
+    size = max(slice_points, reach)
+    own = F.floor(F.col("position") / size)
+    edge = F.col("position") % size >= size - reach
+    sliced = positions(points).withColumn("slice__", F.explode(F.when(edge, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("series", "slice__").orderBy("position")
     before = w.rowsBetween(-ROLLING, -1)
-    return (points.withColumns({f"lag_{j}": F.lag("y", j).over(w) for j in range(1, lags + 1)})
-            .withColumns({"rolling_mean_7": F.avg("y").over(before), "rolling_std_7": F.stddev_pop("y").over(before),
-                          "position": F.row_number().over(w) - 1})
-            .filter(F.col("position") >= lags)
-            .withColumn("position", F.col("position") - lags))
+    return (sliced.withColumns({f"lag_{j}": F.lag("y", j).over(w) for j in range(1, lags + 1)})
+            .withColumns({"rolling_mean_7": F.avg("y").over(before), "rolling_std_7": F.stddev_pop("y").over(before)})
+            .filter((own == F.col("slice__")) & (F.col("position") >= lags))
+            .withColumn("position", F.col("position") - lags).drop("slice__"))
 
 
 def chronological_split(features: DataFrame) -> DataFrame:
     """Mark each series' rows as train or test: the cut is the larger of 80 %
-    and all but 14, held between 10 and all but one."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("series"))
+    and all but 14, held between 10 and all but one. The counts come from an aggregate,
+    one row a series."""
+    counts = features.groupBy("series").agg(F.count(F.lit(1)).alias("n__"))
+    n = F.col("n__")
     cut = F.least(F.greatest(F.greatest(F.floor(n * 0.8), n - 14), F.lit(10)), n - 1)
-    return features.withColumn("is_train", F.col("position") < cut)
+    a, b = features.alias("a"), counts.alias("b")
+    return (a.join(b, F.col("a.series").eqNullSafe(F.col("b.series")))
+            .select("a.*", (F.col("a.position") < cut).alias("is_train")))
 
 
 def feature_names(lags: int) -> list[str]:
@@ -92,9 +120,9 @@ def recursive_forecast(points: DataFrame, model: RandomForestRegressionModel, pe
     The state is one row per series with its last values; the plan grows by
     one projection per period."""
     keep = max(lags, ROLLING)
-    w = Window.partitionBy("series").orderBy(F.desc("date"))
-    state = (points.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep).groupBy("series")
-             .agg(F.max("date").alias("last"), F.array_sort(F.collect_list(F.struct("date", "y"))).alias("p"))
+    a, b = positions(points).alias("a"), points.groupBy("series").agg(F.count(F.lit(1)).alias("n__")).alias("b")
+    recent = a.join(b, F.col("a.series").eqNullSafe(F.col("b.series"))).filter("a.position >= n__ - %d" % keep).select("a.*")
+    state = (recent.groupBy("series").agg(F.max("date").alias("last"), F.array_sort(F.collect_list(F.struct("date", "y"))).alias("p"))
              .select("series", "last", F.transform("p", lambda s: s["y"]).alias("history")))
     for step in range(periods):
         rows = _assembled(state.withColumns(_recent_features(F.col("history"), lags)), lags)

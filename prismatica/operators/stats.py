@@ -10,7 +10,7 @@ from prismatica.functions.coerce import band, col, percent, ratio_eps, shown
 from prismatica.functions.columns import (
     boolean_columns, dtype_of, number, numeric_columns, text_columns, value)
 from prismatica.functions.quantiles import quantiles
-from prismatica.functions.tidy import column_names, column_rows, empty_rows, value_counts
+from prismatica.functions.tidy import column_names, column_rows, empty_rows, most_frequent
 from prismatica.operators.comoments import correlations
 
 
@@ -91,13 +91,10 @@ def categorical_summary(df: DataFrame, columns: list[str] | None = None) -> Data
         return empty_rows(df, "col_no int, column string, count long, unique long, top string, "
                               "top_count long, top_percentage double")
     text = df.select(*[value(df, c).cast("string").alias(c) for c in asked])
-    filled = value_counts(text).filter("s is not null")
-    best = filled.groupBy("col_no").agg(
-        F.count(F.lit(1)).alias("unique"), F.min(F.struct((-F.col("n")).alias("k"), F.col("s"))).alias("top"),
-        F.sum("n").alias("total"))
+    best = most_frequent(text)
     return best.join(F.broadcast(column_names(df, asked)), "col_no").select(
-        "col_no", "column", F.col("total").alias("count"), "unique", F.col("top.s").alias("top"),
-        (-F.col("top.k")).alias("top_count"), percent(-F.col("top.k"), F.col("total")).alias("top_percentage"))
+        "col_no", "column", F.col("total").alias("count"), "unique", F.col("s").alias("top"),
+        F.col("n").alias("top_count"), percent(F.col("n"), F.col("total")).alias("top_percentage"))
 
 
 def describe_all(df: DataFrame) -> DataFrame:

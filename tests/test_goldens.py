@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from prismatica.operators import findings as N, groups as G, quality as Q, scenario as D, stats as S
 from prismatica.operators.profile import BaseProfile, infer_roles, profile
-from prismatica.plans.analyze import analyze, analyze_simple, insight_report
+from prismatica.plans import analyze as analyses
+from prismatica.plans.analyze import analyze, analyze_computed, analyze_simple, insight_report, unreadable_columns
+from conftest import rows_of
 
 
 def by(df, key, value):
@@ -96,6 +98,47 @@ def test_analyze_runs_every_section(five):
     a.release()
 
 
+def poisoned(df):
+    """``df`` and a column whose values cannot be computed on one row."""
+    return df.withColumn("Extra", F.when(F.col("Region") == "East", F.raise_error(F.lit("bad cell"))).otherwise(F.col("Profit")).cast("double"))
+
+
+def test_a_column_that_fails_leaves_the_sections_whole(five):
+    assert unreadable_columns(five) == {}
+    bad = poisoned(five)
+    assert list(unreadable_columns(bad)) == ["Extra"]
+    at_once = lambda sections: {n: rows_of(d.drop("generated_at", "analysis_timestamp")) for n, d in sections.items() if n != "status"}
+    want = at_once(analyze(five, "Sales", order_by=["row_no"]).sections)
+    a = analyze_computed(bad, "Sales", order_by=["row_no"])
+    assert at_once(a.sections) == want
+    status = {(r["part"], r["name"]): r for r in a["status"].collect()}
+    assert len(status) == len(want) + 1 and "bad cell" in status["column", "Extra"]["error"]
+    assert all(r["status"] == "ok" and r["rows"] == len(want[name]) for (part, name), r in status.items() if part == "section")
+    a.release()
+
+
+def test_a_target_that_fails_costs_its_sections_only(five):
+    a = analyze_computed(poisoned(five), "Extra", order_by=["row_no"])
+    status = {r["name"]: r["status"] for r in a["status"].collect()}
+    assert {n for n, s in status.items() if s != "ok"} == {"drivers", "target_analysis", "Extra"}
+    a.release()
+
+
+def test_a_section_that_fails_while_it_runs_costs_itself_only(five, monkeypatch):
+    def drivers(df, *args, **kwargs):
+        return df.select(F.raise_error(F.lit("late failure")).alias("segment"))
+
+    def distributions(*args, **kwargs):
+        raise ValueError("early failure")
+    monkeypatch.setattr(analyses.groups, "segment_drivers", drivers)
+    monkeypatch.setattr(analyses.stats, "distribution_shape", distributions)
+    a = analyze_computed(five, "Sales", order_by=["row_no"])
+    errors = {r["name"]: r["error"] for r in a["status"].collect() if r["status"] != "ok"}
+    assert set(errors) == {"drivers", "distributions"} and "late failure" in errors["drivers"] and "early failure" in errors["distributions"]
+    assert a["drivers"].first()["status"] == "unavailable" and a["kpis"].count() > 0
+    a.release()
+
+
 def test_analyze_simple(sales):
     a = analyze_simple(sales)
     texts = [r["statement"] for r in a["statements"].orderBy("seq").collect()]

@@ -1,9 +1,12 @@
 """Planted answers for anomalies, forecasts and models."""
 
+import re
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from prismatica.operators import anomaly as A, forecast as C, models as M
+from conftest import rows_of
 
 
 def test_robust_z_finds_spikes(spikes):
@@ -52,6 +55,30 @@ def test_lags_and_split(spark):
     assert sum(r["is_train"] for r in rows) == max(int(33 * 0.8), 33 - 14)
 
 
+@pytest.mark.parametrize("lags, size", [(7, 50), (3, 7), (12, 1), (7, 100_000)])
+def test_lags_over_slices_equal_one_window(spark, lags, size):
+    """Uneven days, days without points and several series; size 1 is raised to the reach of a row."""
+    points = spark.range(3000).selectExpr("concat('s', id % 3 % 2) AS series", "pmod(xxhash64(id), 1000) / 8.0D AS y",
+                                          "timestamp_seconds(1700000000 + id * id * 40) AS date").repartition(5)
+    w = Window.partitionBy("series").orderBy("date")
+    before = w.rowsBetween(-7, -1)
+    want = (points.withColumns({f"lag_{j}": F.lag("y", j).over(w) for j in range(1, lags + 1)})
+            .withColumns({"rolling_mean_7": F.avg("y").over(before), "rolling_std_7": F.stddev_pop("y").over(before),
+                          "position": F.row_number().over(w) - 1}).filter(F.col("position") >= lags)
+            .withColumn("position", (F.col("position") - lags).cast("long")))
+    got = C.lag_features(points, lags, size).select(want.columns)
+    rounded = [F.round(c, 9).alias(c) if c.startswith("rolling") else F.col(c) for c in want.columns]
+    assert rows_of(got.select(rounded)) == rows_of(want.select(rounded)) and got.count() == 3000 - 2 * lags
+
+
+def test_no_window_holds_a_whole_series(spark):
+    """Besides the numbering of days, windows are partitioned by day or slice."""
+    points = C.daily_series(spark.range(50).selectExpr("timestamp_seconds(id * 1000) AS t", "1.0D AS y"), "t", "y")
+    plan = C.chronological_split(C.lag_features(points))._jdf.queryExecution().optimizedPlan().toString()
+    specs = re.findall(r"windowspecdefinition\((.*?), (?:specifiedwindowframe)", plan)
+    assert specs and all("day__" in s or "slice__" in s for s in specs), specs
+
+
 def test_forecast_of_a_weekly_season_beats_the_last_value(spark):
     days = spark.range(140).selectExpr("date_add(date'2024-01-01', cast(id as int)) AS d",
                                        "100 + 50 * (id % 7) + (id * 7919 % 5) AS y")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from prismatica.functions import quantiles as Z
-from prismatica.operators import groups as G, profile as P, stats as S, trend as R
+from prismatica.operators import clean as K, groups as G, profile as P, stats as S, trend as R
 from conftest import rows_of
 
 PROBS = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
@@ -153,3 +153,27 @@ def test_problem_type_hands_on_a_few_values_per_task(spark):
     assert P.few_values(df, F.col("many"), 11).count() == 11
     plan = plan_of(P.problem_type(df, "many"))
     assert plan.index("MapInArrow") > plan.index("Exchange")  # the tasks cut before anything is shuffled
+
+
+def test_most_frequent_texts_without_a_text_as_key(spark):
+    """Long texts that tie and start alike, a short winner that is a long one's start, and all kinds of gaps."""
+    start = "x" * 64
+    rows = ([(start + "b", start, "p" * 100 + str(i), None, i % 2 == 0) for i in range(6)] + [(start + "a", start, "q", None, None)] * 6
+            + [("y" * 70, start + "z", "q", None, True)] * 5 + [(None, start + "z", None, None, True)] * 7)
+    df = spark.createDataFrame(rows, "far string, near string, most string, none string, flag boolean").repartition(5)
+    got = {r["column"]: (r["count"], r["unique"], r["top"], r["top_count"]) for r in S.categorical_summary(df).collect()}
+    assert got == {"far": (17, 3, start + "a", 6), "near": (24, 2, start, 12), "most": (17, 7, "q", 11), "flag": (18, 2, "true", 15)}
+    assert {r["col_no"]: r["s"] for r in K.modes(df, ["far", "near", "most"]).collect()} == {0: start + "a", 1: start, 2: "q"}
+    assert S.categorical_summary(spark.createDataFrame([("u" * 99 + c,) for c in "dacb"], "s string")).first()["top"] == "u" * 99 + "a"
+    assert S.categorical_summary(df.limit(0)).count() == 0
+
+
+def test_no_whole_text_is_counted_by(spark, sf_dir):
+    """The first 64 characters and a digest are keys; the text is one only of an aggregate's value."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    plan = plan_of(S.categorical_summary(docs))
+    keys = " ".join(line for line in plan.splitlines() if "hashpartitioning(" in line)
+    assert "digest#" in keys and " s#" not in keys and "(s#" not in keys
+    want = docs.groupBy("text").count().orderBy(F.desc("count"), "text").filter("text is not null").first()
+    got = S.categorical_summary(docs).first()
+    assert (got["top"], got["top_count"]) == (want["text"], want["count"])
