@@ -3,8 +3,12 @@
 Numbers, names and units become typed placeholders, so a question with other figures or
 other people has the same template. Windows of template words are joined by hash with those
 of the benchmark; matches line up on diagonals (place in the document minus place in the
-item). On a diagonal each value of the item must stand for one value of the document, or it
-does not count. A document holds an item if consistent diagonals cover enough of its windows.
+item). On a diagonal each value of the item must stand for one value of the document, and
+names and units for different ones if they differ, or it does not count. A document holds an
+item if consistent diagonals cover enough of its windows.
+
+Whether a word is a name hangs on its capital, so windows with names are also compared with
+the names as plain words: copies in other letter case are found at any length of the item.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +28,7 @@ from prismatica.llm.common import mixed, ship, whole_text
 ship(sys.modules[__name__])
 
 WINDOW, SHARE = 5, 0.8
-FEW = 4  # items of so many windows or fewer are also sought as a whole; place WHOLE stands for that
-WHOLE = -1
+WHOLE = -1  # the place of an item without windows, which is sought as a whole
 FILTER_BITS = 24  # a bit for each possible start of a window hash: 2 MB, whatever the benchmark's size
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -68,8 +72,11 @@ def _spans(h: np.ndarray, seed: int):
 
 
 def _windows(width: int, filter_bits: bytes | None, sizes: list[int] | None):
-    """Windows of a batch. Of a benchmark (no ``sizes``) the first word counts as a name too, as it may in
-    the middle of a sentence; of documents also the spans of ``sizes`` words."""
+    """Windows of a batch, with their names as holes and, where they have any, as plain words. Of a benchmark
+    (no ``sizes``) the first word counts as a name too, as it may in the middle of a sentence; of documents
+    also the spans of ``sizes`` words. Values of numbers start with #."""
+    item = sizes is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         bits = None if filter_bits is None else np.frombuffer(filter_bits, np.uint8)
@@ -79,70 +86,87 @@ def _windows(width: int, filter_bits: bytes | None, sizes: list[int] | None):
                 if len(words) > 120_000:  # some 16 MB
                     words = _Words()
                 texts = [t.as_py().split() for t in some.column(1)]
-                flat = np.fromiter((words[w] for ws in texts for w in ws), np.int64)
+                flat = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64)
                 row = np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])
                 kind, mark = np.array(words.kinds, np.int8), np.array(words.marks, np.int8)
                 kept = kind[flat] != EMPTY if len(flat) else np.zeros(0, bool)
                 flat, row = flat[kept], row[kept]
                 n = len(flat)
-                first = np.append(True, row[1:] != row[:-1]) if n else np.zeros(0, bool)
-                place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-                k, m = kind[flat].copy(), mark[flat]
-                after = np.zeros(n, bool)
-                number_before = np.zeros(n, bool)
-                if n:
-                    after[1:] = ((m[:-1] & 2) == 0) & ~first[1:]
-                    number_before[1:] = (k[:-1] == NUM) & ~first[1:]
-                k[(k == UNIT) & ~number_before] = LITERAL
-                plain = k
-                few = None
-                for as_name in (False, True) if sizes is None else (False,):
-                    k = plain.copy()
-                    k[(k == LITERAL) & ((m & 1) == 1) & (after | (first if as_name else False))] = 4
-                    h = exact = np.array(words.hashes, np.uint64)[flat]
-                    h = h.copy()
+                if not n:
+                    continue
+                first = np.append(True, row[1:] != row[:-1])
+                place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+                m = mark[flat]
+                plain = kind[flat].copy()
+                after, number_before = np.zeros(n, bool), np.zeros(n, bool)
+                after[1:] = ((m[:-1] & 2) == 0) & ~first[1:]
+                number_before[1:] = (plain[:-1] == NUM) & ~first[1:]
+                plain[(plain == UNIT) & ~number_before] = LITERAL
+                named = (plain == LITERAL) & ((m & 1) == 1)
+                exact = np.array(words.hashes, np.uint64)[flat]
+                count = max(0, n - width + 1)
+                inside = row[:count] == row[width - 1:width - 1 + count]
+
+                def hashed(k: np.ndarray) -> np.ndarray:
+                    h = exact.copy()
                     for hole, value in HOLES.items():
                         h[k == hole] = value
-                    count = max(0, n - width + 1)
-                    x = np.full(count, np.uint64(width))
+                    return h
+
+                def keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+                    x = np.full(len(at), np.uint64(width))
                     for i in range(width):
-                        x = mixed(x * STEP + h[i:i + count])
+                        x = mixed(x * STEP + h[at + i])
+                    return x
+
+                def told(k: np.ndarray, at: np.ndarray, size) -> np.ndarray:
+                    """Which spans have two literal words or more."""
                     literal = np.concatenate(([0], np.cumsum(k == LITERAL)))
-                    good = (literal[width:] - literal[:count] >= 2) if count else np.zeros(0, bool)
-                    good &= row[:count] == row[width - 1:width - 1 + count]
-                    if as_name:
-                        good &= first[:count]
-                    # start, length, hash, place and whether values matter, of windows and of whole items
-                    at = np.flatnonzero(good)
-                    found = [(at, np.full(len(at), width), x[at], place[at], True)]
-                    if sizes is None:
-                        if few is None:
-                            few = np.bincount(row[at], minlength=len(texts)) <= FEW
-                        begin = np.flatnonzero(first)
-                        begin = begin[few[row[begin]]]
-                        spans = [(begin, np.bincount(row, minlength=len(texts))[row[begin]])] if n else []
-                    else:
-                        spans = [(i := np.flatnonzero(row[:n - size + 1] == row[size - 1:]), np.full(len(i), size)) for size in sizes if size <= n]
-                    if spans:
-                        words_hash, holes_hash = _spans(exact, 1), _spans(h, 2)
-                    for i, size in spans:
-                        told = literal[i + size] - literal[i] >= 2
-                        found.append((i, size, words_hash(i, size), place[i] + WHOLE if sizes is not None else np.full(len(i), WHOLE), False))
-                        i, size = i[told], size[told]
-                        found.append((i, size, holes_hash(i, size), place[i] + WHOLE if sizes is not None else np.full(len(i), WHOLE), True))
-                    for at, size, key, where, valued in found:
-                        if bits is not None:
-                            top = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                            hit = (bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1 == 1
-                            at, size, key, where = at[hit], size[hit], key[hit], where[hit]
-                        if sizes is not None and not valued:  # once a text
-                            _, once = np.unique(np.column_stack((row[at].astype(np.uint64), key)), axis=0, return_index=True)
-                            at, size, key, where = at[once], size[once], key[once], where[once]
-                        slots = [[words.bare[flat[j]] for j in range(i, i + c) if k[j] != LITERAL] if valued else []
-                                 for i, c in zip(at.tolist(), size.tolist())]
-                        yield pa.RecordBatch.from_arrays(
-                            [some.column(0).take(pa.array(row[at])), pa.array(key.view(np.int64)), pa.array(where.astype(np.int32)),
-                             pa.array(slots, pa.list_(pa.string())), pa.array(size.astype(np.int32))], names=["id", "window", "place", "slots", "size"])
+                    return literal[at + size] - literal[at] >= 2
+
+                # start, length, hash, place, kinds (None: values do not matter) of windows and of whole items
+                found = []
+                good = np.zeros(count, bool)
+                kinds = []
+                for names in (named & after, named & (after | first)) if item else (named & after,):
+                    k = np.where(names, np.int8(4), plain)
+                    kinds.append(k)
+                    at = np.flatnonzero(inside & first[:count] if len(kinds) > 1 else inside)
+                    at = at[told(k, at, width)]
+                    good[at] = True
+                    found.append((at, np.full(len(at), width), keys(hashed(k), at), place[at], k))
+                # the same windows with their names as plain words; of an item only where it has a window anyway
+                some_name = np.concatenate(([0], np.cumsum(kinds[-1] == 4)))
+                at = np.flatnonzero((good if item else inside) & (some_name[width:] > some_name[:count]) if count else good)
+                at = at[told(plain, at, width)]
+                found.append((at, np.full(len(at), width), keys(hashed(plain), at), place[at], plain))
+                if item:
+                    begin = np.flatnonzero(first)
+                    begin = begin[np.bincount(row[:count][good], minlength=len(texts))[row[begin]] == 0]
+                    spans = [(begin, np.bincount(row, minlength=len(texts))[row[begin]])]
+                else:
+                    spans = [(i := np.flatnonzero(row[:n - size + 1] == row[size - 1:]), np.full(len(i), size)) for size in sizes if size <= n]
+                for i, size in spans:
+                    where = np.full(len(i), WHOLE) if item else place[i] + WHOLE
+                    found.append((i, size, _spans(exact, 1)(i, size), where, None))
+                    for k in kinds:
+                        good_span = told(k, i, size)
+                        found.append((i[good_span], size[good_span], _spans(hashed(k), 2)(i[good_span], size[good_span]), where[good_span], k))
+                for at, size, key, where, k in found:
+                    if bits is not None:
+                        top = (key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                        hit = (bits[top >> 3] >> (top & 7).astype(np.uint8)) & 1 == 1
+                        at, size, key, where = at[hit], size[hit], key[hit], where[hit]
+                    if not item and k is None:  # once a text
+                        _, once = np.unique(np.column_stack((row[at].astype(np.uint64), key)), axis=0, return_index=True)
+                        at, size, key, where = at[once], size[once], key[once], where[once]
+                    if not len(at):
+                        continue
+                    slots = [[("#" if k[j] == NUM else "") + words.bare[flat[j]] for j in range(i, i + c) if k[j] != LITERAL] if k is not None else []
+                             for i, c in zip(at.tolist(), size.tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0).take(pa.array(row[at])), pa.array(key.view(np.int64)), pa.array(where.astype(np.int32)),
+                         pa.array(slots, pa.list_(pa.string())), pa.array(size.astype(np.int32))], names=["id", "window", "place", "slots", "size"])
     return run
 
 
@@ -162,33 +186,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """(key, item, share, windows, changed): the items that a document holds. ``share`` is the part
     of the item's template windows found, ``changed`` tells that some value differs.
 
-    Null and empty texts hold nothing. Windows with fewer than two literal words say nothing and are
-    left out on both sides. Items of at most ``FEW`` windows, those without any included, are also
-    sought as a whole: word by word, and as a template if two of their words are literal.
-    Each text counts by itself; rows that share a key, null keys
-    included, give one row an item, ``changed`` if one of those that hold it has other values.
+    Null and empty texts hold nothing, and no document holds a null or empty item. Windows with
+    fewer than two literal words say nothing and are left out on both sides. Items without windows
+    are sought as a whole: word by word, and as a template if two of their words are literal.
+    Two numbers of an item may become one number in a document, two names or units may not.
+    Each text counts by itself, of documents and of items: rows that share a key or an item id, null
+    ones included, give one row a key and item id, with the share and windows of the text held best, and
+    ``changed`` if one of those that are held has other values. Extra columns are not read.
     """
-    kinds = dict(docs.dtypes), dict(benchmark.dtypes)
+    kinds = dict(docs.dtypes)
     schema = "id {}, window long, place int, slots array<string>, size int"
-    items = benchmark.select(F.col(f"`{item}`").alias("id"), whole_text(F.col(item_text)).alias("text"))
-    items = items.mapInArrow(_windows(width, None, None), schema.format(kinds[1][item])).distinct()
+    digest = lambda text: F.unhex(F.sha2(text, 256))
+    sought_text = whole_text(F.col(item_text))
+    names = benchmark.select(digest(sought_text).alias("item"), F.col(f"`{item}`").alias("item_id")).distinct()
+    items = benchmark.select(digest(sought_text).alias("id"), sought_text.alias("text")).dropDuplicates(["id"])
+    items = items.mapInArrow(_windows(width, None, None), schema.format("binary")).distinct()
     sizes = [r[0] for r in items.filter(F.col("place") == WHOLE).select("size").distinct().collect()]  # one row a length
     whole = whole_text(F.col(text))
-    sought = docs.select(F.struct(F.col(f"`{key}`").alias("key"), F.unhex(F.sha2(whole, 256)).alias("digest")).alias("id"), whole.alias("text"))
-    found = sought.mapInArrow(_windows(width, _bitmap(items), sorted(sizes)), schema.format(f"struct<key:{kinds[0][key]},digest:binary>")).distinct()
+    sought = docs.select(F.struct(F.col(f"`{key}`").alias("key"), digest(whole).alias("digest")).alias("id"), whole.alias("text"))
+    found = sought.mapInArrow(_windows(width, _bitmap(items), sorted(sizes)), schema.format(f"struct<key:{kinds[key]},digest:binary>")).distinct()
     parts = items.select("window", F.col("id").alias("item"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     totals = items.groupBy(F.col("id").alias("item")).agg(F.count_distinct(F.when(F.col("place") != WHOLE, F.col("place"))).alias("windows"))
     hits = found.join(parts, "window").select("id", "item", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place",
                                               F.arrays_zip("item_slots", "slots").alias("values"))
     lines = hits.groupBy("id", "item", "diagonal").agg(
         F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
-    names = F.transform("values", lambda v: v["item_slots"])
-    consistent = F.size("values") == F.size(F.array_distinct(names))
+    of_item = F.transform("values", lambda v: v["item_slots"])
+    told_apart = F.transform(F.filter("values", lambda v: ~F.startswith(v["slots"], F.lit("#"))), lambda v: v["slots"])
+    consistent = (F.size("values") == F.size(F.array_distinct(of_item))) & (F.size(told_apart) == F.size(F.array_distinct(told_apart)))
     lines = lines.filter(consistent).withColumn("changed", F.exists("values", lambda v: v["item_slots"] != v["slots"]))
     places = F.array_distinct(F.flatten(F.collect_list("places")))
     held = lines.groupBy("id", "item").agg(F.size(F.array_remove(places, WHOLE)).alias("covered"), F.array_contains(places, WHOLE).alias("whole"),
                                            F.bool_or("changed").alias("changed")).join(totals, "item")
     held = held.filter(F.col("whole") | (F.col("covered") >= share * F.col("windows"))).withColumn(
         "part", F.when(F.col("whole"), 1.0).otherwise(F.col("covered") / F.col("windows")))
-    return held.groupBy(F.col("id.key").alias("key"), "item", "windows").agg(F.max("part").alias("part"), F.bool_or("changed").alias("changed")).select(
-        F.col("key").alias(key), F.col("item").alias(item), F.col("part").alias("share"), F.col("windows").cast("long").alias("windows"), "changed")
+    best = held.join(names, "item").groupBy(F.col("id.key").alias("key"), "item_id").agg(
+        F.max(F.struct("part", "windows")).alias("best"), F.bool_or("changed").alias("changed"))
+    return best.select(F.col("key").alias(key), F.col("item_id").alias(item), F.col("best.part").alias("share"),
+                       F.col("best.windows").cast("long").alias("windows"), "changed")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -14,7 +15,7 @@ import corpus_pipeline
 from prismatica.llm import queries as Q
 from prismatica.llm.backoff_lm import backoff_scores
 from prismatica.llm.components import components
-from prismatica.llm.decontaminate import contaminated
+from prismatica.llm.decontaminate import NUMBER, NUMBER_WORDS, UNITS, contaminated
 from prismatica.llm.induced import sorted_suffixes
 from prismatica.llm.licenses import license_scan
 from prismatica.llm.common import dealt, labelled
@@ -306,6 +307,104 @@ def test_short_items(spark):
     assert got == {(k * 100 + n, k, False) for n, (k, t) in enumerate(texts) if k < 7} | {(1018, 5, True), (1119, 1, True)}
 
 
+@pytest.mark.parametrize("words", [8, 12, 20, 40])
+def test_items_in_other_letter_case(spark, words):
+    """Copies of an item with names and numbers, whatever its length and the case of their letters."""
+    item = " ".join(("Then Anna Berg sells 12 boxes of ripe apples to Bob Lind at 30 cents and the people of Oslo walk home before "
+                     "Carl has counted 7 sacks of old grain for his aunt Dora in the small town of Bergen by night").split()[:words])
+    changed = item.replace("12", "19").replace("Anna", "Wilma")
+    docs = spark.createDataFrame(enumerate([item, item.lower(), item.upper(), item.title(), f"They say: {item.lower()} or so", changed,
+                                            "Anna Berg sells apples and Bob Lind walks home"]), "doc_id long, text string")
+    got = {(r["doc_id"], r["changed"]) for r in contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(i, False) for i in range(5)} | {(5, True)}
+
+
+def test_item_ids_null_and_repeated(spark):
+    short = "how many ripe apples does one farmer sell to his old neighbour today"
+    far = " ".join(f"word{i} of{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, short), (2, far), (None, short), (3, "nothing at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, short), (7, far), (None, short), (7, short), (9, short), (8, None), (8, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["share"], r["windows"]) for r in contaminated(docs, items).collect()}
+    assert got == {(d, i, 1.0, 9) for d in (1, None) for i in (7, None, 9)} | {(2, 7, 1.0, 56)}
+
+
+def test_names_stay_apart_and_numbers_may_meet(spark):
+    item = "today Alice sells 12 big red apples and later in the day Bob buys 30 small green pears from the shop"
+    docs = spark.createDataFrame([(1, item.replace("Alice", "Carol").replace("Bob", "Carol")), (2, item.replace("Alice", "Carol")),
+                                  (3, item.replace("30", "12")), (4, item.replace("Alice", "Bob").replace("Bob buys", "Alice buys"))], "doc_id long, text string")
+    got = {r["doc_id"] for r in contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {2, 3, 4}
+
+
+def plain_windows(text, item):
+    """Template windows by the definitions, word by word: {place: [(template, values)]}."""
+    raw = [(w, w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡")) for w in (text or "").split()]
+    raw = [(w, b) for w, b in raw if b]
+    kinds = []
+    for i, (w, b) in enumerate(raw):
+        low = b.lower()
+        if NUMBER.fullmatch(low) or low in NUMBER_WORDS:
+            kinds.append("number")
+        elif low in UNITS and i and kinds[-1] == "number":
+            kinds.append("unit")
+        else:
+            open_sentence = i == 0 or not (raw[i - 1][0][-1].isalnum() or raw[i - 1][0][-1] in ",'’)")
+            capital = b[0].isupper() and not b.isupper()
+            kinds.append("first" if capital and i == 0 else "name" if capital and not open_sentence else "word")
+    out = {}
+    for at in range(len(raw) - 4):
+        options = []
+        for names in ({"name"}, {"name", "first"}, set()) if item else ({"name"}, set()):
+            k = [x if x in ("number", "unit") or x in names else "word" for x in kinds[at:at + 5]]
+            k = ["name" if x == "first" else x for x in k]
+            if k.count("word") >= 2:
+                low = [b.lower() for _, b in raw[at:at + 5]]
+                options.append((names, tuple(f"<{x}>" if x != "word" else w for x, w in zip(k, low)),
+                                tuple((x, w) for x, w in zip(k, low) if x != "word")))
+        if options and (not item or any(names for names, _, _ in options)):
+            out[at] = [o[1:] for o in options]
+    return out
+
+
+def test_decontamination_by_brute_force(spark, sf_dir):
+    """All pairs of a document and an item, diagonal by diagonal, on texts made of a few words."""
+    rng = np.random.default_rng(3)
+    words = "red cat the of Anna Bob 12 7 km runs. home and, blue tree Oslo 3 kg".split()
+    some = lambda n: " ".join(rng.choice(words, n))
+    items = [(i, some(12)) for i in range(12)]
+    texts = [some(60) for _ in range(150)]
+    for j in range(0, 150, 2):
+        hold = items[j % 12][1]
+        swap = (str, str.lower, lambda t: t.replace("Anna", "Carl").replace("12", "99"), lambda t: t.replace("Bob", "Anna"), str.title)[j % 5]
+        texts[j] = f"{texts[j]} {swap(hold)} {some(20)}"
+    docs = [(j, t) for j, t in enumerate(texts)]
+    want = {}
+    parts = {i: plain_windows(t, True) for i, t in items}
+    assert all(parts.values())
+    for j, t in docs:
+        held = plain_windows(t, False)
+        for i, windows in parts.items():
+            lines = {}
+            for at, options in windows.items():
+                for place, there in held.items():
+                    for (a, x), (b, y) in itertools.product(options, there):
+                        if a == b:
+                            line = lines.setdefault(place - at, (set(), set()))
+                            line[0].add(at)
+                            line[1].update((p, q) for p, q in zip(x, y))
+            covered, changed = set(), False
+            for places, values in lines.values():
+                apart = [q for p, q in values if p[0] != "number"]
+                if len({p[1] if p[0] != "number" else "#" + p[1] for p, _ in values}) == len(values) and len({q[1] for q in apart}) == len(apart):
+                    covered |= places
+                    changed |= any(p != q for p, q in values)
+            if len(covered) >= 0.8 * len(windows):
+                want[j, i] = (len(covered) / len(windows), len(windows), changed)
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): (r["share"], r["windows"], r["changed"]) for r in found.collect()}
+    assert len(want) > 40 and got == want
+
+
 def test_a_common_labelled_key_is_one_row(spark):
     docs = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 900 ELSE id END AS doc_id", "concat(IF(id % 3 = 0, 'good, plain text. ', 'BAD BAD! || '), id) AS text")
     labels = spark.range(901).selectExpr("id AS doc_id", "IF(id = 900, 1, id % 2) AS quality", "0 AS toxic").filter("doc_id % 3 > 0 or doc_id = 900")
