@@ -4,14 +4,19 @@
    its text blocks by path and wording.
 2. For each host, tokens are summed over pages into fingerprints of their occurrence vectors.
    Tokens of equal vectors form an equivalence class. The class that stands exactly once on
-   every page is the template's skeleton; classes whose vector is a multiple or part of it
-   nest in its gaps by path.
-3. The gaps are slots. The main slot is the article or main element of the skeleton, or else
-   the skeleton element with most text outside links and outside page furniture. Blocks of the
-   skeleton class are part of the template wherever they stand.
-4. Each page gives the blocks of the main slot, without furniture nested in it.
-
-Hosts with few pages take the skeleton of all hosts together.
+   every page is the template's skeleton. Another class is valid if it stands at most once on a
+   page, on ``SUPPORT`` of the host's pages (repeats included), and holds an element together with all text under
+   it: the same box with the same words. Such classes nest in the skeleton by path.
+3. What remains are slots. The main slot is the article or main element of the skeleton, or else
+   the deepest skeleton element around ``HELD`` of the text that varies between pages, outside
+   links and page furniture.
+4. Each page gives the blocks of the main slot, without furniture and valid classes nested in
+   it. Blocks of the skeleton class are part of the template too, but not in article and main
+   elements: there, only boxes are, and headings, paragraphs, lists and tables stay.
+
+One rule holds for all hosts of two distinct pages or more. A class needs two distinct pages;
+where nothing in the main slot varies, nothing in it tells a template from text and all stays.
+Hosts of one page have nothing to compare and take the skeleton of all hosts together.
 """
 
 from __future__ import annotations
@@ -30,7 +35,8 @@ from prismatica.llm.common import ship, stored
 
 ship(sys.modules[__name__])
 
-OWN_PAGES, BLOCK_PAGES = 5, 20
+SUPPORT, HELD = 0.1, 0.9
+SUMS = ["pages", "total", "vector", "chars", "every", "furniture"]
 EVERY = "*"  # the key for all hosts together; no host name has this form
 
 # Element kinds of HTML.
@@ -49,6 +55,7 @@ PLAIN_NAMES = frozenset(
     "link links list item items count counts bar box button buttons icon icons area block container wrap wrapper inner section content "
     "title text form group row panel menu nav top bottom left right site page main global primary secondary the to".split())
 MAIN = ("article", "main")
+TEXT_ELEMENTS = ("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption").split()
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)"
                    r"|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -234,68 +241,101 @@ def _host(url: str | None) -> str:
 
 
 def _digest(path: str, text: str) -> str:
-    return f"#{xxhash.xxh3_128_hexdigest(f'{path} {text}'.encode('utf-8', 'surrogatepass'))}"
+    """The token of a text block: 33 characters, then its path."""
+    return f"#{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}{path}"
+
+
+class _Around(dict):
+    """The paths from the outermost element to a path, remembered up to a bound."""
+
+    def __missing__(self, path: str) -> list[str]:
+        if len(self) > 50_000:
+            self.clear()
+        parts = path.split("/")
+        found = self[path] = ["/".join(parts[:i]) for i in range(2, len(parts) + 1)]
+        return found
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums per host and token over a batch: pages, occurrences, vector, characters of text. Each
-    distinct page is a token too."""
-    tags = _Tags()
+    """Sums per host and token over a batch: pages, occurrences, vector, non-link characters outside
+    furniture, all characters, pages where it is furniture, and the least and greatest page mark."""
+    tags, around = _Tags(), _Around()
     for batch in batches:
         sums: dict[tuple[str, str], list] = {}
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             host = _host(url)
             mark = xxhash.xxh3_64_intdigest(page.encode("utf-8", "surrogatepass")) >> 33
-            counts: dict[str, list] = {"": [1, 0, 0], f"={xxhash.xxh3_128_hexdigest(page.encode('utf-8', 'surrogatepass'))}": [1, 0, 0]}
-            under: list[str] = []
+            counts: dict[str, list] = {"": [1, 0, 0, 0]}
             for path, furniture, opened, text, linked in blocks(page, tags):
                 if opened:
-                    counts.setdefault(path, [0, 0, furniture])[0] += 1
+                    counts.setdefault(path, [0, 0, 0, furniture])[0] += 1
                 else:
-                    counts.setdefault(_digest(path, text), [0, 0, furniture])[0] += 1
-                    if not furniture:
-                        under = path.split("/")
-                        for i in range(2, len(under) + 1):
-                            if (c := counts.get("/".join(under[:i]))) is not None:
-                                c[1] += max(0, len(text) - linked)
-            for token, (n, chars, furniture) in counts.items():
-                for key in (host, EVERY) if token[:1] not in ("#", "=") else (host,):
-                    s = sums.setdefault((key, token), [0, 0, 0, 0, 0])
-                    s[4] += furniture > 0
-                    s[0] += 1
-                    s[1] += n
-                    s[2] += n * mark
-                    s[3] += chars
+                    free = 0 if furniture else max(0, len(text) - linked)
+                    own = counts.setdefault(_digest(path, text), [0, 0, 0, furniture])
+                    own[0] += 1
+                    for c in (own, *(counts[p] for p in around[path] if p in counts)):
+                        c[1] += free
+                        c[2] += len(text)
+            for token, (n, chars, every, furniture) in counts.items():
+                for key in (host, EVERY) if token[:1] != "#" else (host,):
+                    s = sums.setdefault((key, token), [0, 0, 0, 0, 0, 0, mark, mark])
+                    for i, v in enumerate((1, n, n * mark, chars, every, furniture > 0)):
+                        s[i] += v
+                    s[6], s[7] = min(s[6], mark), max(s[7], mark)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), *[pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(5)]],
-            names=["host", "token", "pages", "total", "vector", "chars", "furniture"])
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, n, different, slot, boilerplate): pages, distinct ones, and for each host, and for all together under ``EVERY``, the path of
-    the main slot and the digests of text blocks that the skeleton class holds."""
-    sums = pages.mapInArrow(_tokens, "host string, token string, pages long, total long, vector long, chars long, furniture long")
-    tokens = sums.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "chars", "furniture")],
-                                               F.sum(F.col("vector") % (1 << 31)).alias("vector"))
-    roots = tokens.filter("token = ''").select("host", F.col("pages").alias("n"), F.col("vector").alias("root"))
-    # Tokens of equal vectors are the same with and without repeats of pages, but repeats are no evidence.
-    distinct = tokens.filter("token like '=%'").groupBy("host").agg(F.count("*").alias("different"))
-    roots = roots.join(distinct, "host", "left")
-    skeleton = tokens.filter("token != '' and token not like '=%'").join(roots, "host").filter("vector = root and total = n and pages = n")
+            [pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), *[pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(8)]],
+            names=["host", "token", *SUMS, "low", "high"])
+
+
+def _nested(texts: DataFrame) -> DataFrame:
+    """Text tokens, once for each element around them (``within``)."""
+    parts = F.split(F.substr("token", F.lit(34)), "/")
+    around = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return texts.filter(F.size(parts) > 1).withColumn("within", F.explode(around))
+
+
+def templates(pages: DataFrame, support: float = SUPPORT, held: float = HELD) -> DataFrame:
+    """(host, slot, fixed): for each host of two distinct pages or more, and for all together under ``EVERY``, the path
+    of the main slot and what of it is template: paths of elements, and tokens of text blocks that the skeleton class holds.
+
+    A host's list is no longer than a page's elements over ``support``, whatever its number of pages.
+    """
+    sums = pages.mapInArrow(_tokens, "host string, token string, " + ", ".join(f"{c} long" for c in [*SUMS, "low", "high"]))
+    tokens = sums.groupBy("host", "token").agg(*[F.sum(F.col(c) % (1 << 31) if c == "vector" else F.col(c)).alias(c) for c in SUMS],
+                                               F.min("low").alias("low"), F.max("high").alias("high"))
+    # What stands on one page, or on repeats of one, is no evidence.
+    kept = stored(tokens.filter("low != high and (token = '' or total = pages)").drop("low", "high"))
+    roots = kept.filter("token = ''").select("host", F.col("pages").alias("n"), F.col("vector").alias("root"))
+    classed = kept.filter("token != ''").join(roots, "host").withColumn("skeleton", F.expr("vector = root and pages = n"))
+    elements, texts = classed.filter("token not like '#%'"), classed.filter("token like '#%'")
+    # The main slot: varying text of each skeleton element.
+    still = _nested(texts.filter("skeleton")).groupBy("host", F.col("within").alias("token")).agg(F.sum("chars").alias("still"))
     name = F.regexp_extract("token", r"/([^/.]+)[^/]*$", 1)
-    element = ~F.col("token").startswith("#") & (2 * F.col("furniture") <= F.col("pages"))
-    rank = F.struct(F.when(name == "article", 2).when(name == "main", 1).otherwise(0), "chars", F.length("token"), "token")
-    return skeleton.groupBy("host").agg(
-        F.max("n").alias("n"), F.max("different").alias("different"), F.max(F.when(element, rank)).getField("token").alias("slot"),
-        F.collect_set(F.when(F.col("token").startswith("#") & (F.col("different") >= BLOCK_PAGES), F.col("token"))).alias("boilerplate"))
+    kind = F.when(name == "article", 2).when(name == "main", 1).otherwise(0)
+    skeleton = (elements.filter("skeleton and 2 * furniture <= pages").join(still, ["host", "token"], "left")
+                .select("host", "token", "chars", kind.alias("kind"), (F.col("chars") - F.coalesce("still", F.lit(0))).alias("varying")))
+    most = skeleton.groupBy("host").agg(F.max("varying").alias("most"))
+    rank = F.struct("kind", F.when(F.col("kind") > 0, F.col("chars")).otherwise(0), F.size(F.split("token", "/")).alias("depth"), "varying", "token")
+    slots = (skeleton.join(most, "host").filter((F.col("kind") > 0) | (F.col("varying") >= held * F.col("most"))).groupBy("host")
+             .agg(F.max(rank).alias("best")).select("host", F.col("best.token").alias("slot"), F.col("best.varying").alias("varying")))
+    # Valid classes: elements whose whole text is of their own class.
+    fixed_text = _nested(texts.filter(F.col("pages") >= support * F.col("n"))).groupBy("host", "within", "vector", "pages").agg(F.sum("every").alias("same"))
+    in_main = F.col("token").rlike(r"/(article|main)(\.[^/]*)?/")
+    boxes = elements.withColumnRenamed("token", "within").join(fixed_text, ["host", "within", "vector", "pages"]).filter("same = every").select(
+        "host", F.col("within").alias("token"))
+    boxes = boxes.filter(~in_main | ~name.isin(TEXT_ELEMENTS))
+    words = texts.filter("skeleton").filter(~in_main & ~F.col("token").rlike(r"/(article|main)(\.[^/]*)?$")).select("host", "token")
+    inside = boxes.unionByName(words).join(slots, "host").filter(
+        (F.col("varying") > 0) & ~F.startswith(F.concat("slot", F.lit("/")), F.concat("token", F.lit("/")))).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    return slots.select("host", "slot").join(inside, "host", "left")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tags = _Tags()
+    tags, around = _Tags(), _Around()
     for batch in batches:
         texts = []
-        for page, slot, boilerplate in zip(*(batch.column(c).to_pylist() for c in ("html", "slot", "boilerplate"))):
-            found, dull = blocks(page, tags), set(boilerplate or ())
+        for page, slot, template in zip(*(batch.column(c).to_pylist() for c in ("html", "slot", "fixed"))):
+            found, fixed = blocks(page, tags), set(template or ())
             paths = {b[0] for b in found if b[2]}
             inside = [b for b in found if b[2] and b[0].rsplit("/", 1)[-1].split(".")[0] in MAIN and not b[1]]
             if not slot or slot not in paths or (inside and not any(f"/{m}" in slot for m in MAIN)):
@@ -303,7 +343,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = [b[1] for b in found if b[2] and b[0] == slot]
             outer = starts[0] if len(starts) == 1 else 0  # what lies around the slot says nothing on its blocks
             kept = [b[3] for b in found if not b[2] and b[1] <= outer and (b[0] == slot or b[0].startswith(slot + "/"))
-                    and not (dull and _digest(b[0], b[3]) in dull)]
+                    and not (fixed and (any(p in fixed for p in around[b[0]] if len(p) > len(slot)) or _digest(b[0], b[3]) in fixed))]
             texts.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                          names=[*batch.schema.names[:-3], "text", "n_chars"])
@@ -319,9 +359,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1))
     source = pages.select(F.col(f"`{key}`").alias("id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(page), F.lit("")).alias("html"))
     found = stored(templates(source.select("url", "html")))
-    own = found.filter((F.col("host") != EVERY) & (F.col("different") >= OWN_PAGES)).select("host", "slot", "boilerplate")
     shared = found.filter(F.col("host") == EVERY).select("slot").first()
-    joined = source.withColumn("host", host).join(own, "host", "left").select(
-        "id", "url", "html", F.coalesce("slot", F.lit(shared[0] if shared else None)).alias("slot"), "boilerplate")
+    joined = source.withColumn("host", host).join(found.filter(F.col("host") != EVERY), "host", "left").select(
+        "id", "url", "html", F.coalesce("slot", F.lit(shared[0] if shared else None)).alias("slot"), "fixed")
     result = joined.mapInArrow(_extracted, f"id {kinds[key]}, url string, text string, n_chars long")
     return result.select(F.col("id").alias(key), F.col("url").alias(url), "text", "n_chars")

@@ -20,7 +20,7 @@ from prismatica.llm.induced import sorted_suffixes
 from prismatica.llm.licenses import license_scan
 from prismatica.llm.common import dealt, labelled
 from prismatica.llm.lz_fingerprint import edited_likeness, likeness, ranged
-from prismatica.llm.main_text import blocks, main_text, templates
+from prismatica.llm.main_text import TEXT_ELEMENTS, _digest, blocks, main_text, templates
 from prismatica.llm.near_dedup import near_duplicates
 from prismatica.llm.pieces import MARK, Encoder, decoded, encoded, load_pieces
 from prismatica.llm.quality_rank import ranked_quality, train_ranking
@@ -429,6 +429,98 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == sizes[-1]
 
 
+@pytest.mark.parametrize("n", [2, 4, 5, 19, 20])
+def test_template_at_any_number_of_pages(spark, n):
+    """Boxes with neutral names go, in the article and without one; text that varies stays, repeated headings in articles too."""
+    boxes = "<div class='k'>Standing note of this site</div><div class='l'>Subscribe to our weekly letter now</div>"
+    menu = "<div class='m'><a href='/a'>First shelf</a> <a href='/b'>Second shelf</a></div>"
+    plain = f"<html><body>{menu}{boxes}<div class='c'><h1>Head {{0}}</h1><p>Para {{0}} alpha beta and more of it.</p><p>Para gamma {{0}}.</p></div>{{1}}</body></html>"
+    marked = f"<html><body>{menu}<article><h2>News</h2>{boxes}<p>Para {{0}} alpha beta.</p><p>So long</p></article>{{1}}</body></html>"
+    extra = "<div class='x'><p>Closed on Monday</p><p>Open again soon</p></div>"
+    pages = [(2 * i + k, f"https://{h}.example/{i}", page.format(i, extra if i % 2 and n > 2 else "")) for k, (h, page) in enumerate({"p": plain, "a": marked}.items()) for i in range(n)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(n):
+        assert got[2 * i] == f"Head {i}\nPara {i} alpha beta and more of it.\nPara gamma {i}."
+        assert got[2 * i + 1] == f"News\nPara {i} alpha beta.\nSo long"
+
+
+def test_optional_box_in_the_slot(spark):
+    """A class that is not on all pages nests in the main slot; a passage that two articles share does not."""
+    box = "<div class='x'><h3>Read on</h3><p>Ten stories of the week</p></div>"
+    page = "<html><body><div class='c'><p>Para {0} alpha.</p>{1}<p>Omega {0}.</p></div></body></html>"
+    pages = [(i, f"https://o.example/{i}", page.format(i, box if i % 3 == 0 else "<p>One passage for two.</p>" if i in (1, 2) else "")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Para {i} alpha.\n" + ("One passage for two.\n" if i in (1, 2) else "") + f"Omega {i}." for i in range(12)}
+
+
+def test_pages_that_do_not_vary_in_the_slot_stay(spark):
+    page = "<html><body><div class='m'><a href='/{0}'>Shelf {0}</a></div><article><div class='b'><p>The same text</p></div></article></body></html>"
+    pages = spark.createDataFrame([(i, "https://v.example/", page.format(i)) for i in range(9)], "page_id long, url string, html string")
+    assert {r["text"] for r in main_text(pages).collect()} == {"The same text"}
+
+
+def plain_template(pages):
+    """(slot, fixed) of a host by the definitions: vectors over the distinct pages, support with repeats."""
+    often = collections.Counter(pages)
+    pages = sorted(often)
+    weigh = lambda v: sum(x * often[p] for x, p in zip(v, pages))
+    under, tokens, texts = collections.defaultdict(lambda: [0] * len(pages)), {}, collections.defaultdict(lambda: [0] * len(pages))
+    varying, dull = collections.Counter(), collections.Counter()
+    for i, page in enumerate(pages):
+        for path, furniture, opened, text, linked in blocks(page):
+            around = ["/".join(path.split("/")[:k]) for k in range(2, path.count("/") + 2)]
+            if opened:
+                under[path][i] += 1
+                dull[path] += often[page] * (furniture > 0)
+            else:
+                texts[path, text][i] += 1
+                for p in around:
+                    varying[p] += 0 if furniture else often[page] * max(0, len(text) - linked)
+                    tokens.setdefault(p, []).append((path, text, 0 if furniture else often[page] * max(0, len(text) - linked)))
+    ones = [1] * len(pages)
+    skeleton = [p for p, v in under.items() if v == ones and 2 * dull[p] <= sum(often.values())]
+    vary = {p: sum(c for path, text, c in tokens.get(p, ()) if texts[path, text] != ones) for p in skeleton}
+    kind = lambda p: {"article": 2, "main": 1}.get(p.rsplit("/", 1)[1].split(".")[0], 0)
+    best = max(vary.values())
+    slot = max((p for p in skeleton if kind(p) or vary[p] >= 0.9 * best), key=lambda p: (kind(p), varying[p] if kind(p) else 0, p.count("/"), vary[p], p))
+    main = lambda path: any(part.split(".")[0] in ("article", "main") for part in path.split("/"))
+    fixed = set()
+    if vary[slot]:
+        for p, v in under.items():
+            if max(v) == 1 and sum(v) >= 2 and weigh(v) >= 0.1 * sum(often.values()) and tokens.get(p) and all(texts[path, t] == v for path, t, _ in tokens[p]):
+                if not (main(p.rsplit("/", 1)[0]) and p.rsplit("/", 1)[1].split(".")[0] in TEXT_ELEMENTS) and not f"{slot}/".startswith(f"{p}/"):
+                    fixed.add(p)
+        fixed |= {t for t, v in texts.items() if v == ones and not main(t[0])}
+    return slot, fixed
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_by_brute_force(spark, seed):
+    """Pages of hosts put together from a few boxes, some of them optional, repeated or with varying words."""
+    rng = random.Random(seed)
+    pages = []
+    for host in range(8):
+        marked = rng.random() < 0.5
+        boxes = [(rng.choice(["div", "div.a", "section.b", "p", "ul.c"]), rng.choice([1.0, 1.0, 0.5, 0.2]), rng.choice(["fixed", "fixed", "few", "own"]), rng.randrange(99)) for _ in range(7)]
+        for i in range(rng.choice([2, 3, 7, 20])):
+            body = []
+            for name, often, words, n in boxes:
+                if rng.random() < often:
+                    tag, _, label = name.partition(".")
+                    text = {"fixed": f"Box {n} of words", "few": f"Box {n} {rng.randrange(2)}", "own": f"Box {n} with text of page {i}"}[words]
+                    body.append(f"<{tag} class='{label}'>" + (f"<p>{text}</p><p>end</p>" if tag != "p" and n % 2 else text) + f"</{tag}>")
+            cut = rng.randrange(2, 5)
+            inner = "".join(body[cut:])
+            page = f"<html><body>{''.join(body[:cut])}{'<article>' if marked else '<div class=z>'}{inner}{'</article>' if marked else '</div>'}</body></html>"
+            pages += [(f"h{host}", page)] * rng.choice([1, 1, 2])
+    df = spark.createDataFrame([(f"https://{h}.example/", p) for h, p in pages], "url string, html string").repartition(4)
+    got = {r["host"]: (r["slot"], set(r["fixed"] or ())) for r in templates(df).collect()}
+    hosts = {h: [p for g, p in pages if g == h] for h, _ in pages}
+    want = {f"{h}.example": plain_template(p) for h, p in hosts.items() if len(set(p)) > 1}
+    named = lambda fixed: {f if isinstance(f, str) else _digest(*f) for f in fixed}
+    assert len(want) > 4 and {h: t for h, t in got.items() if h != "*"} == {h: (slot, named(fixed)) for h, (slot, fixed) in want.items()}
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """Scattered copies of one text, some near to few others: blocks lose no link."""
     rng = random.Random(11)
