@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from prismatica.catalog.registry import GAPPY_SQL, Tables, query, r, rounded
 from prismatica.catalog.statistics import drivers_sql, DIMS
@@ -34,6 +34,36 @@ def n4(t):
     return A.anomaly_count(A.anomaly_ensemble(t("customer"), "c_acctbal", ordered=False))
 
 
+# Planted answers: data derived from the tables by a rule that the operator has to find, so
+# that SQL, which fits no model, can state the result.
+SPIKES_SQL = "spikes AS (SELECT event_id, CASE WHEN event_id % 40 = 0 THEN 10000.0 ELSE (event_id // 40) % 10 END::DOUBLE AS v FROM events)"
+
+
+def _spikes(t):
+    """Every fortieth event far above the rest, which take ten values."""
+    i = F.col("event_id")
+    return t("events").select("event_id", F.when(i % 40 == 0, 10000.0).otherwise(F.floor(i / 40) % 10).cast("double").alias("v"))
+
+
+@query("n2_isolation_spikes", f"WITH {SPIKES_SQL} SELECT event_id, v, (v = 10000)::INT AS anomaly FROM spikes")
+def n2_spikes(t):
+    found = A.isolation_forest(_spikes(t), "v", contamination=0.03, key=["event_id"])
+    return found.select("event_id", "v", F.col("anomaly").cast("int").alias("anomaly"))
+
+
+@query("n3_ensemble_spikes", f"""WITH {SPIKES_SQL} SELECT event_id, (v = 10000)::INT AS anomaly,
+CASE WHEN v = 10000 THEN 'Robust Z-score + Isolation Forest' ELSE 'Normal' END AS anomaly_reason FROM spikes""")
+def n3_spikes(t):
+    found = A.anomaly_ensemble(_spikes(t), "v", key=["event_id"], ordered=False)
+    return found.select("event_id", F.col("anomaly").cast("int").alias("anomaly"), "anomaly_reason")
+
+
+@query("n4_spike_count", f"""WITH {SPIKES_SQL} SELECT count(*) AS "rows", count(*) FILTER (WHERE v = 10000) AS anomalies,
+round(count(*) FILTER (WHERE v = 10000) * 100.0::DOUBLE / count(*), 4) AS anomaly_pct FROM spikes""")
+def n4_spikes(t):
+    return rounded(A.anomaly_count(A.anomaly_ensemble(_spikes(t), "v", key=["event_id"], ordered=False)))
+
+
 DAILY = """s AS (SELECT event_type AS series, date_trunc('day', ts) AS d, sum(value) AS y FROM events GROUP BY 1, 2)"""
 
 
@@ -77,6 +107,34 @@ def m4(t):
     return C.forecast_backtest(t("orders"), "o_orderdate", "o_totalprice").forecast
 
 
+SEASON_SQL = """season AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i FROM (SELECT DISTINCT o_orderdate AS d FROM orders)),
+size AS (SELECT count(*) AS n, count(*) - 7 AS k, max(d) AS last FROM season)"""
+
+
+def _season(t):
+    """The order dates, with a value that repeats every seven of them."""
+    dates = t("orders").select(F.col("o_orderdate").alias("d")).distinct()
+    return dates.withColumn("y", (F.row_number().over(Window.orderBy("d")) - 1) % 7 * 10.0 + 5)
+
+
+@lru_cache(maxsize=8)
+def _season_forecast(spark, folder: str) -> C.Forecast:
+    return C.forecast_backtest(_season(Tables(spark, folder)), "d", "y", trees=100)
+
+
+@query("m4_season_metrics", f"""WITH {SEASON_SQL} SELECT 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 1.0::DOUBLE AS r2,
+(k - least(greatest(greatest(floor(k * 0.8), k - 14), 10), k - 1))::BIGINT AS test_points FROM size""")
+def m4_season_metrics(t):
+    return rounded(_season_forecast(t.spark, t.folder).metrics.select("mae", "rmse", "r2", "test_points"))
+
+
+@query("m4_season_forecast", f"""WITH {SEASON_SQL} SELECT strftime(last + to_days(j::INT), '%Y-%m-%d') AS "day",
+((n - 1 + j) % 7 * 10 + 5)::DOUBLE AS forecast FROM size, generate_series(1, 14) AS g(j)""")
+def m4_season(t):
+    found = _season_forecast(t.spark, t.folder).forecast
+    return found.select(F.date_format("date", "yyyy-MM-dd").alias("day"), r("forecast").alias("forecast"))
+
+
 @query("m5_prepare_features", """
 WITH r AS (SELECT * FROM customer WHERE c_acctbal IS NOT NULL),
      f AS (SELECT quantile_cont(c_custkey, 0.5) AS k, quantile_cont(c_nationkey, 0.5) AS n FROM r),
@@ -119,6 +177,62 @@ def m7_predictions(t):
     return _classification(t.spark, t.folder).predictions
 
 
+@lru_cache(maxsize=8)
+def _line(spark, folder: str) -> M.Trained:
+    """A price that is a straight line of the part's size; the key says nothing."""
+    return M.train_compare(_lined(Tables(spark, folder)), "price", key=["p_partkey"])
+
+
+def _lined(t):
+    return t("part").select("p_partkey", F.col("p_size").cast("double").alias("size"), (3.0 * F.col("p_size") + 2).alias("price"))
+
+
+@lru_cache(maxsize=8)
+def _rule(spark, folder: str) -> M.Trained:
+    """A label that a threshold of the size decides."""
+    size = F.col("p_size") % 10
+    rows = Tables(spark, folder)("part").select("p_partkey", size.cast("double").alias("size"), F.when(size >= 5, "large").otherwise("small").alias("label"))
+    return M.train_compare(rows, "label", key=["p_partkey"], variant="b")
+
+
+@query("m6_line_winner", "SELECT 'Linear Regression' AS model, 0.0::DOUBLE AS mae, 1.0::DOUBLE AS r2")
+def m6_line(t):
+    found = _line(t.spark, t.folder)
+    return rounded(found.comparison.filter(F.col("model") == found.best_model).select("model", "mae", "r2"), 6)
+
+
+@query("m7_rule_predictions", """WITH p AS (SELECT CASE WHEN p_size % 10 >= 5 THEN 'large' ELSE 'small' END AS label FROM part)
+SELECT label AS actual, label AS prediction, round(count(*) * 0.2)::BIGINT AS n FROM p GROUP BY label""")
+def m7_rule(t):
+    """Held-out rows by class and prediction: a fifth of each class, all told right."""
+    return _rule(t.spark, t.folder).predictions.groupBy("actual", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m9_line_predictions", "SELECT p_partkey, (3.0 * p_size + 2)::DOUBLE AS price, (3.0 * p_size + 2)::DOUBLE AS prediction FROM part")
+def m9_line(t):
+    return rounded(M.predict(_line(t.spark, t.folder), _lined(t)).select("p_partkey", "price", "prediction"))
+
+
+@query("m10_line_importance", """SELECT 'numeric:size' AS feature, 3.0::DOUBLE AS importance, 100.0::DOUBLE AS importance_pct
+UNION ALL SELECT 'numeric:p_partkey', 0, 0""")
+def m10_line(t):
+    return rounded(M.feature_importance(_line(t.spark, t.folder)), 6)
+
+
+@query("m11_line_permutation", "SELECT 'size' AS feature")
+def m11_line(t):
+    """The feature that matters most for the line."""
+    return M.permutation_importance(_lined(t), "price", key=["p_partkey"], trees=40, repeats=2, top_n=1).select("feature")
+
+
+@query("m13_rule_summary", """SELECT 'label' AS target, 'classification' AS problem_type, 3::BIGINT AS models_trained, 'Gradient Boosting' AS best_model,
+'f1' AS best_score_name, 1.0::DOUBLE AS best_score, 'numeric:size' AS top_feature""")
+def m13_rule(t):
+    """All three models tell the classes; of equal scores the first name wins."""
+    found = M.model_summary(_rule(t.spark, t.folder))
+    return rounded(found.select("*", F.element_at("top_features", 1).alias("top_feature")).drop("top_features"), 6)
+
+
 @query("m8_evaluate_regression", """WITH p AS (SELECT l_extendedprice AS a, l_quantity * 2000 AS p FROM lineitem)
 SELECT round(avg(abs(a - p)), 4) AS mae, round(sqrt(avg((a - p) ** 2)), 4) AS rmse,
 round(1 - sum((a - p) ** 2) / sum((a - (SELECT avg(a) FROM p)) ** 2), 6) AS r2, count(*) AS test_points FROM p""")
