@@ -214,3 +214,25 @@ def test_fills_come_from_the_training_rows_and_names_may_hold_dots(spark):
     got = M.train_compare(df, "y", key=["id"], trees=4, max_depth=4)
     assert [r["error"] for r in got.comparison.collect()] == [None] * 3
     assert M.predict(got, df).filter("prediction = y").count() == 300
+
+
+def test_a_table_of_one_task_is_trained_on_by_several(spark):
+    n = 3 * M.TASK_ROWS - 1
+    i = F.col("id")
+    one = spark.range(n).select("id", (i % 100).cast("double").alias("x"), (3.0 * (i % 100) + 2).alias("y")).coalesce(1)
+    got = M.train_compare(one, "y", key=["id"], trees=2, max_depth=2)
+    data = got.kept[0]
+    sizes = [r["n"] for r in data.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 3 and max(sizes) <= M.TASK_ROWS
+    assert data.select("id").distinct().count() == n
+    assert got.best_model == "Linear Regression"
+    got.release()
+
+
+def test_dealt_rows_keep_their_place_and_few_rows_stay(spark):
+    some = spark.range(2 * M.TASK_ROWS).withColumn("v", F.col("id") % 7)
+    task = F.spark_partition_id().alias("task")
+    first, again = ([tuple(r) for r in M.dealt(some, some.count()).select("*", task).collect()] for _ in range(2))
+    assert first == again
+    few = spark.range(10).coalesce(1)
+    assert M.dealt(few, 10) is few
