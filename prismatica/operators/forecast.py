@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from prismatica.functions.coerce import text_key
 from prismatica.functions.columns import moment, number, value
-from prismatica.operators.models import TREE_MEMORY_MB, evaluate_regression
+from prismatica.operators.models import TREE_MEMORY_MB, dealt, evaluate_regression
 
 ROLLING = 7
 ONE_SERIES = "all"
@@ -139,7 +139,8 @@ def forecast_backtest(df: DataFrame, date: str, target: str, periods: int = 14,
     """Fit a random forest on the earlier part of every series, measure it on
     the later part, then forecast ``periods`` steps of the grain, days by default."""
     points = daily_series(df, date, target, series, grain, min_points=max(30, lags + 10)).persist()
-    rows = _assembled(chronological_split(lag_features(points, lags)), lags).persist()
+    # The slices of a long series would train in as few tasks.
+    rows = dealt(_assembled(chronological_split(lag_features(points, lags)), lags), points.count()).persist()
     if rows.isEmpty():
         return Forecast(None, None, "Need more historical observations for forecasting.")
     model = RandomForestRegressor(
