@@ -8,6 +8,7 @@ from prismatica.functions import vocabulary as V
 from prismatica.functions.columns import find_column, moment, number, numeric_columns
 from prismatica.functions.quantiles import Rank, order_statistics
 from prismatica.functions.tidy import empty_rows
+from prismatica.plans.settle import settled
 
 
 def trend_date_column(df: DataFrame) -> str | None:
@@ -35,7 +36,8 @@ def half_over_half_trend(df: DataFrame, date: str, metric: str) -> DataFrame:
     both are equal, so any of them may stand on either side. The two figures
     reach the driver; the sums are one pass.
     """
-    rows = df.select(F.unix_micros(moment(df, date)).cast("double").alias("t"), number(df, metric).alias("y")).dropna()
+    # Two numbers a row are kept, so the table, which may be a join, is computed once and not for each pass.
+    rows = settled(df.select(F.unix_micros(moment(df, date)).cast("double").alias("t"), number(df, metric).alias("y")).dropna())
     cut = order_statistics(rows, [(date, F.col("t"))], [Rank("n div 2 - 1", 0.5)]).first()
     schema = ("date_column string, metric_column string, rows long, first_mean double, second_mean double, "
               "change_pct double, severity string")
