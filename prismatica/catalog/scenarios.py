@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from prismatica.catalog.registry import BASELINE_SQL, COPIES_SQL, SALES_SQL, query, r, rounded
 from prismatica.operators import quality as Q, scenario as S
+from prismatica.operators.profile import BaseProfile
 from prismatica.operators.scenario import GENERATED_B, GRID_STEPS, STANDARD_A, Scenario
+from prismatica.plans.settle import settled
 
 ONE = Scenario("Plan", price=5, marketing=10)
 
@@ -170,8 +172,9 @@ round(avg(dp), 4) AS average_profit_change_pct, round(avg(risk), 4) AS average_r
 100.0::DOUBLE - least(5.0 * (SELECT count(*) FROM (SELECT sum((profit < q1 - 1.5 * (q3 - q1) OR profit > q3 + 1.5 * (q3 - q1))::INT) AS h, count(*) AS n
   FROM sales, (SELECT quantile_cont(profit, 0.25) AS q1, quantile_cont(profit, 0.75) AS q3 FROM sales)) WHERE h * 100.0 / n >= 5), 25.0) AS confidence_score FROM b""")
 def d13(t):
-    s = t("sales")
-    p = S.decision_package(s, Q.health_score_b(s), Q.risk_register(s, limit=None))
+    s = settled(t("sales"))  # a join that the health, the risks and the package read
+    base = BaseProfile.of(s, persist=True)
+    p = S.decision_package(s, Q.health_score_b(s, base), Q.risk_register(s, limit=None, shared=base))
     return rounded(p.select("status", "total_revenue", "total_profit", "scenario_count", "best_scenario", "average_profit_change_pct",
                             "average_risk_score", "data_health_score", "confidence_score"), 4, total_revenue=2, total_profit=2)
 

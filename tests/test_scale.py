@@ -177,3 +177,11 @@ def test_no_whole_text_is_counted_by(spark, sf_dir):
     want = docs.groupBy("text").count().orderBy(F.desc("count"), "text").filter("text is not null").first()
     got = S.categorical_summary(docs).first()
     assert (got["top"], got["top_count"]) == (want["text"], want["count"])
+
+
+@pytest.mark.parametrize("name", ["f4_trend_findings", "f11_headline_ratios", "f9_analyze_drivers", "d13_decision_package"])
+def test_the_joined_view_is_computed_once(spark, sf_dir, name):
+    """What the query returns reads the settled view, not the join behind it."""
+    from __spark_entry__ import queries
+    plan = queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "lineitem.parquet" not in plan and "l_extendedprice" not in plan
