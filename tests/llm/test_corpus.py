@@ -544,3 +544,17 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
         monkeypatch.setattr("prismatica.llm.near_dedup.BLOCK", block)
         found = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, width=3, percent=85).collect()}
         assert [found[i] for i in range(len(texts))] == label
+
+
+def test_ranking_learns_from_every_labelled_row(spark, monkeypatch):
+    """Rows beyond any one block count: the figures are those of all labelled texts."""
+    import sys
+    rank = sys.modules["prismatica.llm.quality_rank"]
+    texts = [(i, f"plain words, number {i}." if i % 5 else f"$$$ {i} |||") for i in range(21_000)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i, _ in texts], "doc_id long, quality int")
+    model = train_ranking(docs, labels)
+    x = np.array([rank.signals(t) for _, t in texts])
+    assert np.allclose(model["middle"], x.mean(0)) and np.allclose(model["spread"], x.std(0) + 1e-6)
+    score = np.clip((x - np.array(model["middle"])) / np.array(model["spread"]), -8, 8) @ np.array(model["weights"])
+    assert model["threshold"] == pytest.approx(np.quantile(score, 0.2)) and (score[1] > model["threshold"]) and score[0] <= model["threshold"]
