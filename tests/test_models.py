@@ -1,6 +1,7 @@
 """Planted answers for anomalies, forecasts and models."""
 
 import re
+import threading
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -236,3 +237,35 @@ def test_dealt_rows_keep_their_place_and_few_rows_stay(spark):
     assert first == again
     few = spark.range(10).coalesce(1)
     assert M.dealt(few, 10) is few
+
+
+def test_forests_keep_the_node_of_each_row_and_stay_the_same(spark):
+    for kind in ("regression", "classification"):
+        assert M._candidates(kind, 2, 3, 4, "a", 1)["Random Forest"].getCacheNodeIds()
+    rows = spark.range(600).selectExpr("cast(id % 50 as double) AS a", "cast(pmod(xxhash64(id), 90) as double) AS b").selectExpr("*", "a * b AS y")
+    data = M.VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(rows).persist()
+    forest = M.RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=12, maxDepth=8, seed=3, maxMemoryInMB=1)
+    kept, followed = (forest.copy().setCacheNodeIds(c).fit(data) for c in (True, False))
+    assert [re.sub("uid=.*", "", t.toDebugString) for t in kept.trees] == [re.sub("uid=.*", "", t.toDebugString) for t in followed.trees]
+    data.unpersist()
+
+
+def test_models_are_fitted_side_by_side_and_a_failure_costs_only_itself(spark, monkeypatch):
+    """Each waits for the others to begin, so one after another none would be fitted."""
+    begun, plain = threading.Barrier(3, timeout=60), M._candidates
+
+    class Waiting:
+        def __init__(self, estimator, fails):
+            self.estimator, self.fails = estimator, fails
+
+        def fit(self, data):
+            begun.wait()
+            if self.fails:
+                raise ValueError("no fit")
+            return self.estimator.fit(data)
+
+    monkeypatch.setattr(M, "_candidates", lambda *a: {n: Waiting(e, n == "Random Forest") for n, e in plain(*a).items()})
+    got = M.train_compare(line(spark), "y", key=["id"], trees=2, max_depth=2)
+    assert [(r["model"], r["status"], r["error"]) for r in got.comparison.collect()] == [
+        ("Linear Regression", "Success", None), ("Random Forest", "Failed", "no fit"), ("Gradient Boosting", "Success", None)]
+    got.release()
