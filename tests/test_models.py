@@ -269,3 +269,15 @@ def test_models_are_fitted_side_by_side_and_a_failure_costs_only_itself(spark, m
     assert [(r["model"], r["status"], r["error"]) for r in got.comparison.collect()] == [
         ("Linear Regression", "Success", None), ("Random Forest", "Failed", "no fit"), ("Gradient Boosting", "Success", None)]
     got.release()
+
+
+def test_the_copies_of_a_permuted_row_follow_each_other(spark, monkeypatch):
+    seen, plain = [], M.evaluate_regression
+    monkeypatch.setattr(M, "evaluate_regression", lambda pred, *a, **k: (seen.extend(pred.select("feature", "repeat", "label").collect()), plain(pred, *a, **k))[1])
+    df = spark.range(500).selectExpr("id AS key", "cast(pmod(xxhash64(id), 100) as double) AS x", "id + 0.5D AS y")
+    M.permutation_importance(df, "y", key=["key"], trees=3, repeats=2).collect()
+    copies = [(-1, 0), (0, 0), (0, 1), (1, 0), (1, 1)]
+    assert seen and len(seen) % 5 == 0
+    for at in range(0, len(seen), 5):
+        row = seen[at:at + 5]
+        assert [(r["feature"], r["repeat"]) for r in row] == copies and len({r["label"] for r in row}) == 1
