@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from prismatica.functions import vocabulary as V
 from prismatica.functions.coerce import col, pct_change, percent, ratio_eps, text_key
 from prismatica.functions.columns import (
-    find_column, moment, non_numeric_columns, number, numeric_columns, value)
+    dtype_of, find_column, kind_of, moment, non_numeric_columns, number, numeric_columns, value)
 from prismatica.functions.quantiles import quantiles
 from prismatica.functions.tidy import column_rows, empty_rows
 
@@ -150,17 +150,24 @@ def _segments(df: DataFrame, target: Column, dims: list[str]) -> DataFrame:
     the whole table (dimension NULL): one scan, one shuffle.
 
     Grouping sets tell a missing segment from a dimension that is not grouped.
+    Dates and flags are grouped as they are: the label is made once a segment, not
+    once a row, and segments of the same label are then put together.
     """
     keys = [f"d{i}" for i in range(len(dims))]
-    rows = df.select(*[text_key(value(df, d)).alias(k) for d, k in zip(dims, keys)], target.alias("y"))
+    late = [kind_of(dtype_of(df, d)) in ("datetime", "boolean") for d in dims]
+    rows = df.select(*[(value(df, d) if l else text_key(value(df, d))).alias(k) for d, k, l in zip(dims, keys, late)], target.alias("y"))
     grouped = rows.groupingSets([[k] for k in keys] + [[]], *keys).agg(
         F.sum("y").alias("sum"), F.avg("y").alias("mean"), F.count("y").alias("count"),
         F.array(*[F.grouping(k) for k in keys]).alias("rolled"))
     which = F.array_position("rolled", F.lit(0).cast("byte"))
-    names, values = F.array(*map(F.lit, dims)), F.array(*keys)
+    names, values = F.array(*map(F.lit, dims)), F.array(*[text_key(F.col(k)) if l else F.col(k) for k, l in zip(keys, late)])
     at = F.when(which > 0, which.cast("int"))
-    return grouped.select((at - 1).alias("dim_no"), F.get(names, at - 1).alias("dimension"),
-                          F.get(values, at - 1).alias("segment"), "sum", "mean", "count")
+    found = grouped.select((at - 1).alias("dim_no"), F.get(names, at - 1).alias("dimension"),
+                           F.get(values, at - 1).alias("segment"), "sum", "mean", "count")
+    if not any(late):
+        return found
+    return found.groupBy("dim_no", "dimension", "segment").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count")).select(
+        "dim_no", "dimension", "segment", "sum", F.try_divide("sum", "count").alias("mean"), "count")
 
 
 def segment_drivers(df: DataFrame, target: str, dims: list[str] | None = None, top_n: int = 10) -> DataFrame:

@@ -127,16 +127,22 @@ def target_stats(df: DataFrame, target: str) -> DataFrame:
         "missing", percent(F.col("missing"), F.col("rows")).alias("missing_percentage"))
 
 
-def target_analysis(df: DataFrame, target: str | None, top: int = 10, profiled: DataFrame | None = None) -> DataFrame:
+def target_analysis(df: DataFrame, target: str | None, top: int = 10, profiled: DataFrame | None = None,
+                    facts: DataFrame | None = None) -> DataFrame:
     """Figures of the target as (statistic, label, value) rows: missing and
-    distinct counts, then mean/median/min/max/std of a numeric target or the
-    ``top`` most frequent values of any other."""
+    distinct counts (read off the column ``facts`` where given), then
+    mean/median/min/max/std of a numeric target or the ``top`` most frequent
+    values of any other."""
     if target is None or target not in df.columns:
         return empty_rows(df, "statistic string, label string, value double")
     v = value(df, target)
     freq = df.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    counts = freq.agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"),
-                      F.count("v").alias("unique"))
+    if facts is not None:
+        counts = facts.filter(F.col("column") == F.lit(target)).select(
+            F.when(F.col("rows") > 0, F.col("missing")).alias("missing"), F.col("distinct").alias("unique"))
+    else:
+        counts = freq.agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+                          F.count("v").alias("unique"))
     out = counts.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("statistic"), F.lit(None).cast("string").alias("label"),
                  F.col(k).cast("double").alias("value")) for k in ("missing", "unique")])))

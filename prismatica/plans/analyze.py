@@ -142,11 +142,11 @@ def _sections(data: DataFrame, goal: str | None, order: list[str], top_n: int) -
         "executive_summary": lambda: findings.executive_summary(s.facts),
         "recommendations": lambda: findings.recommendations(s.facts),
         "columns": lambda: type_partition(data),
-        "datetime_columns": lambda: profile.datetime_columns(data),
+        "datetime_columns": lambda: profile.datetime_columns(data, shared=s.base),
     }
     if goal is not None:
         builds["drivers"] = lambda: groups.segment_drivers(data, goal, top_n=top_n)
-        builds["target_analysis"] = lambda: stats.target_analysis(data, goal, profiled=s.figures)
+        builds["target_analysis"] = lambda: stats.target_analysis(data, goal, profiled=s.figures, facts=s.base.facts)
     return Analysis({name: _guarded(data.sparkSession, build) for name, build in builds.items()}, goal, s.kept)
 
 

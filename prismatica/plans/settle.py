@@ -28,3 +28,14 @@ def settled(df: DataFrame) -> DataFrame:
     if shared_folder(df.sparkSession) is not None:
         return df.checkpoint()
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def columnar(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for a wide table that many passes read a few columns of: Parquet
+    files in the shared folder, of which a pass reads the columns it asks for. Without such a
+    folder it is persisted, which keeps columns apart too."""
+    if shared_folder(df.sparkSession) is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -185,3 +185,44 @@ def test_the_joined_view_is_computed_once(spark, sf_dir, name):
     from __spark_entry__ import queries
     plan = queries()[name](spark, sf_dir)._jdf.queryExecution().toString()
     assert "lineitem.parquet" not in plan and "l_extendedprice" not in plan
+
+
+@pytest.mark.parametrize("name", ["f9_analyze", "f9_analyze_drivers"])
+def test_an_analysis_reads_single_columns_of_the_settled_view(spark, sf_dir, name):
+    """A checkpoint is read whole by each of some twenty passes; these scans name the columns they read."""
+    from __spark_entry__ import queries
+    plan = queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in "\n".join(line for line in plan.splitlines() if "order_key" in line)
+    assert "parquet" in plan and "lineitem.parquet" not in plan
+
+
+def test_facts_and_samples_taken_apart_by_type(spark):
+    """The same rows as from one scan: gaps, zeros of both signs, NaN, long texts and dates, nested and empty columns."""
+    long = "2024-01-05" + " " * 70
+    rows = [(i % 5, float("nan") if i % 4 == 0 else -0.0 if i % 4 == 1 else i / 4, None if i % 3 == 0 else "é" * (i % 2 * 70 + 1) + str(i % 7),
+             long + " " * (i % 2), i % 6 == 0 if i % 5 else None, [i % 3], None, f"2024-02-0{i % 8 + 1}") for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, d double, s string, t string, b boolean, a array<int>, n string, w string").withColumns({
+        "day": F.to_date("w"), "at": F.to_timestamp("w"), "dec": F.col("k").cast("decimal(9,2)")}).repartition(5)
+    for some in (df, df.limit(0), df.select("k"), df.select("s", "n")):
+        assert sorted(P.column_facts(some, apart=True).collect()) == sorted(P.column_facts(some).collect())
+        assert sorted(P.smallest_values(some, 3, apart=True).collect()) == sorted(P.smallest_values(some, 3).collect())
+        shared = P.BaseProfile.of(some, persist=True)
+        assert sorted(P.datetime_columns(some, shared=shared).collect()) == sorted(P.datetime_columns(some).collect())
+        for c in some.columns:
+            same = [sorted(map(repr, S.target_analysis(some, c, facts=f).collect())) for f in (None, shared.facts)]
+            assert same[0] == same[1], c
+        shared.release()
+
+
+def test_dates_become_labels_once_a_segment(spark):
+    """Rows are grouped by the date itself; a missing one and equal labels are one segment."""
+    df = spark.createDataFrame([("(a)", 1.0, 0), ("b", None, 1), (None, 3.0, 1), ("b", 5.0, None)], "s string, y double, i int").withColumns({
+        "at": F.timestamp_seconds(F.col("i") * 86400), "flag": F.col("i") == 1}).drop("i")
+    plan = plan_of(G.segment_concentration(df, "y"))
+    assert "Expand" in plan and "cast(at#" not in plan.split("Expand")[-1]
+    rows = G._segments(df, F.col("y"), ["s", "at", "flag"]).collect()
+    got = {(r["dimension"], r["segment"]): (r["sum"], r["mean"], r["count"]) for r in rows}
+    label = next(s for d, s in got if d == "flag" and s not in ("true", "false"))
+    assert got == {(None, None): (9.0, 3.0, 3), ("s", "(a)"): (1.0, 1.0, 1), ("s", "b"): (5.0, 5.0, 1), ("s", label): (3.0, 3.0, 1),
+                   ("at", "1970-01-01 00:00:00"): (1.0, 1.0, 1), ("at", "1970-01-02 00:00:00"): (3.0, 3.0, 1), ("at", label): (5.0, 5.0, 1),
+                   ("flag", "false"): (1.0, 1.0, 1), ("flag", "true"): (3.0, 3.0, 1), ("flag", label): (5.0, 5.0, 1)} and len(rows) == len(got)
