@@ -226,3 +226,12 @@ def test_dates_become_labels_once_a_segment(spark):
     assert got == {(None, None): (9.0, 3.0, 3), ("s", "(a)"): (1.0, 1.0, 1), ("s", "b"): (5.0, 5.0, 1), ("s", label): (3.0, 3.0, 1),
                    ("at", "1970-01-01 00:00:00"): (1.0, 1.0, 1), ("at", "1970-01-02 00:00:00"): (3.0, 3.0, 1), ("at", label): (5.0, 5.0, 1),
                    ("flag", "false"): (1.0, 1.0, 1), ("flag", "true"): (3.0, 3.0, 1), ("flag", label): (5.0, 5.0, 1)} and len(rows) == len(got)
+
+
+def test_the_guarded_analysis_reads_single_columns_of_the_settled_view(spark, sf_dir, monkeypatch):
+    from prismatica.plans import analyze as A
+    seen, whole = [], A.analyze_computed
+    monkeypatch.setattr(A, "analyze_computed", lambda df, *a, **k: (seen.append(df), whole(df.limit(5), *a, **k))[1])
+    assert entry_module.QUERIES["f9_analyze_sections"](spark, sf_dir).count() == 16
+    plan = plan_of(seen[0].select("revenue"))
+    assert "ReadSchema: struct<revenue:double>" in plan and "ExistingRDD" not in plan
