@@ -9,7 +9,7 @@ from prismatica.functions.coerce import col, pct_change, percent, ratio_eps, tex
 from prismatica.functions.columns import (
     dtype_of, find_column, kind_of, moment, non_numeric_columns, number, numeric_columns, value)
 from prismatica.functions.quantiles import quantiles
-from prismatica.functions.tidy import column_rows, empty_rows
+from prismatica.functions.tidy import ALONE, column_rows, empty_rows
 
 
 def _sum(c: Column) -> Column:
@@ -110,16 +110,30 @@ def _growth() -> Column:
     return F.when((F.col("count") < 2) | (F.col("first") == 0), 0.0).otherwise((ratio - 1) * 100)
 
 
-def kpi_table_b(df: DataFrame, order_by: list[str], profiled: DataFrame | None = None) -> DataFrame:
+def _edge_rows(df: DataFrame, names: list[str], order_by: list[str]) -> DataFrame:
+    """The rows that hold the least or greatest first key of the order, a missing one being the
+    least, among the values of any column of ``names``; the ends of each are among them."""
+    k = value(df, order_by[0])
+    held = [number(df, c).isNotNull() for c in names]
+    edges = column_rows(df, [(c, {"low": F.min(F.when(h, k)), "high": F.max(F.when(h, k)), "gaps": F.count_if(h & k.isNull())})
+                             for c, h in zip(names, held)])
+    keys = edges.select(F.inline(F.array(F.struct(F.when(F.col("gaps") == 0, F.col("low")).alias("key")), F.struct(F.col("high").alias("key")))))
+    return df.join(F.broadcast(keys.distinct()), k.eqNullSafe(F.col("key")), "left_semi")
+
+
+def kpi_table_b(df: DataFrame, order_by: list[str], profiled: DataFrame | None = None, apart: bool = False) -> DataFrame:
     """Per numeric column with values: sum, average, median, min, max and the
-    growth from the first to the last row in order."""
+    growth from the first to the last row in order. ``apart`` looks for the ends
+    only where the first key of the order has its own, found by a scan before;
+    for tables that are cheap to read again."""
     names = numeric_columns(df)
     if not names:
         return empty_rows(df, "col_no int, column string, sum double, average double, median double, min double, "
                               "max double, growth_proxy_pct double")
-    ends = column_rows(df, [(c, {"first": _ends(df, number(df, c), order_by)[0],
-                                 "last": _ends(df, number(df, c), order_by)[1],
-                                 "count": F.count(number(df, c))}) for c in names])
+    rows = _edge_rows(df, names, order_by) if apart else df
+    ends = column_rows(rows, [(c, {"first": _ends(df, number(df, c), order_by)[0],
+                                   "last": _ends(df, number(df, c), order_by)[1],
+                                   "count": F.count(number(df, c))}) for c in names])
     growth = ends.select("col_no", _growth().alias("growth_proxy_pct"))
     return _numeric_kpis(df, names, profiled).join(F.broadcast(growth), "col_no").filter("n > 0").select(
         "col_no", "column", "sum", "average", "median", F.col("low").alias("min"), F.col("high").alias("max"),
@@ -145,16 +159,30 @@ def business_metrics(df: DataFrame) -> DataFrame:
 
 # --- segments ----------------------------------------------------------------------
 
-def _segments(df: DataFrame, target: Column, dims: list[str]) -> DataFrame:
+def _segments(df: DataFrame, target: Column, dims: list[str], apart: bool = False) -> DataFrame:
     """Sum, mean and count of the target per value of each dimension and over
     the whole table (dimension NULL): one scan, one shuffle.
 
     Grouping sets tell a missing segment from a dimension that is not grouped.
     Dates and flags are grouped as they are: the label is made once a segment, not
-    once a row, and segments of the same label are then put together.
+    once a row, and segments of the same label are then put together. ``apart`` takes
+    a scan for each dimension instead, of that column and the target, and no row is
+    copied; for tables that are cheap to read again.
     """
     keys = [f"d{i}" for i in range(len(dims))]
     late = [kind_of(dtype_of(df, d)) in ("datetime", "boolean") for d in dims]
+    if apart and len(dims) <= ALONE:
+        figures = [F.sum("y").alias("sum"), F.avg("y").alias("mean"), F.count("y").alias("count")]
+        none = F.lit(None).cast("string")
+        found = df.select(target.alias("y")).agg(*figures).select(
+            F.lit(None).cast("int").alias("dim_no"), none.alias("dimension"), none.alias("segment"), "sum", "mean", "count")
+        for i, (d, l) in enumerate(zip(dims, late)):
+            one = df.select((value(df, d) if l else text_key(value(df, d))).alias("segment"), target.alias("y")).groupBy("segment").agg(*figures)
+            if l:
+                one = one.groupBy(text_key(F.col("segment")).alias("segment")).agg(F.sum("sum").alias("sum"), F.sum("count").alias("count")).select(
+                    "segment", "sum", F.try_divide("sum", "count").alias("mean"), "count")
+            found = found.unionByName(one.select(F.lit(i).alias("dim_no"), F.lit(d).alias("dimension"), "segment", "sum", "mean", "count"))
+        return found
     rows = df.select(*[(value(df, d) if l else text_key(value(df, d))).alias(k) for d, k, l in zip(dims, keys, late)], target.alias("y"))
     grouped = rows.groupingSets([[k] for k in keys] + [[]], *keys).agg(
         F.sum("y").alias("sum"), F.avg("y").alias("mean"), F.count("y").alias("count"),
@@ -170,12 +198,12 @@ def _segments(df: DataFrame, target: Column, dims: list[str]) -> DataFrame:
         "dim_no", "dimension", "segment", "sum", F.try_divide("sum", "count").alias("mean"), "count")
 
 
-def segment_drivers(df: DataFrame, target: str, dims: list[str] | None = None, top_n: int = 10) -> DataFrame:
+def segment_drivers(df: DataFrame, target: str, dims: list[str] | None = None, top_n: int = 10, apart: bool = False) -> DataFrame:
     """The segments that weigh most on the target.
 
     share = segment sum / total; vs_overall_pct = gap of the segment mean to
     the overall mean; impact = |share| * |vs_overall_pct|. A missing segment
-    value is a segment of its own.
+    value is a segment of its own. ``apart`` as in :func:`_segments`.
     """
     if target not in df.columns:
         raise ValueError(f"target '{target}' not found")
@@ -184,7 +212,7 @@ def segment_drivers(df: DataFrame, target: str, dims: list[str] | None = None, t
         return empty_rows(df, "dimension string, segment string, sum double, mean double, count long, "
                               "share_of_total double, vs_overall_pct double, impact_score double")
     y = number(df, target)
-    seg = _segments(df.filter(y.isNotNull()), y, dims).withColumn("one", F.lit(1))
+    seg = _segments(df.filter(y.isNotNull()), y, dims, apart).withColumn("one", F.lit(1))
     overall = seg.filter("dim_no is null").select("one", F.col("sum").alias("total"), F.col("mean").alias("overall"))
     share = F.coalesce(F.try_divide(F.col("sum"), F.col("total")), F.lit(0.0))
     gap = ratio_eps(F.col("mean") - F.col("overall"), F.col("overall")) * 100

@@ -41,17 +41,17 @@ def _corrected_moments(v: Column) -> dict[str, Column]:
     return {"skewness": skew, "kurtosis": kurt}
 
 
-def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str] | None = None, apart: bool = False) -> DataFrame:
     """Every per-column figure the numeric operators are read from, in the
     scans the quartiles need anyway: n, low, high, mean, std, sum, skewness,
     kurtosis, sign counts and q0..q2. Analyses persist it (a row per column)
-    and pass it on as ``profiled``."""
+    and pass it on as ``profiled``; ``apart`` as in ``quantiles``."""
     values = _numbers(df, columns)
     if not values:
         return empty_rows(df, "col_no int, column string, n long, low double, high double, mean double, std double, "
                               "sum double, skewness double, kurtosis double, zeros long, negative_values long, "
                               "positive_values long, q0 double, q1 double, q2 double")
-    return quantiles(df, values, [0.25, 0.5, 0.75], extras=lambda v: {
+    return quantiles(df, values, [0.25, 0.5, 0.75], apart=apart, extras=lambda v: {
         "mean": F.avg(v), "std": F.stddev_samp(v), "sum": F.sum(v), **_corrected_moments(v),
         "zeros": F.count_if(v == 0), "negative_values": F.count_if(v < 0), "positive_values": F.count_if(v > 0)})
 

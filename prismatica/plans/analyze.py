@@ -87,7 +87,7 @@ class _Shared:
 
     @cached_property
     def figures(self) -> DataFrame:
-        return self._keep(stats.numeric_profile(self.data).persist())
+        return self._keep(stats.numeric_profile(self.data, apart=True).persist())
 
     @cached_property
     def fences(self) -> DataFrame:
@@ -137,7 +137,7 @@ def _sections(data: DataFrame, goal: str | None, order: list[str], top_n: int) -
         "outliers": lambda: s.fences,
         "distributions": lambda: stats.distribution_shape(data, profiled=s.figures),
         "risks": lambda: s.risks.limit(50),  # what is shown; counts use all
-        "kpis": lambda: groups.kpi_table_b(data, order, s.figures),
+        "kpis": lambda: groups.kpi_table_b(data, order, s.figures, apart=True),
         "ml_readiness": lambda: s.ready,
         "executive_summary": lambda: findings.executive_summary(s.facts),
         "recommendations": lambda: findings.recommendations(s.facts),
@@ -145,7 +145,7 @@ def _sections(data: DataFrame, goal: str | None, order: list[str], top_n: int) -
         "datetime_columns": lambda: profile.datetime_columns(data, shared=s.base),
     }
     if goal is not None:
-        builds["drivers"] = lambda: groups.segment_drivers(data, goal, top_n=top_n)
+        builds["drivers"] = lambda: groups.segment_drivers(data, goal, top_n=top_n, apart=True)
         builds["target_analysis"] = lambda: stats.target_analysis(data, goal, profiled=s.figures, facts=s.base.facts)
     return Analysis({name: _guarded(data.sparkSession, build) for name, build in builds.items()}, goal, s.kept)
 

@@ -235,3 +235,41 @@ def test_the_guarded_analysis_reads_single_columns_of_the_settled_view(spark, sf
     assert entry_module.QUERIES["f9_analyze_sections"](spark, sf_dir).count() == 16
     plan = plan_of(seen[0].select("revenue"))
     assert "ReadSchema: struct<revenue:double>" in plan and "ExistingRDD" not in plan
+
+
+def test_passes_taken_apart_give_the_same_rows(spark):
+    """Hashes before rows, samples off the facts, ends where the first key has its own, a scan for each column: the same
+    rows as without, with gaps, zeros of both signs, NaN, long texts, copies, rows that share a hash only and no rows."""
+    rows = [(i % 4 if i % 9 else None, float("nan") if i % 4 == 0 else -0.0 if i % 8 == 1 else 0.0 if i % 4 == 1 else i / 4,
+             None if i % 3 == 0 else "é" * (i % 2 * 70 + 1) + str(i % 7), "abc"[i % 3], i % 6 == 0 if i % 5 else None, None)
+            for i in range(60)] + [(1, 0.0, "x", "c", True, None), (1, -0.0, "x", "c", True, None), (None, None, "7", None, None, None), (None, None, None, "7", None, None)]
+    df = spark.createDataFrame(rows, "k int, d double, s string, t string, b boolean, n double").withColumn("at", F.timestamp_seconds("k")).repartition(5)
+
+    def flat(found):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in map(lambda r: tuple(map(lambda x: "" if x is None else x, r)), found.collect()))
+
+    for some in (df.localCheckpoint(), df.limit(0).localCheckpoint(), df.unionByName(df).select("d", "t", "at").localCheckpoint()):
+        assert P.duplicates(some, apart=True).collect() == P.duplicates(some).collect()
+        shared = P.BaseProfile.of(some, persist=True)
+        assert flat(P.schema_report(some, shared)) == flat(P.schema_report(some))
+        known = {r["column"]: r["least"] for r in shared.facts.collect()}
+        assert known.get("t") in (None, ["a", "b", "c"], ["7", "a", "b"]) and known.get("s") is known.get("d") is None
+        shared.release()
+        assert flat(S.numeric_profile(some, apart=True)) == flat(S.numeric_profile(some))
+        for order in (["at", "k"], ["d", "t"]):
+            order = [c for c in order if c in some.columns] or some.columns
+            assert flat(G.kpi_table_b(some, order, apart=True)) == flat(G.kpi_table_b(some, order)), order
+        assert flat(G.segment_drivers(some, some.columns[0], top_n=99, apart=True)) == flat(G.segment_drivers(some, some.columns[0], top_n=99))
+
+
+def test_an_analysis_compares_no_whole_rows_without_need(spark):
+    """Rows whose hashes differ are not shuffled whole, and texts whose counts are known are not scanned for samples."""
+    from prismatica.plans import analyze as A
+    df = spark.range(500).selectExpr("id", "id / 7 AS x", "cast(id % 9 AS string) AS s")
+    shared = A._Shared(df, "x")
+    assert shared.base.dups.first() == (500, 0)
+    assert "Range" not in "\n".join(line for line in plan_of(P.duplicates(df, apart=True)).splitlines() if "hashpartitioning" in line)
+    assert "xxhash64" not in plan_of(P.duplicates(df, apart=True))
+    assert {r["column"]: r["least"] for r in shared.base.facts.collect()} == {"id": None, "x": None, "s": ["0", "1", "2"]}
+    assert "MapInArrow" not in plan_of(P.smallest_values(df.select("s"), 3, apart=True, facts=P.column_facts(df.select("s"), apart=True, least=3).localCheckpoint()))
+    shared.base.release()
