@@ -281,3 +281,23 @@ def test_the_copies_of_a_permuted_row_follow_each_other(spark, monkeypatch):
     for at in range(0, len(seen), 5):
         row = seen[at:at + 5]
         assert [(r["feature"], r["repeat"]) for r in row] == copies and len({r["label"] for r in row}) == 1
+
+
+def test_the_statistics_of_a_forest_leave_room_for_the_rows(spark, monkeypatch):
+    """Two tasks side by side in a heap of 1800 MB, of which cached rows may take 900."""
+    assert M.executor_heap(spark)[1:] == (8, 1)
+    few, many = spark.range(10).coalesce(1), spark.range(80).repartition(8)
+    monkeypatch.setattr(M, "executor_heap", lambda spark: (1800.0, 2, 3))
+    assert M.tree_memory(many, 7_200_000, 300, 5) == M.tree_memory(many, 7_200_000, 250, 100) == 150
+    assert 150 < M.tree_memory(many, 240_000, 250, 100) < 375 < M.tree_memory(few, 10, 250, 100) <= M.TREE_MEMORY_MB
+    monkeypatch.setattr(M, "executor_heap", lambda spark: (64_000.0, 2, 3))
+    assert M.tree_memory(many, 7_200_000, 250, 100) == M.TREE_MEMORY_MB
+
+
+def test_permutation_importance_grows_what_the_heap_holds(spark, monkeypatch):
+    plain, seen = M.RandomForestRegressor, []
+    monkeypatch.setattr(M, "executor_heap", lambda spark: (600.0, 2, 3))
+    monkeypatch.setattr(M, "RandomForestRegressor", lambda **k: (seen.append(k["maxMemoryInMB"]), plain(**k))[1])
+    rows = spark.range(2 * M.TASK_ROWS).selectExpr("id AS key", "cast(pmod(xxhash64(id), 100) as double) AS x").selectExpr("*", "5 * x + key % 7 AS y")
+    M.permutation_importance(rows, "y", key=["key"], trees=2, repeats=1, max_depth=3).collect()
+    assert len(seen) == 1 and seen[0] <= 75
