@@ -301,3 +301,26 @@ def test_permutation_importance_grows_what_the_heap_holds(spark, monkeypatch):
     rows = spark.range(2 * M.TASK_ROWS).selectExpr("id AS key", "cast(pmod(xxhash64(id), 100) as double) AS x").selectExpr("*", "5 * x + key % 7 AS y")
     M.permutation_importance(rows, "y", key=["key"], trees=2, repeats=1, max_depth=3).collect()
     assert len(seen) == 1 and seen[0] <= 75
+
+
+def test_compared_forests_grow_what_the_heap_holds_and_stay_the_same(spark, monkeypatch):
+    plain, seen = M._candidates, []
+
+    def forest_only(*args):
+        forest = plain(*args)["Random Forest"]
+        seen.append(forest.getMaxMemoryInMB())
+        return {"Random Forest": forest}
+
+    monkeypatch.setattr(M, "_candidates", forest_only)
+    rows = spark.range(2 * M.TASK_ROWS).selectExpr("id AS key", "cast(pmod(xxhash64(id), 100) as double) AS x", "concat('w', id % 5) AS w")
+    rows = rows.selectExpr("*", "if(w = 'w1', 5, 2) * x AS y")
+    found = []
+    for heap in (600.0, 64_000.0):
+        monkeypatch.setattr(M, "executor_heap", lambda spark: (heap, 2, 3))
+        got = M.train_compare(rows, "y", key=["key"], trees=3, max_depth=4)
+        found.append([rows_of(got.comparison), rows_of(M.predict(got, rows.limit(50)).select("key", "prediction"))])
+        got.release()
+    assert seen[0] <= 75 and seen[1] == M.TREE_MEMORY_MB
+    for old, new in zip(*found):
+        assert [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in old] == [
+            tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in new]
